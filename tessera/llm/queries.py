@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, token_records
+from tessera.llm import bpe, quality_qda, quality_trees, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +26,24 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_shards(index)
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_trees.train(docs, table(spark, sf_dir, "labels"))
+    return quality_trees.judge(docs, trees)
+
+
+def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
+    "op5_quality_trees": op5_quality_trees,
+    "op7_quality_qda": op7_quality_qda,
     "op9_bpe": op9_bpe,
 }
 
