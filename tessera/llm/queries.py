@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality_qda, quality_trees, token_records
+from tessera.llm import bpe, pii, quality_qda, quality_trees, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,11 +40,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
     "op5_quality_trees": op5_quality_trees,
     "op7_quality_qda": op7_quality_qda,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
