@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pii, quality_qda, quality_trees, token_records
+from tessera.llm import bpe, pii, quality_qda, quality_trees, secret_scan, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
     "op5_quality_trees": op5_quality_trees,
     "op7_quality_qda": op7_quality_qda,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
