@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
+from tessera.llm import bpe, decontaminate, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_trees.train(docs, table(spark, sf_dir, "labels"))
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
     "op3_url_filter": op3_url_filter,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_trees": op5_quality_trees,
     "op7_quality_qda": op7_quality_qda,
     "op8_secret_scan": op8_secret_scan,
