@@ -26,34 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialise
+from tessera.llm.common import arrow_map, bloom, materialise, may_hold
+from tessera.llm.shingles import hash_words, windows
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8))
 SHORT_MASK = (0, 1, 2, 3)
 SHORTEST = 5
-#: Bits of the Bloom filter, as a power of two: 2 MB in each task.
-FILTER_BITS = 24
 APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(APART).split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def seeds(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
-    """The seed at each place of a word sequence; masks are told apart by their number."""
-    n = len(h) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, number + 1, np.uint64)
-    for k, at in enumerate(mask):
-        out = (out ^ h[at : at + n]) * _C[k]
-        out ^= out >> np.uint64(29)
-    return out
+    return hash_words(words)
 
 
 def rule(n: int) -> tuple[int, int] | None:
@@ -82,7 +68,7 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if rule(len(h)):
                 masks = enumerate(MASKS) if len(h) >= WINDOW else [(len(MASKS), SHORT_MASK)]
                 words = h.view(np.int64).tolist()
-                rows += [(item, words, s, at) for k, m in masks for at, s in enumerate(seeds(h, m, k).view(np.int64).tolist())]
+                rows += [(item, words, s, at) for k, m in masks for at, s in enumerate(windows(h, m, k + 1).view(np.int64).tolist())]
         if rows:
             item, words, s, at = zip(*rows)
             yield pa.RecordBatch.from_arrays(
@@ -94,45 +80,22 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(items.select(id_col, text_col).distinct(), run, f"item_id {kind}, words array<long>, seed long, item_at int")
 
 
-def filter_places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.uint64((1 << FILTER_BITS) - 1)
-    return s & keep, (s >> np.uint64(FILTER_BITS)) & keep
-
-
-def bloom(items: DataFrame) -> np.ndarray:
-    """The filter's bytes: Spark gathers its 64-bit words, of which there are 2 ** (FILTER_BITS - 6) at most."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = filter_places(np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64))
-        at = np.unique(np.concatenate([a, b]))
-        return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int32)), pa.array((1 << (at & np.uint64(7)).astype(np.int32)))], ["place", "bit"])
-
-    got = arrow_map(items.select("seed"), run, "place int, bit int").groupBy("place").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    out[got["place"].to_numpy(np.int64)] = got["bit"].to_numpy(np.uint8)
-    return out
-
-
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, matched, window, doc_word): one row for each document and item found in it.
 
     `matched` of `window` aligned words are equal in the best window, which begins at word `doc_word`."""
     known = materialise(item_seeds(items, item_col, item_text))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(known))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(known.select("seed")))
     short = known.where(F.size("words") < WINDOW).limit(1).count() > 0
 
     def hits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        inside = lambda at: (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = word_hashes(text)
             found_at, found = [], []
             for k, m in [*enumerate(MASKS), *([(len(MASKS), SHORT_MASK)] if short else [])]:
-                s = seeds(h, m, k)
-                a, b = filter_places(s)
-                at = np.nonzero(inside(a))[0]
-                at = at[inside(b[at])]
+                s = windows(h, m, k + 1)
+                at = may_hold(bits.value, s)
                 found_at += at.tolist()
                 found += s[at].view(np.int64).tolist()
             if found:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
+from tessera.llm import bpe, decontaminate, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.cluster(table(spark, sf_dir, "documents"), size=4)
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_records.write_records(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
     return token_records.read_shards(index)
@@ -57,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_records": op2_token_records,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
