@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
+from tessera.llm import bpe, decontaminate, line_dedup, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,11 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.judge(docs, trees)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_trees": op5_quality_trees,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_qda": op7_quality_qda,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
