@@ -213,21 +213,24 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
     return arrow_map(encoded.select(id_col, "ids"), run, f"{id_col} {kind}, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes each text and decodes its ids, in one pass."""
+def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, ids where asked for): encodes each text and decodes its ids."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary)
-        n, a, b = [], [], []
+        n, a, b, every = [], [], [], []
         for text in batch.column(1).to_pylist():
             ids = c.encode(text)
             n.append(len(ids) // 4)
             a.append(hashlib.sha256(ids).hexdigest())
             b.append(hashlib.sha256(c.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
-            [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+            if with_ids:
+                every.append(ids)
+        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(every), "<i4"))))
+        return pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

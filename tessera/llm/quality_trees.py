@@ -137,19 +137,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(np.array(got["features"].tolist()), got["label"].to_numpy(float))
 
 
-def judge(docs: DataFrame, trees: Trees | None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(c: np.ndarray, features: np.ndarray, trees: Trees | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, score and kept, from rows of COUNTS and FEATURES."""
+    failed = (c[:, 0] < 50) | (100 * c[:, 4] > 50 * c[:, 0])
+    score = trees.score(features) if trees else np.ones(len(c))
+    return failed, score, ~failed & (score >= threshold)
+
+
+def judge(docs: DataFrame, trees: Trees | None, threshold: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, *COUNTS, base_failed, score, kept) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, features = zip(*map(statistics, batch.column(1).to_pylist()))
         c = np.array(counts, np.int64)
-        failed = (c[:, 0] < 50) | (100 * c[:, 4] > 50 * c[:, 0])
-        score = trees.score(np.array(features)) if trees else np.ones(len(c))
+        failed, score, kept = verdicts(c, np.array(features), trees, threshold)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep))],
+            [batch.column(0), *(pa.array(c[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(kept)],
             [id_col, *COUNTS, "base_failed", "score", "kept"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"{id_col} {kind}", *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"])
     return arrow_map(docs.select(id_col, text_col), run, schema)
+
+
+def keep(docs: DataFrame, trees: Trees | None, threshold: float = KEEP, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass the base rules and the trees, with all their columns; nothing is shuffled."""
+    place = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, features = zip(*map(statistics, batch.column(place).to_pylist()))
+        return batch.filter(pa.array(verdicts(np.array(counts, np.int64), np.array(features), trees, threshold)[2]))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return arrow_map(docs, run, schema)
