@@ -79,4 +79,29 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+COMPONENTS = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * c >= 80 * (na + nb - c)), k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a), m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON s.doc_id = m.a"""
+
+
+def secrets_sql() -> str:
+    """Spans of all rules by splitting at and extracting the same expression, as the operator defines them."""
+    found = []
+    for place, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        found.append(
+            f"""SELECT rid, '{r.kind}' AS kind, {place} AS place, {r.base} AS base, x.s AS s, x.e AS e FROM (SELECT rid, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'e': list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y))), 'l': length(t[i])}})) AS x
+FROM (SELECT rid, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS t, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}'))) WHERE x.l >= {r.least}"""
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.RULES if r.base)
+    one = "kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place, e"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), f AS ({" UNION ALL ".join(found)}),
+k AS (SELECT * FROM f WHERE base OR NOT EXISTS (SELECT 1 FROM f b WHERE b.base AND b.rid = f.rid AND b.s < f.e AND f.s < b.e))
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}) FILTER (base), '')) AS base_sha256, coalesce(string_agg({one}), '') AS spans FROM d LEFT JOIN k USING (rid) GROUP BY rid, doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": COMPONENTS, "op8_secret_scan": secrets_sql()}
