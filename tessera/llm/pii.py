@@ -45,9 +45,9 @@ LOOKALIKES = {
 INVISIBLE = "­​‌‍⁠﻿"
 # Digits as words, in the languages of the corpus.
 DIGIT_WORDS = {
-    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
-    "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
-    "zéro": 0, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
+    "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
+    "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
+    "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 
@@ -70,13 +70,13 @@ WORD_RUN = re.compile(rf"(?i)(?:(?:\+|(?<!\w)plus)\s{{0,2}})?(?<!\w)(?:{_WORDS})
 WORD_ONE = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
 AT = re.compile(
     r"(?i)\s{0,4}[\[({<]\s{0,4}(?:at|@|ät|arroba|arobase)\s{0,4}[\])}>]\s{0,4}"
-    r"|\s{1,4}(?:at|arroba|arobase)\s{1,4}(?=[a-z0-9-]+(?:\s{0,4}(?:[\[({<]\s{0,4}(?:dot|punkt|point|punto)\s{0,4}[\])}>]|\bdot\b|\bpunkt\b|\bpoint\b|\bpunto\b)\s{0,4}[a-z0-9-]+))"
+    r"|[\s_*-]{1,4}(?:at|arroba|arobase)[\s_*-]{1,4}(?=[a-z0-9]+(?:[\s_*-]{0,4}[\[({<]\s{0,4}(?:dot|punkt|point|punto)\s{0,4}[\])}>]|[\s_*-]{1,4}(?:dot|punkt|point|punto)[\s_*-])[\s_*-]{0,4}[a-z0-9]+)"
 )
-DOT = re.compile(r"(?i)\s{0,4}[\[({<]\s{0,4}(?:dot|\.|punkt|point|punto)\s{0,4}[\])}>]\s{0,4}|(?<=[a-z0-9])\s{1,4}(?:dot|punkt|point|punto)\s{1,4}(?=[a-z0-9])")
+DOT = re.compile(r"(?i)\s{0,4}[\[({<]\s{0,4}(?:dot|\.|punkt|point|punto)\s{0,4}[\])}>]\s{0,4}|(?<=[a-z0-9])[\s_*-]{1,4}(?:dot|punkt|point|punto)[\s_*-]{1,4}(?=[a-z0-9])")
 #: Disguises without brackets have one of these as a token between spaces, signs or brackets.
 DIGIT_TOKENS, DOT_TOKENS = frozenset(w.encode() for w in DIGIT_WORDS), frozenset((b"dot", b"punkt", b"point", b"punto"))
 TOKENS = DIGIT_TOKENS | DOT_TOKENS
-APART = bytes.maketrans(b",.;:-+()[]{}<>", b" " * 14)
+APART = bytes.maketrans(b",.;:-+()[]{}<>_*", b" " * 16)
 BRACKETS = re.compile(r"(?i)[\[({<]\s{0,4}(?:at|@|ät|arroba|arobase|\.)\s{0,4}[\])}>]")
 
 
