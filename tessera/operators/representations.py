@@ -98,21 +98,21 @@ def map_labels(items: Column, table: dict[str, str]) -> Column:
 
 def split_tensions(refs: Column) -> tuple[Column, Column]:
     """Canonical and free tensions of array<struct<text, match, taxonomy_tension>>, each once, in order."""
-    exact = F.filter(refs, lambda r: r["match"].isin("exact", "reversed"))
-    free = F.filter(refs, lambda r: ~r["match"].isin("exact", "reversed"))
+    exact = F.filter(refs, lambda r: r["match"].isin("exact", "reversed_poles"))
+    free = F.filter(refs, lambda r: ~r["match"].isin("exact", "reversed_poles"))
     return F.array_distinct(F.transform(exact, lambda r: r["taxonomy_tension"])), F.array_distinct(F.transform(free, lambda r: r["text"]))
 
 
 def tension_match(text: Column, vocabulary: Sequence[str], separator: str = " ↔ ") -> Column:
-    """Exact, reversed (its halves swapped) or case_specific."""
+    """Exact, reversed_poles (its halves swapped) or case_specific."""
     halves = F.split(text, separator)
     swapped = F.concat(F.get(halves, F.lit(1)), F.lit(separator), F.get(halves, F.lit(0)))
-    return F.when(text.isin(*vocabulary), "exact").when(swapped.isin(*vocabulary), "reversed").otherwise("case_specific")
+    return F.when(text.isin(*vocabulary), "exact").when(swapped.isin(*vocabulary), "reversed_poles").otherwise("case_specific")
 
 
 def strip_quotes(text: Column) -> Column:
-    """A centre without its guillemets."""
-    return F.regexp_replace(F.trim(text), r"^«|»$", "")
+    """A centre without the guillemets around all of it."""
+    return F.trim(F.regexp_replace(F.trim(text), r"(?s)^«(.*)»$", "$1"))
 
 
 def package(union: DataFrame, cards: DataFrame) -> DataFrame:

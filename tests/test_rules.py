@@ -97,7 +97,7 @@ def test_documents(spark):
     assert got[0].a == "Перспектива: перспектива\nФилософские вопросы:\n- вопрос?" and got[0].b == got[0].a + "\nКоординаты: x"
     assert got[1].a == "" and got[1].c == "Вопрос: ?\nРабочие интерпретации:"
     t = spark.range(1).select(*[representations.tension_match(F.lit(x), schemas.TENSIONS).alias(f"c{i}") for i, x in enumerate(("желание ↔ долг", "долг ↔ желание", "a ↔ b"))]).first()
-    assert tuple(t) == ("exact", "reversed", "case_specific")
+    assert tuple(t) == ("exact", "reversed_poles", "case_specific")
 
 
 def test_sessions_equal_loop(spark, sf):
