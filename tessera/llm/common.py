@@ -123,23 +123,24 @@ def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def linked_parts(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: str = "true") -> DataFrame:
     """Components of the nodes that share keys and are confirmed to be alike: (id, component).
 
-    `postings` has key, node and what `fits`, a condition on its columns with x_ and y_ before their names,
-    needs; `confirm` takes pairs (a, b) and returns those that are links. First each list's members are paired
-    with its smallest; the links found are contracted. Then, only in lists that still hold several components,
-    members of different components are paired. Pairs inside a component can't change the result, so a list of
-    n copies of one thing costs n pairs.
+    `postings` has key, node, a weight w and what `fits`, a condition on its columns with x_ and y_ before their
+    names, needs; `confirm` takes pairs (a, b) and returns those that are links. First each list's members are
+    paired with its heaviest; the links found are contracted. Then, only in lists that still hold several
+    components, members of different components are paired. Pairs inside a component can't change the result,
+    so a list of n copies of one thing costs n pairs.
     """
-    first = postings.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    star = materialise(postings.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    often = postings.groupBy("key").agg(F.count("*").alias("c"), F.max("w").alias("most")).where("c > 1").select("key", "most")
+    lists = materialise(postings.join(often, "key"))
+    top = lists.where("w = most").groupBy("key").agg(F.min("node").alias("a"))
+    star = materialise(lists.join(top, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = confirm(star)
     parts = components(links, "a", "b")
-    part = F.coalesce("component", "node").alias("part")
-    listed = postings.join(first.select("key"), "key", "left_semi")
-    placed = listed.join(parts, listed.node == parts.id, "left").select(*postings.columns, part)
-    placed = materialise(placed)
+    placed = lists.drop("most").join(parts, lists.node == parts.id, "left")
+    placed = materialise(placed.select(*postings.columns, F.coalesce("component", "node").alias("part")))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     left = placed.join(mixed, "key")
     x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in left.columns if c != "key"]) for p in "xy")
     across = x.join(y, "key").where(f"x_part <> y_part AND x_node < y_node AND {fits}")
-    across = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return components(links.union(confirm(across)), "a", "b")
+    across = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return components(links.union(confirm(across.join(done, ["a", "b"], "left_anti"))), "a", "b")
