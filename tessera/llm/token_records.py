@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.bpe import BETWEEN, RUNS
+from tessera.llm.bpe import BETWEEN, RUNS, byte_symbols
 from tessera.llm.common import materialise, shared_dir
 
 SHARD_BYTES = 64 << 20
@@ -76,6 +76,24 @@ class LibraryEncoder:
         self.library.no_padding()
         self.cache: dict[str, bytes] = {}
         self.kind = "H" if width == 2 else "I"
+        self.model = self.library.model
+        self.symbol = [c for c, _ in sorted(byte_symbols().items(), key=lambda x: x[1])]
+        self.ends = {c: self.pack(self.library.encode(c, add_special_tokens=False).ids) for c in ",."}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def word(self, piece: str) -> bytes | None:
+        """Ids of a piece of letters alone, or with a comma or stop after them, by the library's model alone.
+
+        Letters are one word to the pre-tokenizer and a sign after them another, so there is nothing to split."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return self.pack([t.id for t in self.model.tokenize("".join(map(self.symbol.__getitem__, piece.encode())))])
+        if body[-1:] in self.ends and body[:-1].isalpha():
+            stem = piece[:-1]
+            return (self.cache.get(stem) or self.word(stem)) + self.ends[body[-1]]
+        return None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -85,9 +103,12 @@ class LibraryEncoder:
         cache = self.cache
         found = [cache.get(p) for p in pieces]
         if None in found:
-            new = list({p for p, ids in zip(pieces, found) if ids is None})
-            done = self.library.encode_batch_fast(new, add_special_tokens=False)
-            got = {p: struct.pack(f"<{len(ids)}{self.kind}", *ids) for p, e in zip(new, done) if (ids := e.ids) is not None}
+            missing = {p for p, ids in zip(pieces, found) if ids is None}
+            got = {p: ids for p in missing if (ids := self.word(p)) is not None}
+            rest = [p for p in missing if p not in got]
+            if rest:
+                done = self.library.encode_batch_fast(rest, add_special_tokens=False)
+                got.update((p, self.pack(e.ids)) for p, e in zip(rest, done))
             found = [got[p] if ids is None else ids for p, ids in zip(pieces, found)]
             if len(cache) + len(got) > CACHE:
                 cache.clear()
@@ -184,7 +205,8 @@ def read_shards(index: DataFrame) -> DataFrame:
                         [pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
-    todo = shards(index).repartition("shard")
+    # by number, since the rows say nothing of the files' size and would be put into one task
+    todo = shards(index).repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return todo.select("shard", "first", "width").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
