@@ -39,6 +39,7 @@ from tessera.llm.common import materialise, shared_dir
 
 SHARD_BYTES = 64 << 20
 CACHE = 1_000_000
+ODD_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 INDEX = "shard string, record long, byte_offset long, byte_length long, doc_id long, n_tokens long, width int, task int, part int"
 
 
@@ -64,6 +65,13 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
+def plain_spaces(text: str) -> bool:
+    """Whether each space stands alone between other characters, so that a split at spaces cuts nowhere else."""
+    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return text.isascii() and not any(c in text for c in ODD_SPACES) or not RUNS.search(text)
+
+
 class LibraryEncoder:
     """The tokenizers library, with its results for pieces between single spaces kept up to a bound."""
 
@@ -92,28 +100,31 @@ class LibraryEncoder:
             return self.pack([t.id for t in self.model.tokenize("".join(map(self.symbol.__getitem__, piece.encode())))])
         if body[-1:] in self.ends and body[:-1].isalpha():
             stem = piece[:-1]
-            return (self.cache.get(stem) or self.word(stem)) + self.ends[body[-1]]
+            return (piece[:1] == " " and self.cache.get(stem[1:]) or self.word(stem)) + self.ends[body[-1]]
         return None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = BETWEEN.split(text) if RUNS.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        pieces = [pieces[0], *[" " + p for p in pieces[1:]]]
-        cache = self.cache
-        found = [cache.get(p) for p in pieces]
+        pieces = text.split(" ") if plain_spaces(text) else BETWEEN.split(text)
+        first, get = pieces.pop(0), self.cache.get
+        head = self.word(first)
+        if head is None:
+            head = self.pack(self.library.encode_batch_fast([first], add_special_tokens=False)[0].ids)
+        # all others are kept without the space that belongs to them
+        found = list(map(get, pieces))
         if None in found:
             missing = {p for p, ids in zip(pieces, found) if ids is None}
-            got = {p: ids for p in missing if (ids := self.word(p)) is not None}
+            got = {p: ids for p in missing if (ids := self.word(" " + p)) is not None}
             rest = [p for p in missing if p not in got]
             if rest:
-                done = self.library.encode_batch_fast(rest, add_special_tokens=False)
+                done = self.library.encode_batch_fast([" " + p for p in rest], add_special_tokens=False)
                 got.update((p, self.pack(e.ids)) for p, e in zip(rest, done))
             found = [got[p] if ids is None else ids for p, ids in zip(pieces, found)]
-            if len(cache) + len(got) > CACHE:
-                cache.clear()
-            cache.update((p, ids) for p, ids in got.items() if len(p) <= 64)
-        return b"".join(found)
+            if len(self.cache) + len(got) > CACHE:
+                self.cache.clear()
+            self.cache.update((p, ids) for p, ids in got.items() if len(p) <= 64)
+        return head + b"".join(found)
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
