@@ -86,7 +86,7 @@ def test_lines(spark):
         (1, LINE + "\nshort\n\nshort", "k"), (2, LINE.upper() + "!\nand here are some other words indeed", "k"), (3, LINE.replace("lazy", "lzy") + "\n" + LINE, "k"),
         (4, None, "k"), (5, "", "k"), (None, LINE, "k"), (6, LINE, "k"), (6, LINE, "k"), (7, "Page 1 of the big report here\nPage 2 of the big report here", "k"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, line string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, places string").selectExpr("*", "places AS doc", "7 AS n_lines", "1 AS text_hash")
     got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.deduplicate(df).collect()]
     assert sorted(got, key=str) == sorted([
         (1, rows[0][1], 4, 0), (2, "and here are some other words indeed", 2, 1), (3, "", 2, 2), (4, None, 0, 0), (5, "", 0, 0), (None, "", 1, 1),
