@@ -115,6 +115,40 @@ def test_near_lines_are_found(spark, sf):
     assert 0.95 * want <= got <= want
 
 
+def edited(r, words, kind):
+    """A line of these words with typos in some of them, or with words added at both ends."""
+    w = list(words)
+    if kind == "ends":
+        return ["qa", *w, "qz"]
+    for at in r.sample(range(len(w)), int(kind)):
+        c = r.randrange(len(w[at]))
+        w[at] = w[at][:c] + "q" + w[at][c + 1 :]
+    return w
+
+
+def test_links_between_different_lines(spark):
+    """Edits anywhere in real lines: nineteen in twenty of the links at least, for each length and kind of edit."""
+    r = random.Random(5)
+    real = [w for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in line_dedup.normalised(x.text)]
+    words = [x.decode("utf-8", "replace") for w in real for x in w if len(x) > 1]
+    rows, of = [], []
+    for sizes in ((5, 5), (6, 8), (9, 12), (13, 16), (17, 40), (41, 90)):
+        for kind in ("1", "2", "3", "ends") + (("5",) if sizes[0] > 16 else ()):
+            links = 0
+            while links < 150:
+                w = r.sample(words, r.randint(*sizes))
+                a, b = " ".join(w), " ".join(edited(r, w, kind))
+                if a != b and line_dedup.alike(a, b):
+                    rows += [(2 * len(of), a), (2 * len(of) + 1, b)]
+                    of.append((sizes, kind))
+                    links += 1
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    found = Counter(of[x.doc_id // 2] for x in got)
+    for group in sorted(set(of)):
+        print(f"{group}: {found[group]} of 150")
+    assert min(found[g] for g in set(of)) >= 0.95 * 150
+
+
 def test_edit_distance():
     r = random.Random(1)
     for _ in range(400):
