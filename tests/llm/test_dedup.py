@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import decontaminate, line_dedup, minhash_dedup
@@ -174,6 +175,17 @@ def test_alike_equals_distance():
         assert line_dedup.alike(x, y) == (line_dedup.edit_distance(x, y) <= 15 * max(len(x), len(y)) // 100)
 
 
+def test_counts_allow_all_that_is_alike():
+    r = random.Random(3)
+    for n in (5, 40, 300):
+        a = ["".join(r.choices("abcdeé語 ", k=n)) for _ in range(300)]
+        b = ["".join(r.choice("xyz") if r.random() < 0.12 else c for c in x) for x in a]
+        sizes = np.array([max(len(x), len(y)) for x, y in zip(a, b)])
+        may = line_dedup.counts_allow(line_dedup.counts_of(a), line_dedup.counts_of(b), sizes)
+        assert all(may[k] for k in range(300) if line_dedup.edit_distance(a[k], b[k]) <= 15 * sizes[k] // 100)
+        assert not line_dedup.counts_allow(line_dedup.counts_of(["a" * 10]), line_dedup.counts_of(["b" * 10]), np.array([10]))[0]
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     r = random.Random(6)
     items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "only five words stand here"), (901, "eight words of one short item are here"), (902, "too short"), (903, None)]
