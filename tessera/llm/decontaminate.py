@@ -13,7 +13,7 @@ Items of 8 to 12 words must fit as a whole with one substitution at most, those
 both are sought by runs of four words. Items of fewer words are found in no document: they would be everywhere.
 
 Defined cases: null and empty texts and items hold nothing; repeated rows give one row each pair of ids; items
-with a null id count as one item without an id, documents likewise; an empty benchmark finds nothing.
+with a null id count as one item without an id, documents likewise, but `clean` tells their texts apart; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +89,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     def hits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, text, rid in zip(*(c.to_pylist() for c in batch.columns)):
             h = word_hashes(text)
             found_at, found = [], []
             for k, m in [*enumerate(MASKS), *([(len(MASKS), SHORT_MASK)] if short else [])]:
@@ -99,7 +98,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 found_at += at.tolist()
                 found += s[at].view(np.int64).tolist()
             if found:
-                rows.append((doc, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), text, found, found_at))
+                rows.append((doc, rid, text, found, found_at))
         if rows:
             doc, rid, text, found, at = zip(*rows)
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +107,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    near = materialise(arrow_map(docs.select(id_col, text_col), hits, f"doc_id {kind}, text_hash long, text string, seeds array<long>, places array<int>"))
+    near = materialise(arrow_map(docs.select(id_col, text_col, F.xxhash64(text_col)), hits, f"doc_id {kind}, text_hash long, text string, seeds array<long>, places array<int>"))
     each = near.select("doc_id", "text_hash", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select(
         "doc_id", "text_hash", F.col("x.seeds").alias("seed"), F.col("x.places").alias("doc_at")
     )
@@ -149,6 +148,6 @@ def pairs(found: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """`docs` without the rows whose id was found to hold an item."""
-    ids = find(docs, items, id_col, text_col, **names).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_found"]), "left_anti")
+    """`docs` without the rows whose id and text were found to hold an item; rows without an id go by their own texts."""
+    found = find(docs, items, id_col, text_col, **names).select(F.col(id_col).alias("_found"), F.col("text_hash").alias("_found_text")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]) & (F.xxhash64(docs[text_col]) == found["_found_text"]), "left_anti")

@@ -186,6 +186,15 @@ def test_counts_allow_all_that_is_alike():
         assert not line_dedup.counts_allow(line_dedup.counts_of(["a" * 10]), line_dedup.counts_of(["b" * 10]), np.array([10]))[0]
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(None, "before " + item), (None, LINE + "\nand one more line of its own"), (None, LINE + "\nthis is something else again here"), (7, item), (7, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.clean(docs, items).collect()) == sorted([rows[1][1], rows[2][1], "other words"])
+    assert sorted(r.n_removed for r in line_dedup.deduplicate(docs.where("text LIKE 'the quick%'")).collect()) == [0, 1]
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     r = random.Random(6)
     items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "only five words stand here"), (901, "eight words of one short item are here"), (902, "too short"), (903, None)]
