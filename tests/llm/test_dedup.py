@@ -195,6 +195,13 @@ def test_texts_without_an_id_are_told_apart(spark):
     assert sorted(r.n_removed for r in line_dedup.deduplicate(docs.where("text LIKE 'the quick%'")).collect()) == [0, 1]
 
 
+def test_lines_without_spaces(spark):
+    chinese, thai = "今天天气很好我们一起去公园散步吧大家都很高兴", "วันนี้อากาศดีมากเราไปเดินเล่นกัน"
+    rows = [(1, chinese + "\n" + thai), (2, chinese.replace("公园", "花园") + "\n其他内容在这里"), (3, thai + "\n好的"), (4, "好的")]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, "其他内容在这里"), (3, "好的"), (4, "好的")]
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     r = random.Random(6)
     items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "only five words stand here"), (901, "eight words of one short item are here"), (902, "too short"), (903, None)]
