@@ -106,9 +106,9 @@ def bloom(keys: DataFrame) -> np.ndarray:
         bit = np.left_shift(1, (at & np.uint64(7)).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int32)), pa.array(bit.astype(np.int32))], ["place", "bit"])
 
-    got = arrow_map(keys, run, "place int, bit int").groupBy("place").agg(F.bit_or("bit").alias("bit")).toPandas()
+    got = arrow_map(keys, run, "place int, bit int").groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    out[got["place"].to_numpy(np.int64)] = got["bit"].to_numpy(np.uint8)
+    out[got["place"].to_numpy()] = got["bit"].to_numpy().astype(np.uint8)
     return out
 
 
@@ -118,30 +118,3 @@ def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.nonzero((table[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & 1)[0]
     b = b[at]
     return at[((table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1) == 1]
-
-
-def linked_parts(postings: DataFrame, nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: str = "true") -> DataFrame:
-    """Components of the nodes that share keys and are confirmed to be alike: (id, component).
-
-    `postings` has key and node; `nodes` has node, a weight w and what `fits`, a condition on its columns with x_
-    and y_ before their names, needs. They are joined once single keys are gone. `confirm` takes pairs (a, b) and returns those that are links. First each list's members are
-    paired with its heaviest; the links found are contracted. Then, only in lists that still hold several
-    components, members of different components are paired. Pairs inside a component can't change the result,
-    so a list of n copies of one thing costs n pairs.
-    """
-    often = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    lists = materialise(postings.join(often, "key").join(nodes, "node"))
-    most = lists.groupBy("key").agg(F.max("w").alias("most"))
-    top = lists.join(most, "key").where("w = most").groupBy("key").agg(F.min("node").alias("a"))
-    star = materialise(lists.join(top, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = confirm(star)
-    parts = components(links, "a", "b")
-    placed = lists.join(parts, lists.node == parts.id, "left")
-    placed = materialise(placed.select(*lists.columns, F.coalesce("component", "node").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    left = placed.join(mixed, "key")
-    x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in left.columns if c != "key"]) for p in "xy")
-    across = x.join(y, "key").where(f"x_part <> y_part AND x_node < y_node AND {fits}")
-    across = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return components(links.union(confirm(across.join(done, ["a", "b"], "left_anti"))), "a", "b")

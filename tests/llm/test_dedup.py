@@ -104,12 +104,11 @@ def test_near_lines_are_found(spark, sf):
         lines.update(b" ".join(w).decode() for w in line_dedup.normalised(r.text) if len(w) >= line_dedup.LEAST_WORDS)
     keys = sorted(lines, key=len)
     parent = {k: k for k in keys}
-    words = {k: set(k.split()) for k in keys}
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
             if 100 * (len(b) - len(a)) > 15 * len(b):
                 break
-            if 2 * len(words[a] & words[b]) >= len(words[a]) and line_dedup.alike(a, b):
+            if line_dedup.alike(a, b):
                 parent[find(parent, a)] = find(parent, b)
     want = sum(lines.values()) - len({find(parent, k) for k in keys})
     got = line_dedup.deduplicate(docs).agg({"n_removed": "sum"}).first()[0]
@@ -175,15 +174,41 @@ def test_alike_equals_distance():
         assert line_dedup.alike(x, y) == (line_dedup.edit_distance(x, y) <= 15 * max(len(x), len(y)) // 100)
 
 
-def test_counts_allow_all_that_is_alike():
+def test_counts_allow_all_that_is_alike(spark):
+    """The filter inside the join lets all short pairs pass that are alike, and not all of the others."""
     r = random.Random(3)
-    for n in (5, 40, 300):
+    for n in (5, 40, 110):
         a = ["".join(r.choices("abcdeé語 ", k=n)) for _ in range(300)]
         b = ["".join(r.choice("xyz") if r.random() < 0.12 else c for c in x) for x in a]
-        sizes = np.array([max(len(x), len(y)) for x, y in zip(a, b)])
-        may = line_dedup.counts_allow(line_dedup.counts_of(a), line_dedup.counts_of(b), sizes)
-        assert all(may[k] for k in range(300) if line_dedup.edit_distance(a[k], b[k]) <= 15 * sizes[k] // 100)
-        assert not line_dedup.counts_allow(line_dedup.counts_of(["a" * 10]), line_dedup.counts_of(["b" * 10]), np.array([10]))[0]
+        sizes = [max(len(x), len(y)) for x, y in zip(a, b)]
+        p, q = line_dedup.counts_of(a).tolist(), line_dedup.counts_of(b).tolist()
+        rows = [(k, len(x), len(y), *p[k], *q[k]) for k, (x, y) in enumerate(zip(a, b))]
+        pairs = spark.createDataFrame(rows, "k long, x_size int, y_size int, x_s0 long, x_s1 long, y_s0 long, y_s1 long")
+        may = {x.k for x in pairs.where(line_dedup.FITS).collect()}
+        assert all(k in may for k in range(300) if line_dedup.edit_distance(a[k], b[k]) <= 15 * sizes[k] // 100)
+    one, other = line_dedup.counts_of(["a" * 10, "b" * 10]).tolist()
+    assert spark.createDataFrame([(0, 10, 10, *one, *other)], pairs.schema).where(line_dedup.FITS).count() == 0
+
+
+def test_simhash_passes_lines_that_keep_most_words():
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    passed = Counter()
+    for k in range(400):
+        a = r.sample(words, 40)
+        b = a[: 40 - 4 * (k % 4)] + r.sample(words, 4 * (k % 4))
+        n = np.array([40])
+        ordered = [line_dedup.ordered(line_dedup.hash_words([x.encode() for x in w]), n, np.zeros(line_dedup.CELLS, np.uint8))[0] for w in (a, b)]
+        x, y = (line_dedup.simhash(w, n).view(np.uint64)[0] for w in ordered)
+        passed[k % 4] += int(np.bitwise_count(x ^ y).sum()) <= line_dedup.BITS
+    assert min(passed[k] for k in range(4)) >= 97
+
+
+def test_digits_count_and_columns_may_clash(spark):
+    a, b = "In 1999 the price was 10 euros there", "In 2024 the price was 99 euros there"
+    docs = spark.createDataFrame([(1, a, "mine", "yours"), (2, b, "mine", "yours"), (3, a + "!", "mine", "yours")], "doc_id long, text string, _doc string, _hash string")
+    got = sorted(line_dedup.deduplicate(docs).collect())
+    assert [(r.doc_id, r.text, r._doc, r._hash, r.n_removed) for r in got] == [(1, a, "mine", "yours", 0), (2, b, "mine", "yours", 0), (3, "", "mine", "yours", 1)]
 
 
 def test_texts_without_an_id_are_told_apart(spark):
