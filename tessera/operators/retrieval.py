@@ -42,28 +42,66 @@ def cosine_rank(queries: DataFrame, cards: DataFrame, k: int, apart: bool = Fals
     return best(s, ["query_id"], [F.desc("cosine"), F.asc("card_id")], k).withColumn("cosine", F.round("cosine", 6))
 
 
-def structure_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """R2: matched tags of each query and card, sorted; cards without any are dropped.
+#: Distinct tags of queries up to which overlaps are counted on bit masks: the declared vocabularies have fewer.
+TAGS = 256
+STRUCTURE_ORDER = ["tension_overlap", "coordinate_overlap"]
 
-    Both sides have coordinates and tensions; a qualifier after a card's tension doesn't count."""
+
+def tag_sides(queries: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (id, coordinates, tensions) with names of their own; a qualifier after a card's tension doesn't count."""
     q = queries.select("query_id", F.col("coordinates").alias("qc"), F.col("tensions").alias("qt"))
-    c = cards.select("card_id", F.col("coordinates").alias("cc"), unqualified("tensions").alias("ct"))
-    both = q.crossJoin(c).select(
-        "query_id", "card_id", F.sort_array(F.array_intersect("qt", "ct")).alias("matched_tensions"),
-        F.sort_array(F.array_intersect("qc", "cc")).alias("matched_coordinates"),
-    )
-    sized = both.withColumns({"tension_overlap": F.size("matched_tensions"), "coordinate_overlap": F.size("matched_coordinates")})
-    return sized.where("tension_overlap + coordinate_overlap > 0")
+    return q, cards.select("card_id", F.col("coordinates").alias("cc"), unqualified("tensions").alias("ct"))
 
 
-STRUCTURE_ORDER = ["tension_overlap", "coordinate_overlap"]
+def masked(df: DataFrame, names: dict[str, str], vocabulary: list[str]) -> DataFrame:
+    """`df` with its tag arrays put in bit masks of the vocabulary, 63 tags a long."""
+    zero = F.lit(0).cast("long")
+
+    def mask(array: str, tags: list[str]) -> Column:
+        bits = F.create_map(*[F.lit(x) for k, tag in enumerate(tags) for x in (tag, 1 << k)])
+        held = F.filter(array, lambda t: t.isNotNull())
+        return F.aggregate(held, zero, lambda m, t: m.bitwiseOR(F.coalesce(F.element_at(bits, t).cast("long"), zero)))
+
+    out = {f"{name}{at // 63}": F.coalesce(mask(array, vocabulary[at : at + 63]), zero) for array, name in names.items() for at in range(0, len(vocabulary), 63)}
+    return df.withColumns(out).drop(*names)
+
+
+def structure_counts(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """R2: (query_id, card_id, tension_overlap, coordinate_overlap) where there is any.
+
+    Only tags of queries can match. Those of a closed vocabulary fit in bit masks, so a pair costs some bit counts."""
+    q, c = tag_sides(queries, cards)
+    tags = q.select(F.explode(F.concat(F.coalesce("qc", F.array()), F.coalesce("qt", F.array()))).alias("t")).where("t IS NOT NULL").distinct()
+    vocabulary = sorted(r.t for r in tags.limit(TAGS + 1).collect())
+    if not 0 < len(vocabulary) <= TAGS:
+        both = q.crossJoin(c).select("query_id", "card_id", F.size(F.array_intersect("qt", "ct")).alias("tension_overlap"), F.size(F.array_intersect("qc", "cc")).alias("coordinate_overlap"))
+    else:
+        x, y = masked(q, {"qt": "qt", "qc": "qc"}, vocabulary), masked(c, {"ct": "ct", "cc": "cc"}, vocabulary)
+        words = range((len(vocabulary) + 62) // 63)
+        overlap = lambda k: sum((F.bit_count(F.col(f"q{k}{w}").bitwiseAND(F.col(f"c{k}{w}"))) for w in words), F.lit(0))
+        both = x.crossJoin(y).select("query_id", "card_id", overlap("t").alias("tension_overlap"), overlap("c").alias("coordinate_overlap"))
+    return both.where("tension_overlap + coordinate_overlap > 0")
+
+
+def with_matches(pairs: DataFrame, queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """`pairs` with their matched tags, sorted."""
+    q, c = tag_sides(queries, cards)
+    both = pairs.join(q, "query_id").join(c, "card_id")
+    matched = {"matched_tensions": F.sort_array(F.array_intersect("qt", "ct")), "matched_coordinates": F.sort_array(F.array_intersect("qc", "cc"))}
+    return both.withColumns(matched).select(*pairs.columns, *matched)
+
+
+def structure_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """R2: overlaps and matched tags of each query and card."""
+    return with_matches(structure_counts(queries, cards), queries, cards)
 
 
 def structure_rank(queries: DataFrame, cards: DataFrame, k: int, apart: bool = False) -> DataFrame:
-    """R2: by tension overlap, then coordinate overlap, then id."""
-    s = structure_scores(queries, cards)
+    """R2: by tension overlap, then coordinate overlap, then id; matched tags are listed for what is kept."""
+    s = structure_counts(queries, cards)
     s = s.where("query_id <> card_id") if apart else s
-    return best(s, ["query_id"], [F.desc("tension_overlap"), F.desc("coordinate_overlap"), F.asc("card_id")], k)
+    kept = best(s, ["query_id"], [F.desc("tension_overlap"), F.desc("coordinate_overlap"), F.asc("card_id")], k)
+    return with_matches(kept, queries, cards)
 
 
 def structure_ties(scores: DataFrame, k: int) -> DataFrame:

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# States of a session and the steps that lead on from each.
+_ASKED = {"submit": "proposed", "reject": "insufficient"}
+_CHOSEN = _ASKED | {"choose": "confirmed"}
+# States of a session and the steps that lead on from each. A submission whose text says too little is
+# `reject`; a question that is chosen is confirmed at once; an answer looks up its material first where there is none.
 TRANSITIONS = {
-    "new": {"submit": "proposed", "reject": "insufficient"},
-    "insufficient": {"submit": "proposed", "reject": "insufficient"},
-    "proposed": {"submit": "proposed", "reject": "insufficient", "choose": "confirmed", "confirm": "confirmed"},
-    "confirmed": {"submit": "proposed", "choose": "confirmed", "confirm": "confirmed", "retrieve": "retrieved"},
-    "retrieved": {"submit": "proposed", "choose": "confirmed", "edit": "confirmed", "compose": "answered"},
-    "answered": {"submit": "proposed", "choose": "confirmed", "edit": "confirmed", "reflect": "reflected"},
-    "reflected": {"submit": "proposed", "choose": "confirmed", "edit": "confirmed"},
+    "new": _ASKED,
+    "insufficient": _ASKED,
+    "proposed": _CHOSEN | {"confirm": "confirmed", "edit": "confirmed"},
+    "confirmed": _CHOSEN | {"confirm": "confirmed", "edit": "confirmed", "retrieve": "retrieved", "compose": "answered", "answer": "answered"},
+    "retrieved": _CHOSEN | {"edit": "confirmed", "retrieve": "retrieved", "compose": "answered", "answer": "answered"},
+    "answered": _CHOSEN | {"edit": "confirmed", "retrieve": "retrieved", "compose": "answered", "answer": "answered", "reflect": "reflected"},
+    "reflected": _CHOSEN | {"edit": "confirmed", "reflect": "reflected"},
 }
 
 

@@ -87,8 +87,11 @@ def tag_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags(spark, sf_dir).where("card_id % 20 = 0").select(F.col("card_id").alias("query_id"), "coordinates", X.unqualified("tensions").alias("tensions"))
 
 
-def structure(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    return retrieval.structure_rank(tag_queries(spark, sf_dir), tags(spark, sf_dir), k, apart=True)
+def structure(spark: SparkSession, sf_dir: str, k: int = 15, only: DataFrame | None = None) -> DataFrame:
+    """Ranks of all tag queries, or of those `only`."""
+    q = tag_queries(spark, sf_dir)
+    q = q if only is None else q.join(only, "query_id", "left_semi")
+    return retrieval.structure_rank(q, tags(spark, sf_dir), k, apart=True)
 
 
 @query(f"""WITH {TAGS} SELECT query_id, card_id, rank, len(mt) AS tension_overlap, len(mc) AS coordinate_overlap,
@@ -102,7 +105,7 @@ def structure_rank(spark, sf_dir):
 SELECT tr.query_id, count(*) AS matching, count(*) FILTER (rank > 15 AND len(mt) = a AND len(mc) = b) AS tied_at_cutoff
 FROM tr LEFT JOIN last ON tr.query_id = last.query_id GROUP BY tr.query_id""")
 def structure_ties(spark, sf_dir):
-    scores = retrieval.structure_scores(tag_queries(spark, sf_dir), tags(spark, sf_dir)).where("query_id <> card_id")
+    scores = retrieval.structure_counts(tag_queries(spark, sf_dir), tags(spark, sf_dir)).where("query_id <> card_id")
     return retrieval.structure_ties(scores, 15)
 
 
@@ -116,7 +119,7 @@ u AS (SELECT coalesce(m.query_id, t.query_id) AS query_id, coalesce(m.card_id, t
 
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vector_queries(spark, sf_dir).select("query_id")
-    return retrieval.candidate_union(meaning(spark, sf_dir), structure(spark, sf_dir).join(known, "query_id", "left_semi"))
+    return retrieval.candidate_union(meaning(spark, sf_dir), structure(spark, sf_dir, only=known))
 
 
 @query(f"WITH {UNION} SELECT * FROM u")
@@ -128,7 +131,7 @@ def candidate_union(spark, sf_dir):
 def union_violations(spark, sf_dir):
     """The union against its two routes, and cards of customers in debt as the exclusion list."""
     m = meaning(spark, sf_dir)
-    t = structure(spark, sf_dir).join(vector_queries(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+    t = structure(spark, sf_dir, only=vector_queries(spark, sf_dir).select("query_id"))
     excluded = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("card_id"))
     return retrieval.union_violations(retrieval.candidate_union(m, t), m, t, excluded)
 

@@ -115,6 +115,15 @@ def test_sessions_equal_loop(spark, sf):
         assert got[user] == (len(steps), state, refused)
 
 
+@pytest.mark.parametrize(("steps", "state", "refused"), [
+    ("submit choose retrieve compose reflect", "reflected", 0), ("compose submit compose confirm compose", "answered", 2), ("submit confirm retrieve retrieve edit answer reflect reflect", "reflected", 0),
+    ("submit confirm compose retrieve confirm", "retrieved", 1), ("reject choose confirm retrieve submit edit", "confirmed", 3), ("submit choose compose reflect compose retrieve choose", "confirmed", 2), ("", "new", 0),
+])
+def test_sessions_by_hand(spark, steps, state, refused):
+    df = spark.createDataFrame([(steps.split(),)], "s array<string>")
+    assert tuple(df.select(sessions.folded(F.col("s")).alias("f")).first().f) == (state, refused)
+
+
 def test_compositions(spark):
     cards = spark.createDataFrame([("1", "Мысль.", "Применение.", "Что важно?"), ("2", "Раз два.", "", "Что? Как?")], "id string, main_idea string, applied_insight string, reflection_question string")
     got = {(r.id, r.problem) for r in compositions.card_problems(cards, ["id"], {"advice": ["должны"]}).collect()}
