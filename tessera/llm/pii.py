@@ -3,7 +3,8 @@
 Base detectors run on the text as it is. Texts that hold a disguise are then rewritten by two transducers,
 homoglyphs first, then spelled digits and at/dot words, which carry for each character they write the span
 of source characters it stands for. The same detectors run on the rewritten text; what they find there is
-mapped back to the source and added where it overlaps no base span.
+mapped back to the source and added where no base span covers it: a disguised address that holds a plain one is
+found beside it.
 
 Defined cases: null and empty texts have no spans; rows stay as they are, repeated ones included; offsets
 count code points, ends exclusive; scans are linear in the text, also for very long runs of one character.
@@ -70,7 +71,7 @@ WORD_RUN = re.compile(rf"(?i)(?:(?:\+|(?<!\w)plus)\s{{0,2}})?(?<!\w)(?:{_WORDS})
 WORD_ONE = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
 AT = re.compile(
     r"(?i)\s{0,4}[\[({<]\s{0,4}(?:at|@|ät|arroba|arobase)\s{0,4}[\])}>]\s{0,4}"
-    r"|[\s_*-]{1,4}(?:at|arroba|arobase)[\s_*-]{1,4}(?=[a-z0-9]+(?:[\s_*-]{0,4}[\[({<]\s{0,4}(?:dot|punkt|point|punto)\s{0,4}[\])}>]|[\s_*-]{1,4}(?:dot|punkt|point|punto)[\s_*-])[\s_*-]{0,4}[a-z0-9]+)"
+    r"|[\s_*-]{1,4}(?:at|arroba|arobase)[\s_*-]{1,4}(?=[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:[\s_*-]{0,4}[\[({<]\s{0,4}(?:dot|punkt|point|punto)\s{0,4}[\])}>]|[\s_*-]{1,4}(?:dot|punkt|point|punto)[\s_*-])[\s_*-]{0,4}[a-z0-9]+)"
 )
 DOT = re.compile(r"(?i)\s{0,4}[\[({<]\s{0,4}(?:dot|\.|punkt|point|punto)\s{0,4}[\])}>]\s{0,4}|(?<=[a-z0-9])[\s_*-]{1,4}(?:dot|punkt|point|punto)[\s_*-]{1,4}(?=[a-z0-9])")
 #: Disguises without brackets have one of these as a token between spaces, signs or brackets.
@@ -205,7 +206,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     more = []
     for a, b, kind in detect(t.text):
         a, b = t.source(a, b)
-        if not any(x < b and a < y for x, y, _ in base):
+        if not any(x <= a and b <= y for x, y, _ in base):
             more.append((a, b, kind))
     return base, sorted({*base, *more}, key=lambda s: (s[0], s[2], s[1]))
 

@@ -8,8 +8,8 @@ Characters fall into `SYMBOLS` classes (letters, digits as one, signs, everythin
 to ORDER of them: a model can have SYMBOLS ** (ORDER + 1) cells at most, whatever the corpus, which bounds what
 is fetched and broadcast. Counts cover every URL that a rule fits outside the calibration fold.
 
-Defined cases: null URLs and those without `://` have an empty host and path, fit no rule and, with nothing to
-score, are allowed; repeated rows each get their row. Where rules of one verdict fit no URL there is no model
+Defined cases: null URLs and those without `://` have an empty host and path and fit no rule; null and empty ones,
+with nothing to score, are allowed, all others get the models' verdict; repeated rows each get their row. Where rules of one verdict fit no URL there is no model
 and every other URL is allowed.
 """
 
@@ -97,6 +97,8 @@ class Ratio:
 
     codes: list[np.ndarray]
     values: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
     threshold: float = 0.0
 
     def score(self, url: str | None) -> float | None:
@@ -108,8 +110,13 @@ class Ratio:
             short = code % SYMBOLS ** (order + 1)
             at = np.minimum(np.searchsorted(self.codes[order], short), len(self.codes[order]) - 1)
             hit = open_ & (self.codes[order][at] == short)
-            out[hit] = self.values[order][at[hit]]
+            out[hit] += self.values[order][at[hit]]
             open_ &= ~hit
+            if order and len(self.contexts[order]):
+                # a known context without this character: what both sides leave for shorter contexts
+                at = np.minimum(np.searchsorted(self.contexts[order], short // SYMBOLS), len(self.contexts[order]) - 1)
+                left = open_ & (self.contexts[order][at] == short // SYMBOLS)
+                out[left] += self.escapes[order][at[left]]
         return float(out.sum() / len(code))
 
 
@@ -120,6 +127,8 @@ def ratio(counts: dict[bool, tuple[np.ndarray, np.ndarray]]) -> Ratio | None:
     probability: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {}
     every = [np.unique(np.concatenate([counts[s][0] % SYMBOLS ** (o + 1) for s in (True, False)])) for o in range(ORDER + 1)]
     every[0] = np.arange(SYMBOLS)
+    known_contexts = [np.unique(e // SYMBOLS) for e in every]
+    escapes = [np.zeros(len(c)) for c in known_contexts]
     for side in (True, False):
         code, n = counts[side]
         below = np.full(SYMBOLS, 1 / SYMBOLS)
@@ -129,6 +138,8 @@ def ratio(counts: dict[bool, tuple[np.ndarray, np.ndarray]]) -> Ratio | None:
             times = np.bincount(back, n)
             context, where = np.unique(known // SYMBOLS, return_inverse=True)
             total, kinds = np.bincount(where, times), np.bincount(where)
+            often = total >= LEAST
+            escapes[order][np.searchsorted(known_contexts[order], context[often])] += (1 if side else -1) * np.log(kinds[often] / (total[often] + kinds[often]))
             ask = every[order]
             at = np.minimum(np.searchsorted(known, ask), len(known) - 1)
             mine = np.where(known[at] == ask, times[at], 0)
@@ -142,7 +153,7 @@ def ratio(counts: dict[bool, tuple[np.ndarray, np.ndarray]]) -> Ratio | None:
             tables.append((ask, np.where(enough, mixed, lower)))
         probability[side] = tables
     values = [np.log(probability[True][o][1]) - np.log(probability[False][o][1]) for o in range(ORDER + 1)]
-    return Ratio(every, values)
+    return Ratio(every, values, known_contexts, escapes)
 
 
 def scored(urls: DataFrame, model: Ratio | None, columns: list[str]) -> DataFrame:
@@ -181,7 +192,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_c
     """(id, host, path, rule, verdict, score) of every row; `score` is null where a rule decides."""
     model = train(pages, rules, url_col)
     rows = ruled(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), rules, "url")
-    rows = rows.select("id", "host", "path", "rule", "rule_verdict", F.when(F.col("rule").isNull() & (F.col("host") != ""), F.col("url")).alias("url"))
+    rows = rows.select("id", "host", "path", "rule", "rule_verdict", F.when(F.col("rule").isNull(), F.col("url")).alias("url"))
     columns = ["id", "host", "path", "rule", "rule_verdict", "url"]
     out = scored(rows, model, columns)
     own = F.when(F.col("score") < (model.threshold if model else 0.0), "block").otherwise("allow")

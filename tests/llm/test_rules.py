@@ -131,6 +131,15 @@ def test_disguises_map_back(text, found):
     assert text[a:b] == found
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("to jоhn@example.com now", "jоhn@example.com"), ("john dot doe@example.com", "john dot doe@example.com"), ("user at my-site dot com", "user at my-site dot com"),
+    ("call +1 212 555 zero one zero zero", "+1 212 555 zero one zero zero"),
+])
+def test_wider_spans_are_added(text, found):
+    base, every = pii.scan(text)
+    assert set(base) <= set(every) and found in [text[a:b] for a, b, _ in every]
+
+
 @pytest.mark.parametrize("text", ["He was at home. The dot is small.", "one of two at example.com is three", None, "", "null und acht", "stay-at-home and un deux trois", "a point_of view at home", "1" * 200_000, "a" * 200_000, "+" * 50_000])
 def test_clean_texts_stay_clean(text):
     assert pii.scan(text) == ([], [])
@@ -144,15 +153,56 @@ def test_personal_data_rows(spark):
 
 def test_urls(spark, sf):
     rows = [(1, None), (2, "nope"), (3, "http://EXAMPLE.net/en/a?b://c"), (4, "x://a.org#f/fr/"), (5, "http://net/"), (6, "http://xnet/q"), (7, "http://m.a.example.com/de/x"), (7, "http://m.a.example.com/de/x"), (8, "https://w.org/fr/1")]
-    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect() if r.page_id != 6 and r.page_id != 4), key=str)
+    judged = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    # no rule decides about a URL without a host, so the models do
+    assert {(r.host, r.path, r.rule, r.score is None) for r in judged if r.page_id == 2} == {("", "", None, False)}
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judged if r.page_id not in (2, 4, 6)), key=str)
     assert got == sorted([
-        (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "example.net", "/en/a", "example.net/en/", "allow"), (5, "net", "/", "net/", "block"),
+        (1, "", "", None, "allow"), (3, "example.net", "/en/a", "example.net/en/", "allow"), (5, "net", "/", "net/", "block"),
         (7, "m.a.example.com", "/de/x", "example.com/de/", "block"), (7, "m.a.example.com", "/de/x", "example.com/de/", "block"), (8, "w.org", "/fr/1", "org/fr/", "allow"),
     ], key=str)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert url_filter.judge(pages).count() == pages.count() and url_filter.judge(pages.where("page_id < 0")).count() == 0
 
 
+def plain_ratio(urls, side, text):
+    """Mean log probability of the characters of `text` by the model of one side: Witten and Bell, written out."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    code = lambda u: [0] * url_filter.ORDER + [int(url_filter.grams(u)[k]) % url_filter.SYMBOLS for k in range(len(url_filter.grams(u)))]
+    after = defaultdict(Counter)
+    for u in urls[side]:
+        c = code(u)
+        for i in range(url_filter.ORDER, len(c)):
+            for o in range(url_filter.ORDER + 1):
+                after[tuple(c[i - o : i])][c[i]] += 1
+
+    def p(context, x):
+        lower = p(context[1:], x) if context else 1 / url_filter.SYMBOLS
+        seen = after.get(context)
+        if not seen or sum(seen.values()) < url_filter.LEAST:
+            return lower
+        return (seen[x] + len(seen) * lower) / (seen.total() + len(seen))
+
+    c = code(text)
+    return sum(log(p(tuple(c[i - url_filter.ORDER : i]), c[i])) for i in range(url_filter.ORDER, len(c))) / (len(c) - url_filter.ORDER)
+
+
+def test_score_equals_a_plain_model():
+    import random
+
+    r = random.Random(1)
+    urls = {s: [f"https://{w}.example.org/{r.choice('abc')}{r.randrange(99)}?q={r.choice(w)}" for _ in range(60)] for s, w in ((True, "kitten"), (False, "casino"))}
+    count = {}
+    for side in urls:
+        code, n = np.unique(np.concatenate([url_filter.grams(u) for u in urls[side]]), return_counts=True)
+        count[side] = (code, n.astype(float))
+    model = url_filter.ratio(count)
+    for u in urls[True][:5] + urls[False][:5] + ["kit", "https://a.example.net/zzz"]:
+        assert model.score(u) == pytest.approx(plain_ratio(urls, True, u) - plain_ratio(urls, False, u), abs=1e-9), u
+
+
 def test_models_tell_their_texts_apart():
     yes, no = ([f"https://{w}.example.org/{k}" for k in range(40)] for w in ("kitten", "casino"))
     count = {}
