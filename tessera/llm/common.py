@@ -31,7 +31,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote for these frames, of which nothing is read any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -75,7 +85,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        pair = materialise(small)
+        before, pair = pair, materialise(small)
+        release(before)
         now = pair.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == last:
             break
