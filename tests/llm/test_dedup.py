@@ -204,6 +204,21 @@ def test_simhash_passes_lines_that_keep_most_words():
     assert min(passed[k] for k in range(4)) >= 97
 
 
+def test_long_lists_lose_no_link(spark):
+    """Families of near lines that share their rare words: one line of each stays."""
+    r = random.Random(9)
+    words = [f"{x}{y}" for x in ("ba", "ke", "lo", "mu", "ni", "to") for y in ("ra", "sel", "vin", "dor", "pag", "zum", "fit")]
+    rows = []
+    for family_ in range(3):
+        base = [r.choice(words) for _ in range(20)]
+        for _ in range(60):
+            w = list(base)
+            w[r.randrange(20)] = r.choice(words) + "x"
+            rows.append((len(rows), " ".join(["common", "start", "of", "all", "lines", *w])))
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()
+    assert sorted(x.doc_id for x in got) == [0, 60, 120]
+
+
 def test_digits_count_and_columns_may_clash(spark):
     a, b = "In 1999 the price was 10 euros there", "In 2024 the price was 99 euros there"
     docs = spark.createDataFrame([(1, a, "mine", "yours"), (2, b, "mine", "yours"), (3, a + "!", "mine", "yours")], "doc_id long, text string, _doc string, _hash string")
