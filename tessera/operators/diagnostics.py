@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from tessera.functions.text import content_words, runs, word_tokens
 from tessera.functions.vectors import dot, doubles, norm
 
+#: Ranges of equal width in which values are counted before quantiles are looked for.
+RANGES = 4096
+
 
 def frequencies(ranked: DataFrame, universe: DataFrame) -> DataFrame:
     """(card_id, freq) over the whole universe; cards that no ranking holds have 0."""
@@ -123,18 +126,52 @@ def centrality(cards: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column each."""
-    return df.agg(*[F.round(F.percentile(value, F.lit(p)), 6).alias(f"q{round(100 * p)}") for p in at])
+    """Exact quantiles with linear interpolation, one column each; nulls don't count, no values give nulls.
+
+    Equal values are counted first. Ranges of equal width are counted next, and only those that hold a wanted place
+    are sorted, each by itself: no buffer and no task sees all values."""
+    kinds = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    ends = kinds.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)).otherwise(0)
+    placed = kinds.crossJoin(ends).withColumn("part", part)  # `ends` is a single row
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # over the ranges, RANGES + 1 at most
+    counts = placed.groupBy("part", "total").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(up))
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(g(F.lit(p) * (F.col("total") - 1)).cast("long")) for p in at for g in (F.floor, F.ceil)])))
+    places = counts.select("part", (F.col("upto") - F.col("m")).alias("below"), "upto", "total", F.explode(wanted).alias("place")).where("place >= below AND place < upto")
+    inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = placed.select("part", "x", "n").join(places.select("part", "below").distinct(), "part").withColumn("end", F.col("below") + F.sum("n").over(inside))
+    hit = (F.col("place") >= F.col("end") - F.col("n")) & (F.col("place") < F.col("end"))
+    found = sorted_.join(places.select("part", "place", "total"), "part").where(hit)
+
+    def quantile(p: float) -> Column:
+        h = F.lit(p) * (F.col("total") - 1)
+        low, high = (F.max(F.when(F.col("place") == g(h).cast("long"), F.col("x"))) for g in (F.floor, F.ceil))
+        return F.round(low + (high - low) * F.max(h - F.floor(h)), 6).alias(f"q{round(100 * p)}")
+
+    return found.agg(*map(quantile, at))
+
+
+def mean_ranks(df: DataFrame, group: str, x: str, name: str) -> DataFrame:
+    """(group, x, name): the mean rank of each distinct value, nulls first; sorts distinct values, not rows."""
+    up = Window.partitionBy(group).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    counts = df.groupBy(group, x).agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(up))
+    return counts.select(F.col(group).alias(f"{name}_g"), F.col(x).alias(f"{name}_x"), (F.col("upto") - (F.col("m") - 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
-    """Rank correlation by group, ties with their mean rank."""
-
-    def ranked(x: str) -> Column:
-        w = Window.partitionBy(group)
-        return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(group, x)) - 1) / 2
-
-    return df.select(group, ranked(a).alias("ra"), ranked(b).alias("rb")).groupBy(group).agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    """Rank correlation by group, ties with their mean rank; null where one side has a single value.
+
+    Equal pairs are counted before anything is ranked. The mean of a group's ranks is known, (n + 1) / 2, so the
+    sums are of small differences."""
+    pairs = df.groupBy(group, a, b).agg(F.count("*").alias("n"))
+    out = pairs
+    for x, name in ((a, "ra"), (b, "rb")):
+        ranks = mean_ranks(pairs, group, x, name)
+        out = out.join(ranks, F.col(group).eqNullSafe(F.col(f"{name}_g")) & F.col(x).eqNullSafe(F.col(f"{name}_x"))).drop(f"{name}_g", f"{name}_x")
+    sizes = pairs.groupBy(F.col(group).alias("sizes_g")).agg(((F.sum("n") + 1) / 2).alias("mid"))
+    off = out.join(sizes, F.col(group).eqNullSafe(F.col("sizes_g"))).select(group, "n", (F.col("ra") - F.col("mid")).alias("da"), (F.col("rb") - F.col("mid")).alias("db"))
+    total = lambda x, y: F.sum(F.col("n") * F.col(x) * F.col(y))
+    return off.groupBy(group).agg(F.round(F.try_divide(total("da", "db"), F.sqrt(total("da", "da")) * F.sqrt(total("db", "db"))), 6).alias("spearman"))
 
 
 def union_stats(union: DataFrame) -> DataFrame:

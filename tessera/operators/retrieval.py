@@ -147,9 +147,9 @@ def union_violations(union: DataFrame, meaning: DataFrame, structure: DataFrame,
     return lacks.unionByName(extra).unionByName(leak)
 
 
-def view_ranks(views: DataFrame, cards: DataFrame) -> DataFrame:
-    """(query_id, view, card_id, cosine, rank): the whole ranking of each view."""
-    return best(cosine_scores(views, cards, ("query_id", "view")), ["query_id", "view"], [F.desc("cosine"), F.asc("card_id")], None)
+def view_ranks(views: DataFrame, cards: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, view, card_id, cosine, rank): the ranking of each view, or its first k cards."""
+    return best(cosine_scores(views, cards, ("query_id", "view")), ["query_id", "view"], [F.desc("cosine"), F.asc("card_id")], k)
 
 
 def fuse_max(scores: DataFrame, k: int) -> DataFrame:
@@ -165,15 +165,17 @@ def fuse_rrf(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def fuse_round_robin(ranked: DataFrame, k: int) -> DataFrame:
-    """Views take turns, each with its next card that isn't in yet: by first rank, then by view."""
+    """Views take turns, each with its next card that isn't in yet: by first rank, then by view.
+
+    Ranks up to k are enough: the first view alone has k cards that come before any of a later rank."""
     first = ranked.groupBy("query_id", "card_id").agg(F.min(F.struct("rank", "view")).alias("first"))
     return best(first, ["query_id"], [F.asc("first")], k).select("query_id", "card_id", "rank", F.col("first.rank").alias("view_rank"), F.col("first.view").alias("view"))
 
 
-def found_by(ranked: DataFrame, top: int) -> DataFrame:
-    """Competition rank of each card in each view, where it is at most `top`."""
+def found_by(scores: DataFrame, top: int) -> DataFrame:
+    """Competition rank of each card in each view, where it is at most `top`, from (query_id, view, card_id, cosine)."""
     w = Window.partitionBy("query_id", "view").orderBy(F.desc("cosine"))
-    return ranked.withColumn("competition_rank", F.rank().over(w)).where(F.col("competition_rank") <= top)
+    return scores.withColumn("competition_rank", F.rank().over(w)).where(F.col("competition_rank") <= top)
 
 
 def hybrid(core: DataFrame, views: DataFrame, pool: int, cap: int = PER_SOURCE) -> DataFrame:

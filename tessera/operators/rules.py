@@ -136,9 +136,16 @@ def json_issues(lines: DataFrame, schema: str, fields: Sequence[str], forbidden:
 
 
 def duplicate_ids(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
-    """A2, V7: (id, n, lines): the first ten lines of ids that occur more than once."""
+    """A2, V7: (id, n, lines): ids that occur more than once with all their lines, as one array an id.
+
+    For a report of ids with few lines; `duplicate_rows` has the same as rows, however many an id has."""
+    return duplicate_rows(df, id_col, line_col).groupBy(id_col, "n").agg(F.array_sort(F.collect_set(line_col)).alias("lines"))
+
+
+def duplicate_rows(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
+    """A2, V7: (id, n, line): a row for each line of an id that occurs more than once, with its number of lines."""
     many = df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
-    return many.join(df.select(id_col, line_col), id_col).groupBy(id_col, "n").agg(F.array_sort(F.collect_set(line_col)).alias("lines"))
+    return df.select(id_col, line_col).join(many, id_col).select(id_col, "n", line_col)
 
 
 def set_difference(expected: DataFrame, actual: DataFrame, id_col: str) -> DataFrame:

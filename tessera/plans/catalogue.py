@@ -177,8 +177,12 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(v, F.col("query_id") + F.col("view") == F.col("card_id")).select("query_id", "view", F.col("vector").alias("query_vector"))
 
 
-def view_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.view_ranks(views(spark, sf_dir), cards(spark, sf_dir))
+def view_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.cosine_scores(views(spark, sf_dir), cards(spark, sf_dir), ("query_id", "view"))
+
+
+def view_ranks(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+    return retrieval.view_ranks(views(spark, sf_dir), cards(spark, sf_dir), k)
 
 
 @query(f"""WITH {VIEWS}, m AS (SELECT query_id, card_id, max(cosine) AS cosine FROM s GROUP BY ALL),
@@ -186,8 +190,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, c
 SELECT query_id, card_id, rank, round(cosine, 6) AS cosine FROM n WHERE rank <= 20 AND cosine < 0.9999999""")
 def fusion_max(spark, sf_dir):
     """Views are cards of their own; their cosine of 1 to themselves is no finding."""
-    scores = retrieval.cosine_scores(views(spark, sf_dir), cards(spark, sf_dir), ("query_id", "view"))
-    ranked = retrieval.fuse_max(scores, 20).where("cosine < 0.9999999")
+    ranked = retrieval.fuse_max(view_scores(spark, sf_dir), 20).where("cosine < 0.9999999")
     return ranked.select("query_id", "card_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
@@ -202,13 +205,13 @@ def fusion_rrf(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f) AS rank FROM m)
 SELECT query_id, card_id, rank, f // 10 AS view_rank, f % 10 AS view FROM n WHERE rank <= 20""")
 def fusion_round_robin(spark, sf_dir):
-    return retrieval.fuse_round_robin(view_ranks(spark, sf_dir), 20)
+    return retrieval.fuse_round_robin(view_ranks(spark, sf_dir, 20), 20)
 
 
 @query(f"""WITH {VIEWS}, k AS (SELECT query_id, view, card_id, rank() OVER (PARTITION BY query_id, view ORDER BY cosine DESC) AS competition_rank FROM s)
 SELECT * FROM k WHERE competition_rank <= 30""")
 def found_by_view(spark, sf_dir):
-    return retrieval.found_by(view_ranks(spark, sf_dir), 30).select("query_id", "view", "card_id", "competition_rank")
+    return retrieval.found_by(view_scores(spark, sf_dir), 30).select("query_id", "view", "card_id", "competition_rank")
 
 
 @query()
@@ -216,7 +219,7 @@ def fusion_hybrid(spark, sf_dir):
     """Shared caps between views are state from card to card; tests hold it against the plain loop."""
     source = cards(spark, sf_dir).select("card_id", "source")
     core = retrieval.diversity(sourced(spark, sf_dir, 30), pool=10, scan=30).where("accepted").select("query_id", "card_id", "source", "rank")
-    ranked = view_ranks(spark, sf_dir).where("rank <= 60").join(source, "card_id")
+    ranked = view_ranks(spark, sf_dir, 60).join(source, "card_id")
     return retrieval.hybrid(core, ranked, 20)
 
 
@@ -232,7 +235,7 @@ SELECT per.query_id, pool_size, round(found / n_gold, 6) AS recall, round(weak /
 FROM per LEFT JOIN h USING (query_id) LEFT JOIN g USING (query_id)""")
 def pool_quality(spark, sf_dir):
     """Cards of the query's own label are the gold; the pool is the first view's."""
-    ranked = view_ranks(spark, sf_dir)
+    ranked = view_ranks(spark, sf_dir, 30)  # those after 30 are weak, whatever their rank
     source = cards(spark, sf_dir).select("card_id", "source")
     q = vector_queries(spark, sf_dir).select("query_id")
     gold = q.join(source, F.col("query_id") == F.col("card_id")).select("query_id", "source").join(source, "source").where("query_id <> card_id")
@@ -494,9 +497,13 @@ def ngram_reuse(spark, sf_dir):
     return g.join(d, "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("g").alias("n_shared"))
 
 
-@query()
+@query(r"""WITH x AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS s FROM documents),
+e AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS y FROM x),
+w AS (SELECT doc_id, i, y, sum(len(regexp_extract_all(y, '[\p{L}\p{N}_«»-]+'))) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM e),
+k AS (SELECT doc_id, string_agg(y, ' ' ORDER BY i) AS excerpt FROM w WHERE n <= 40 GROUP BY doc_id)
+SELECT x.doc_id, excerpt, len(s) AS n_sentences FROM x LEFT JOIN k ON x.doc_id = k.doc_id""")
 def lead_excerpts(spark, sf_dir):
-    """Whole leading sentences of up to 40 words; tests hold it against a loop."""
+    """Whole leading sentences of up to 40 words; tests hold it against a loop as well."""
     return table(spark, sf_dir, "documents").select("doc_id", X.lead_excerpt("text").alias("excerpt"), X.sentence_count("text").alias("n_sentences"))
 
 
@@ -636,6 +643,11 @@ def duplicate_ids(spark, sf_dir):
     return rules.duplicate_ids(d, "id", "doc_id").withColumn("lines", F.array_join("lines", ","))
 
 
+@query("""WITH h AS (SELECT sha256(text) AS id, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) SELECT id, n, doc_id FROM h WHERE n > 1""")
+def duplicate_rows(spark, sf_dir):
+    return rules.duplicate_rows(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("id"), "doc_id"), "id", "doc_id")
+
+
 @query("""SELECT o_orderkey AS id, 'MISSING_EXPECTED_ID' AS code FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'UNEXPECTED_ID' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 def id_sets(spark, sf_dir):
     return rules.set_difference(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
@@ -678,9 +690,17 @@ def issue_summary(spark, sf_dir):
 _STEPS = {"view": "submit", "click": "confirm", "purchase": "compose", "signup": "retrieve", "error": "reject"}
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+ CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'confirm' WHEN 'purchase' THEN 'compose' WHEN 'signup' THEN 'retrieve' WHEN 'error' THEN 'reject' ELSE coalesce(event_type, 'other') END AS step FROM events),
+t(a, step, b) AS (VALUES ('new', 'submit', 'proposed'), ('new', 'reject', 'insufficient'), ('insufficient', 'submit', 'proposed'), ('insufficient', 'reject', 'insufficient'),
+ ('proposed', 'submit', 'proposed'), ('proposed', 'reject', 'insufficient'), ('proposed', 'confirm', 'confirmed'), ('confirmed', 'submit', 'proposed'), ('confirmed', 'reject', 'insufficient'),
+ ('confirmed', 'confirm', 'confirmed'), ('confirmed', 'retrieve', 'retrieved'), ('confirmed', 'compose', 'answered'), ('retrieved', 'submit', 'proposed'), ('retrieved', 'reject', 'insufficient'),
+ ('retrieved', 'retrieve', 'retrieved'), ('retrieved', 'compose', 'answered'), ('answered', 'submit', 'proposed'), ('answered', 'reject', 'insufficient'), ('answered', 'retrieve', 'retrieved'), ('answered', 'compose', 'answered')),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'new' AS state, 0::BIGINT AS refused FROM e
+ UNION ALL SELECT s.user_id, e.i, coalesce(t.b, s.state), s.refused + (t.b IS NULL)::BIGINT FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1 LEFT JOIN t ON t.a = s.state AND t.step = e.step)
+SELECT user_id, max(i) AS n_events, arg_max(state, i) AS state, arg_max(refused, i) AS refused FROM s GROUP BY user_id""")
 def session_state(spark, sf_dir):
-    """A fold over each user's steps; tests hold it against a loop."""
+    """A fold over each user's steps; tests hold it against a loop as well."""
     step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _STEPS.items() for x in p]), F.col("event_type")), F.lit("other"))
     return sessions.session_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], step)
 

@@ -173,3 +173,22 @@ def test_plans_limit_before_the_shuffle(spark, sf):
 
     plan = catalogue.meaning(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_quantiles_equal_plain(spark):
+    r = random.Random(5)
+    for values in ([], [3.0], [2.0] * 50, [r.gauss(0, 1) for _ in range(500)], [0.0] * 300 + [r.random() for _ in range(100)] + [1e6], [None, 1.0, 2.0]):
+        kept = sorted(v for v in values if v is not None)
+        got = diagnostics.quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()
+        if not kept:
+            assert set(got) == {None}
+        for p in (0.1, 0.25, 0.5, 0.75, 0.9) if kept else ():
+            h = p * (len(kept) - 1)
+            low, high = kept[int(h)], kept[min(int(h) + (h > int(h)), len(kept) - 1)]
+            assert got[f"q{round(100 * p)}"] == pytest.approx(low + (high - low) * (h - int(h)), abs=1e-6)
+
+
+def test_spearman_of_one_value_is_null(spark):
+    rows = [("a", 1, 1), ("a", 1, 2), (None, 1, 3), (None, 2, 1), (None, None, 9)]
+    got = {r.g: r.spearman for r in diagnostics.spearman(spark.createDataFrame(rows, "g string, a long, b long"), "a", "b", "g").collect()}
+    assert got == {"a": None, None: -1.0}
