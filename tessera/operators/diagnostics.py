@@ -222,6 +222,41 @@ def pool_quality(pool: DataFrame, ranked: DataFrame, gold: DataFrame, weak_after
     return out.select("query_id", "pool_size", F.round(F.col("found") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("weak") / F.col("pool_size"), 6).alias("weak_share"), F.coalesce("views_hit", F.lit(0)).alias("views_hit"))
 
 
+def pool_spread(pool: DataFrame, cards: DataFrame) -> DataFrame:
+    """(query_id, spread): mean cosine between the cards of a pool, from the sum of their unit vectors; null for one card."""
+    s = unit_sums(pool.select("query_id", "card_id").join(cards.select("card_id", "vector"), "card_id"), ["query_id"])
+    n = F.col("n")
+    return s.select("query_id", F.round(F.try_divide(dot(F.col("total"), F.col("total")) - n, n * (n - 1)), 6).alias("spread"))
+
+
+def hubs(pool: DataFrame, top: int = 3) -> DataFrame:
+    """(card_id, freq) of the cards that most pools hold."""
+    return pool.groupBy("card_id").agg(F.count("*").alias("freq")).orderBy(F.desc("freq"), "card_id").limit(top)
+
+
+def tag_sets(cards: DataFrame, tags: str, order: str, top: int = 5) -> DataFrame:
+    """(tags, n) of the most common tag lists, in the order in which they first come; no list counts as an empty one."""
+    lists = cards.select(F.coalesce(tags, F.array().cast("array<string>")).alias(tags), order)
+    return lists.groupBy(tags).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(top).drop("first")
+
+
+def template_counts(cards: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(field, n): cards whose field begins with its template."""
+    counts = cards.agg(*[F.count_if(F.startswith(F.col(f), F.lit(p))).alias(f) for f, p in prefixes.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in prefixes])).alias("r")).select("r.*")
+
+
+def case_study(studied: DataFrame, cards: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(card_id, centrality, centrality_rank, freq, best_rank) of the cards `studied`: a stated set against all.
+
+    A rank is one more than the number of cards with a higher mean, so nothing is sorted as a whole."""
+    means = centrality(cards)
+    mine = means.join(studied.select("card_id").distinct(), "card_id", "left_semi")
+    higher = mine.crossJoin(means.select(F.col("centrality").alias("other"))).groupBy("card_id", "centrality").agg((F.count_if(F.col("other") > F.col("centrality")) + 1).alias("centrality_rank"))
+    found = ranked.groupBy("card_id").agg(F.count("*").alias("freq"), F.min("rank").alias("best_rank"))
+    return higher.join(found, "card_id", "left").select("card_id", "centrality", "centrality_rank", F.coalesce("freq", F.lit(0)).alias("freq"), "best_rank")
+
+
 def text_shares(text: str, generic: Column, prefixes: Sequence[str]) -> Column:
     """Share of a text's characters in lines that are generic or begin with a structural prefix."""
     lines = F.split(text, "\n")

@@ -137,6 +137,33 @@ def candidate_union(meaning: DataFrame, structure: DataFrame) -> DataFrame:
     return m.join(s, ["query_id", "card_id"], "full_outer").withColumn("found_by", found)
 
 
+def retrieve(queries: DataFrame, cards: DataFrame, k: int = POOL, guarded: bool = False, apart: bool = False) -> DataFrame:
+    """All routes of all queries in one frame, a row for each query and card that some route holds.
+
+    `queries` is (query_id, q0, q1, coordinates, tensions) with the vectors of the question alone and of its meaning,
+    `cards` (card_id, vector, source, coordinates, tensions). The result is (query_id, card_id, q0_rank, meaning_rank,
+    meaning_score, structure_rank, overlaps, in_union): the control route isn't part of the union, U1. `guarded` puts
+    the diversity cap on the meaning route, whose accepted cards keep their ranks. A query without a vector or without
+    tags has no rows of that route."""
+
+    def by(vector: str, n: int) -> DataFrame:
+        return cosine_rank(queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("query_vector")), cards.where("vector IS NOT NULL"), n, apart)
+
+    meaning = by("q1", SCAN if guarded else k)
+    if guarded:
+        meaning = diversity(meaning.join(cards.select("card_id", "source"), "card_id"), pool=k).where("accepted")
+    tagged = structure_rank(queries, cards, k, apart)
+    none = {c: F.lit(None).cast(t) for c, t in (("q0_rank", "int"), ("meaning_rank", "int"), ("meaning_score", "double"), ("structure_rank", "int"), *((c, "int") for c in STRUCTURE_ORDER))}
+    routes = (
+        by("q0", k).select("query_id", "card_id", F.col("rank").alias("q0_rank")),
+        meaning.select("query_id", "card_id", F.col("rank").alias("meaning_rank"), F.col("cosine").alias("meaning_score")),
+        tagged.select("query_id", "card_id", F.col("rank").alias("structure_rank"), *STRUCTURE_ORDER),
+    )
+    rows = [r.select("query_id", "card_id", *[F.col(c) if c in r.columns else none[c].alias(c) for c in none]) for r in routes]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("query_id", "card_id").agg(*[F.max(c).alias(c) for c in none])
+    return both.withColumn("in_union", F.col("meaning_rank").isNotNull() | F.col("structure_rank").isNotNull())
+
+
 def union_violations(union: DataFrame, meaning: DataFrame, structure: DataFrame, excluded: DataFrame) -> DataFrame:
     """(query_id, card_id, problem): what the union lacks or has too much, and excluded cards in it."""
     ids = meaning.select("query_id", "card_id").union(structure.select("query_id", "card_id")).distinct()

@@ -121,6 +121,63 @@ def card_rules(operations: Sequence[str], structures: Sequence[str] = (), editor
     ]
 
 
+def status_issues(cards: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(severity, code, card_id, field) of (id, status, eligible) against the list of unresolved ids.
+
+    Also ids of the list that have no card. Null statuses are neither verified nor unresolved; null flags are false."""
+    listed = unresolved.select(F.col("id").alias("listed")).where("listed IS NOT NULL").distinct()
+    both = cards.select("id", "status", F.coalesce("eligible", F.lit(False)).alias("eligible")).join(listed, F.col("id") == F.col("listed"), "left")
+    must = F.when(F.col("listed").isNotNull(), F.lit("unresolved")).otherwise(F.lit("verified"))
+    found = row_issues(both, [
+        Rule("OPERATIONAL_STATUS_MISMATCH", "error", ~F.col("status").eqNullSafe(must), "technical.operational_status"),
+        Rule("RETRIEVAL_ELIGIBILITY_MISMATCH", "error", F.col("eligible") != F.col("status").eqNullSafe("verified"), "technical.retrieval_eligible"),
+        Rule("UNRESOLVED_IN_ALLOWLIST", "error", F.col("eligible") & F.col("listed").isNotNull(), "technical.retrieval_eligible"),
+    ])
+    lost = listed.join(cards.select("id"), F.col("listed") == F.col("id"), "left_anti")
+    return found.unionByName(lost.select(F.lit("error").alias("severity"), F.lit("UNRESOLVED_ID_MISSING").alias("code"), F.col("listed").alias("card_id"), F.lit("id").alias("field")))
+
+
+def tension_issues(tensions: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """(severity, code, card_id, field) of (id, text, match, taxonomy_tension).
+
+    A text has to be two poles around an arrow; how it matches the vocabulary, and what, has to be as marked."""
+    poles = F.transform(F.split("text", "↔", 2), lambda p: F.trim(p))
+    turned = F.concat(F.get(poles, F.lit(1)), F.lit(" ↔ "), F.get(poles, F.lit(0)))
+    kind = F.when(F.col("text").isin(*vocabulary), "exact").when(turned.isin(*vocabulary), "reversed_poles").otherwise("case_specific")
+    name = F.when(kind == "exact", F.col("text")).when(kind == "reversed_poles", turned)
+    formed = F.coalesce(F.col("text").rlike("^[^↔]+↔[^↔]+$"), F.lit(False))
+    return row_issues(tensions, [
+        Rule("TENSION_FORMAT", "error", ~formed, "text"),
+        Rule("TENSION_MATCH_INCONSISTENT", "error", formed & ~(F.col("match").eqNullSafe(kind) & F.col("taxonomy_tension").eqNullSafe(name)), "match"),
+    ])
+
+
+def confirmation_rules() -> list[Rule]:
+    """A confirmation (action, proposed_question, confirmed_question, edited_text) agrees with itself."""
+    said = F.coalesce("edited_text", F.lit("")) != ""
+    return [
+        Rule("CONFIRMED_DIFFERS", "error", (F.col("action") == "confirmed") & ~F.col("confirmed_question").eqNullSafe(F.col("proposed_question")), "confirmed_question"),
+        Rule("OWN_TEXT_NOT_USED", "error", F.col("action").isin("edited", "replaced") & ~(said & F.col("confirmed_question").eqNullSafe(F.col("edited_text"))), "edited_text"),
+        Rule("REJECTED_BUT_CONFIRMED", "error", (F.col("action") == "rejected") & F.col("confirmed_question").isNotNull(), "confirmed_question"),
+    ]
+
+
+def provenance_rules() -> list[Rule]:
+    """Queries that a benchmark adapter made name it as their source, and their item."""
+    adapted = F.col("origin") == "benchmark_adapter"
+    named = lambda c: F.coalesce(F.startswith(F.col(c), F.lit("benchmark_")), F.lit(False))
+    return [
+        Rule("BENCHMARK_SOURCE_UNMARKED", "error", F.when(adapted, which({c: ~named(c) for c in ("confirmed_question_source", "interpretation_source")})).otherwise(F.array().cast("array<string>")), each=True),
+        Rule("BENCHMARK_ITEM_MISSING", "error", adapted & (F.coalesce("benchmark_item_id", F.lit("")) == ""), "benchmark_item_id"),
+    ]
+
+
+def property_checks(df: DataFrame, id_col: str, checks: dict[str, Column]) -> DataFrame:
+    """(id, check, ok): every check of every row; a check that gives null has failed."""
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for name, c in checks.items()]))
+    return df.select(id_col, rows.alias("c")).select(id_col, "c.check", "c.ok")
+
+
 def json_issues(lines: DataFrame, schema: str, fields: Sequence[str], forbidden: Sequence[str] = schemas.FORBIDDEN_FIELDS) -> DataFrame:
     """V1–V4: issues of raw JSON lines (line, raw): parse errors, wrong types, unknown and forbidden names."""
     parsed = lines.withColumn("keys", F.json_object_keys("raw"))

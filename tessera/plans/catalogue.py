@@ -142,6 +142,26 @@ def union_stats(spark, sf_dir):
     return diagnostics.union_stats(union(spark, sf_dir))
 
 
+@query(f"""WITH {TAGS}, c AS (SELECT vec_id AS card_id, embedding::DOUBLE[] AS v, label AS source FROM embeddings), q AS (SELECT card_id AS query_id FROM c WHERE card_id % 20 = 0),
+w AS (SELECT query_id, n AS view, v AS qv FROM q, range(2) t(n), c WHERE c.card_id = query_id + n),
+s AS (SELECT query_id, view, card_id, source, list_cosine_similarity(qv, v) AS cosine FROM w, c WHERE query_id <> card_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, view ORDER BY cosine DESC, card_id) AS rank FROM s),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 3 AS ok FROM r WHERE view = 1 AND rank <= 45),
+e AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM d),
+a AS (SELECT query_id, card_id, rank AS q0_rank, NULL::BIGINT AS meaning_rank, NULL::DOUBLE AS meaning_score, NULL::BIGINT AS structure_rank, NULL::BIGINT AS tension_overlap, NULL::BIGINT AS coordinate_overlap FROM r WHERE view = 0 AND rank <= 15
+ UNION ALL SELECT query_id, card_id, NULL, rank, round(cosine, 6), NULL, NULL, NULL FROM e WHERE ok AND taken < 15
+ UNION ALL SELECT query_id, card_id, NULL, NULL, NULL, rank, len(mt), len(mc) FROM tr WHERE rank <= 15 AND query_id IN (SELECT query_id FROM q))
+SELECT query_id, card_id, max(q0_rank) AS q0_rank, max(meaning_rank) AS meaning_rank, max(meaning_score) AS meaning_score, max(structure_rank) AS structure_rank, max(tension_overlap) AS tension_overlap, max(coordinate_overlap) AS coordinate_overlap,
+count(meaning_rank) + count(structure_rank) > 0 AS in_union FROM a GROUP BY query_id, card_id""")
+def retrieve_all(spark, sf_dir):
+    """All routes at once: a query's own vector as the question alone, the next id's as its meaning, under the guardrail."""
+    v = cards(spark, sf_dir)
+    own = vector_queries(spark, sf_dir).withColumnRenamed("query_vector", "q0")
+    next_ = v.select((F.col("card_id") - 1).alias("query_id"), F.col("vector").alias("q1"))
+    q = own.join(next_, "query_id", "left").join(tag_queries(spark, sf_dir), "query_id", "left")
+    return retrieval.retrieve(q, v.join(tags(spark, sf_dir), "card_id", "full_outer"), guarded=True, apart=True)
+
+
 CAPPED = f"""{SCORES}, d AS (SELECT query_id, card_id, source, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 3 AS ok FROM r WHERE rank <= 45),
 e AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM d)"""
 
@@ -242,6 +262,23 @@ def pool_quality(spark, sf_dir):
     return diagnostics.pool_quality(ranked.where("view = 0 AND rank <= 20"), ranked, gold.select("query_id", "card_id"))
 
 
+@query(f"WITH {SCORES}, p AS (SELECT query_id, card_id FROM r WHERE rank <= 15), x AS (SELECT p.query_id, p.card_id, v FROM p JOIN c USING (card_id)) SELECT a.query_id, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS spread FROM x a JOIN x b ON a.query_id = b.query_id AND a.card_id <> b.card_id GROUP BY 1")
+def pool_spread(spark, sf_dir):
+    return diagnostics.pool_spread(meaning(spark, sf_dir), cards(spark, sf_dir))
+
+
+@query(f"WITH {SCORES} SELECT card_id, count(*) AS freq FROM r WHERE rank <= 15 GROUP BY card_id ORDER BY freq DESC, card_id LIMIT 3")
+def pool_hubs(spark, sf_dir):
+    return diagnostics.hubs(meaning(spark, sf_dir))
+
+
+@query(f"WITH {TAGS} SELECT array_to_string(coordinates, ',') AS coordinates, count(*) AS n FROM tags GROUP BY 1 ORDER BY n DESC, min(card_id) LIMIT 5")
+def common_tag_sets(spark, sf_dir):
+    """A report of the five most common sets; a set's tags are sorted, since the orders have no order of their own."""
+    sets = tags(spark, sf_dir).withColumn("coordinates", F.sort_array("coordinates"))
+    return diagnostics.tag_sets(sets, "coordinates", "card_id").withColumn("coordinates", F.array_join("coordinates", ","))
+
+
 FREQ = f"""{SCORES}, f AS (SELECT c.card_id, count(r.card_id) AS freq FROM c LEFT JOIN (SELECT * FROM r WHERE rank <= 15) r ON c.card_id = r.card_id GROUP BY 1)"""
 
 
@@ -304,6 +341,14 @@ def centrality(spark, sf_dir):
     return diagnostics.centrality(cards(spark, sf_dir))
 
 
+@query(f"""WITH {PAIRS}, m AS (SELECT a AS card_id, round(avg(cos), 6) AS centrality FROM p GROUP BY a),
+r AS (SELECT a AS query_id, b AS card_id, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS rank FROM p WHERE a % 20 = 0), f AS (SELECT card_id, count(*) AS freq, min(rank) AS best_rank FROM r WHERE rank <= 15 GROUP BY 1)
+SELECT m.card_id, m.centrality, (SELECT count(*) FROM m o WHERE o.centrality > m.centrality) + 1 AS centrality_rank, coalesce(freq, 0) AS freq, best_rank FROM m LEFT JOIN f ON m.card_id = f.card_id WHERE m.card_id % 20 = 0""")
+def case_study(spark, sf_dir):
+    studied = vector_queries(spark, sf_dir).select(F.col("query_id").alias("card_id"))
+    return diagnostics.case_study(studied, cards(spark, sf_dir), meaning(spark, sf_dir))
+
+
 @query(f"WITH {SCORES} SELECT query_id, (source = 0)::BIGINT AS grp, round(avg(cosine), 6) AS mean_cosine FROM s GROUP BY ALL")
 def group_cosines(spark, sf_dir):
     scores = retrieval.cosine_scores(vector_queries(spark, sf_dir), cards(spark, sf_dir)).where("query_id <> card_id")
@@ -684,6 +729,47 @@ def issue_summary(spark, sf_dir):
     return rules.issue_summary(document_issues(spark, sf_dir))
 
 
+@query(f"""WITH {STATUS}, k AS (SELECT doc_id, status, coalesce(quality = 1, false) AS eligible, doc_id IN (SELECT item_id FROM benchmark) AS listed FROM st),
+i AS (SELECT 'OPERATIONAL_STATUS_MISMATCH' AS code, doc_id AS card_id, 'technical.operational_status' AS field FROM k WHERE status IS DISTINCT FROM CASE WHEN listed THEN 'unresolved' ELSE 'verified' END
+UNION ALL SELECT 'RETRIEVAL_ELIGIBILITY_MISMATCH', doc_id, 'technical.retrieval_eligible' FROM k WHERE eligible <> (status = 'verified')
+UNION ALL SELECT 'UNRESOLVED_IN_ALLOWLIST', doc_id, 'technical.retrieval_eligible' FROM k WHERE eligible AND listed
+UNION ALL SELECT 'UNRESOLVED_ID_MISSING', item_id, 'id' FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)) SELECT 'error' AS severity, * FROM i""")
+def status_issues(spark, sf_dir):
+    """The benchmark's ids as the list of unresolved cards; a toxic document of good quality is wrongly eligible."""
+    k = labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), "status", (F.col("quality") == 1).alias("eligible"))
+    return rules.status_issues(k, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")))
+
+
+_POLES = ("en ↔ src0", "de ↔ src1", "fr ↔ src2", "src3 ↔ en")
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || ' ↔ ' || source END AS text, CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'case_specific' END AS match, CASE WHEN doc_id % 2 = 0 THEN lang || ' ↔ ' || source END AS tt, source || ' ↔ ' || lang AS turned FROM documents),
+k AS (SELECT *, CASE WHEN text IN {_POLES} THEN 'exact' WHEN turned IN {_POLES} THEN 'reversed_poles' ELSE 'case_specific' END AS kind FROM t)
+SELECT 'error' AS severity, 'TENSION_FORMAT' AS code, doc_id AS card_id, 'text' AS field FROM k WHERE NOT contains(text, '↔')
+UNION ALL SELECT 'error', 'TENSION_MATCH_INCONSISTENT', doc_id, 'match' FROM k WHERE contains(text, '↔') AND (match IS DISTINCT FROM kind OR tt IS DISTINCT FROM CASE kind WHEN 'exact' THEN text WHEN 'reversed_poles' THEN turned END)""")
+def tension_issues(spark, sf_dir):
+    """Language and source as poles; every third text has one pole alone, every second is marked as exact."""
+    both = F.concat("lang", F.lit(" ↔ "), "source")
+    even = F.col("doc_id") % 2 == 0
+    t = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(both).alias("text"),
+        F.when(even, "exact").otherwise("case_specific").alias("match"), F.when(even, both).alias("taxonomy_tension"),
+    )
+    return rules.tension_issues(t, _POLES)
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, turn, unnest(['declarative', 'short', 'one_question_at_most']) AS "check", unnest([NOT contains(text, '?'), len(regexp_extract_all(text, '[\p{L}\p{N}_«»-]+')) <= 30, length(text) - length(replace(text, '?', '')) <= 1]) AS ok FROM c WHERE role = 'assistant'""")
+def property_checks(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
+    checks = {
+        "declarative": ~F.contains("text", F.lit("?")), "short": X.word_count("text", display=True) <= 30,
+        "one_question_at_most": F.length("text") - F.length(F.replace("text", F.lit("?"), F.lit(""))) <= 1,
+    }
+    found = rules.property_checks(t.withColumn("at", F.struct("conv_id", "turn")), "at", checks)
+    return found.select("at.conv_id", "at.turn", "check", "ok")
+
+
 # ---------------------------------------------------------------- sessions
 
 # events as steps of sessions: a user's log

@@ -192,3 +192,21 @@ def test_spearman_of_one_value_is_null(spark):
     rows = [("a", 1, 1), ("a", 1, 2), (None, 1, 3), (None, 2, 1), (None, None, 9)]
     got = {r.g: r.spearman for r in diagnostics.spearman(spark.createDataFrame(rows, "g string, a long, b long"), "a", "b", "g").collect()}
     assert got == {"a": None, None: -1.0}
+
+
+def test_retrieve_without_vectors_or_tags(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], None, ["a"], []), (2, [0.0, 1.0], [0.0, 1.0], None, None)], "query_id long, q0 array<double>, q1 array<double>, coordinates array<string>, tensions array<string>")
+    c = spark.createDataFrame([(7, [1.0, 0.0], "s", ["a"], []), (8, None, "s", ["a", "b"], None), (9, [0.0, 1.0], None, None, None)], "card_id long, vector array<double>, source string, coordinates array<string>, tensions array<string>")
+    got = {(r.query_id, r.card_id): (r.q0_rank, r.meaning_rank, r.structure_rank, r.in_union) for r in retrieval.retrieve(q, c, 1, guarded=True).collect()}
+    assert got == {(1, 7): (1, None, 1, True), (2, 9): (1, 1, None, True)}
+
+
+def test_small_diagnostics(spark):
+    cards = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["b"]), (4, None), (5, ["a"])], "card_id long, tags array<string>")
+    assert [(r.tags, r.n) for r in diagnostics.tag_sets(cards, "tags", "card_id", 2).collect()] == [(["a"], 2), (["b"], 2)]
+    texts = spark.createDataFrame([("To be", None), ("to", "It is"), (None, "It was")], "x string, y string")
+    assert {(r.field, r.n) for r in diagnostics.template_counts(texts, {"x": "To", "y": "It"}).collect()} == {("x", 1), ("y", 2)}
+    pool = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (2, 9)], "query_id long, card_id long")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (9, [3.0, 0.0])], "card_id long, vector array<double>")
+    assert {(r.query_id, r.spread) for r in diagnostics.pool_spread(pool, v).collect()} == {(1, None), (2, round(1 / 3, 6))}
+    assert [(r.card_id, r.freq) for r in diagnostics.hubs(pool, 2).collect()] == [(1, 2), (2, 1)]

@@ -140,3 +140,32 @@ def test_compositions(spark):
     long = spark.createDataFrame([("q", "Alpha beta gamma delta"), ("r", "unheard of words here")], "quote_id string, quote string")
     where = spark.createDataFrame([("p", "so «alpha  beta gamma delta» it is"), ("z", "nothing")], "path string, text string")
     assert [(r.quote_id, r.path) for r in compositions.quote_sources(long, where).collect()] == [("q", "p")]
+
+
+def test_confirmations_and_provenance(spark):
+    c = [("a", "confirmed", "q", "q", None), ("b", "confirmed", "q", "r", None), ("c", "edited", "q", "r", "r"), ("d", "replaced", "q", "q", None), ("e", "rejected", "q", None, None), ("f", "rejected", "q", "q", None), ("g", "edited", "q", "", "")]
+    df = spark.createDataFrame(c, "id string, action string, proposed_question string, confirmed_question string, edited_text string")
+    assert {(r.card_id, r.code) for r in rules.row_issues(df, rules.confirmation_rules()).collect()} == {
+        ("b", "CONFIRMED_DIFFERS"), ("d", "OWN_TEXT_NOT_USED"), ("f", "REJECTED_BUT_CONFIRMED"), ("g", "OWN_TEXT_NOT_USED"),
+    }
+    p = [("a", "benchmark_adapter", "benchmark_case", "benchmark_case", "B01"), ("b", "benchmark_adapter", "user", None, ""), ("c", "live", "user", "model", None)]
+    df = spark.createDataFrame(p, "id string, origin string, confirmed_question_source string, interpretation_source string, benchmark_item_id string")
+    assert {(r.card_id, r.code, r.field) for r in rules.row_issues(df, rules.provenance_rules()).collect()} == {
+        ("b", "BENCHMARK_SOURCE_UNMARKED", "confirmed_question_source"), ("b", "BENCHMARK_SOURCE_UNMARKED", "interpretation_source"), ("b", "BENCHMARK_ITEM_MISSING", "benchmark_item_id"),
+    }
+
+
+def test_status_and_tension_issues(spark):
+    cards = spark.createDataFrame([("a", "verified", True), ("b", "unresolved", False), ("c", "verified", False), ("d", None, None), ("b2", "verified", True)], "id string, status string, eligible boolean")
+    got = {(r.card_id, r.code) for r in rules.status_issues(cards, spark.createDataFrame([("b",), ("b2",), ("z",), (None,)], "id string")).collect()}
+    assert got == {("c", "RETRIEVAL_ELIGIBILITY_MISMATCH"), ("d", "OPERATIONAL_STATUS_MISMATCH"), ("b2", "OPERATIONAL_STATUS_MISMATCH"), ("b2", "UNRESOLVED_IN_ALLOWLIST"), ("z", "UNRESOLVED_ID_MISSING")}
+    t = [("a", "x ↔ y", "exact", "x ↔ y"), ("b", "y  ↔ x", "reversed_poles", "x ↔ y"), ("c", "y ↔ x", "exact", "x ↔ y"), ("d", "x", "exact", None), ("e", "p ↔ q", "case_specific", None), ("f", "p ↔ q", None, None), ("g", None, None, None)]
+    got = {(r.card_id, r.code) for r in rules.tension_issues(spark.createDataFrame(t, "id string, text string, match string, taxonomy_tension string"), ["x ↔ y"]).collect()}
+    assert got == {("c", "TENSION_MATCH_INCONSISTENT"), ("d", "TENSION_FORMAT"), ("f", "TENSION_MATCH_INCONSISTENT"), ("g", "TENSION_FORMAT")}
+
+
+def test_checks_that_give_null_have_failed(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 1), ("b", None)], "id string, n int")
+    assert {(r.id, r.check, r.ok) for r in rules.property_checks(df, "id", {"one": F.col("n") == 1, "some": F.col("n").isNotNull()}).collect()} == {("a", "one", True), ("a", "some", True), ("b", "one", False), ("b", "some", False)}
