@@ -17,10 +17,13 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that all executors share (spark.checkpoint.dir).
 
-    Where the setting is missing, as in local tests, a temporary folder takes its place.
+    Where the setting is missing in a local session, as in tests, a temporary folder takes its place; executors on
+    other machines could not read that, so elsewhere the setting has to be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"

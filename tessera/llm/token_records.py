@@ -189,15 +189,10 @@ def tokens(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
     return (doc_id if there else None), np.frombuffer(payload[9:], "<u2" if width == 2 else "<u4")
 
 
-def shards(index: DataFrame) -> DataFrame:
-    """One row a shard, with `first`: the tokens of all shards before it. As many rows as there are files."""
-    each = index.groupBy("shard", "width", "task", "part").agg(F.sum("n_tokens").alias("shard_tokens"))
-    before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("first", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)))
-
-
 def read_shards(index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, from the files alone, shard by shard."""
+    """(doc_id, start, n_tokens, ids_crc32) of every record, from the files alone; of the index only their names are used.
+
+    Each file is read once, by one task. What the files before it hold is added from what was read of them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,20 +200,22 @@ def read_shards(index: DataFrame) -> DataFrame:
                 fs, at = pafs.FileSystem.from_uri(row["shard"])
                 with fs.open_input_stream(at) as f:
                     data = memoryview(f.read())
-                start, at, rows = row["first"], 0, []
+                before, at, rows = 0, 0, []
                 while at < len(data):
                     payload, at = unframe(data, at)
                     doc_id, ids = tokens(payload, row["width"])
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
+                    rows.append((row["task"], row["part"], doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    before += len(ids)
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["task", "part", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     # by number, since the rows say nothing of the files' size and would be put into one task
-    todo = shards(index).repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return todo.select("shard", "first", "width").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = index.select("shard", "width", "task", "part").distinct().repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    rows = materialise(files.mapInArrow(read, "task long, part long, doc_id long, before long, n_tokens long, ids_crc32 long"))
+    above = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are files
+    totals = rows.groupBy("task", "part").agg(F.sum("n_tokens").alias("held"))
+    first = totals.select("task", "part", F.coalesce(F.sum("held").over(above), F.lit(0)).alias("first"))
+    return rows.join(first, ["task", "part"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def fetch(index_rows: DataFrame) -> DataFrame:

@@ -72,6 +72,56 @@ def test_discriminant_separates(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
 
 
+def walked(trees, row):
+    """The margin of one row, node by node."""
+    total = trees.base
+    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+        at = 0
+        for _ in range(trees.depth):
+            at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+        total += value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_tree_verdicts_equal_a_plain_walk(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "word " * 20000), (-2, None)], "doc_id long, text string"))
+    trees = quality_trees.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in quality_trees.judge(docs, trees).collect()}
+    assert set(got) == set(texts) and len({round(r.score, 6) for r in got.values()}) > 1
+    for i, text in texts.items():
+        counts, row = docstats.statistics(text)
+        score = walked(trees, row)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+        assert got[i].base_failed == failed and got[i].kept == (not failed and score >= quality_trees.KEEP)
+
+
+def test_discriminant_equals_plain_densities(spark):
+    """Class covariances from the rows themselves, shrunk as the docstring says, and inverted as a whole."""
+    x, y, held = features(spark, MODELS)
+    docs, labels = spark.read.parquet(f"{MODELS}/documents.parquet"), spark.read.parquet(f"{MODELS}/labels.parquet")
+    rows = docstats.document_statistics(docs, "doc_id", "text").join(quality_trees.labelled(labels), "doc_id").select("label", "features")
+    model = quality_qda.fit(quality_qda.moments(rows))
+    z = quality_qda.transform(x)
+    kept = z[~held]
+    spread = kept.std(0)
+    u = (z - kept.mean(0)) / np.where(spread > 1e-9, spread, 1.0)
+    part = [u[~held & (y == c)] for c in (0, 1)]
+    covs = [np.cov(p.T, bias=True) for p in part]
+    pooled = sum(len(p) * c for p, c in zip(part, covs)) / sum(map(len, part))
+    logs = []
+    for p, cov in zip(part, covs):
+        lean = max(quality_qda.TO_POOLED, min(1.0, u.shape[1] / len(p)))
+        s = (1 - lean) * cov + lean * pooled
+        s = (1 - quality_qda.TO_DIAGONAL) * s + quality_qda.TO_DIAGONAL * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        off = u - p.mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off) + np.linalg.slogdet(s)[1]))
+    want = np.clip((logs[1] - logs[0]) / u.shape[1], -quality_qda.SPAN, quality_qda.SPAN)
+    assert np.allclose(model.difference(x), want, atol=1e-5)
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

@@ -70,6 +70,23 @@ def test_records_round_trip(spark, library, tmp_path):
     assert sorted((r.doc_id or -1, len(r.ids)) for r in token_records.fetch(rows).collect()) == sorted((w[1] or -1, w[2]) for w in want)
 
 
+def test_starts_come_from_the_files(spark, tmp_path):
+    index = token_records.write_records(docs(spark), vocabulary(), 2, f"file://{tmp_path}/f")
+    want = sorted(map(tuple, token_records.read_shards(index).collect()), key=lambda r: r[1])
+    false = index.withColumn("n_tokens", index.n_tokens * 7)
+    assert sorted(map(tuple, token_records.read_shards(false).collect()), key=lambda r: r[1]) == want
+
+
+def test_a_shared_folder_has_to_be_named():
+    from types import SimpleNamespace as Some
+
+    from tessera.llm.common import shared_dir
+
+    session = Some(conf=Some(get=lambda name, default: default), sparkContext=Some(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
 def test_records_notice_damage(spark, tmp_path):
     index = token_records.write_records(docs(spark), vocabulary(), 2, f"file://{tmp_path}/s")
     name = sorted(glob.glob(f"{tmp_path}/s/shard-*"))[0]
