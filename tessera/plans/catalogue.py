@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
 from tessera.operators import assembly, diagnostics, representations, retrieval, rules, sessions
+from tessera.sources import files, sinks
+from tessera.sources.lines import pipe_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -770,6 +772,77 @@ def property_checks(spark, sf_dir):
     return found.select("at.conv_id", "at.turn", "check", "ok")
 
 
+# ---------------------------------------------------------------- files: written in the reader's format, then read back
+
+
+@query("""WITH i AS (SELECT unnest(list_concat(CASE WHEN doc_id % 10 = 0 THEN ['JSON_PARSE'] ELSE list_concat(CASE WHEN doc_id % 11 = 0 THEN ['SCHEMA_TYPE'] ELSE [] END, CASE WHEN doc_id % 7 = 0 THEN ['UNKNOWN_FIELD'] ELSE [] END) END, [])) AS code FROM documents)
+SELECT code, count(*) AS n FROM i GROUP BY code""")
+def jsonl_scan(spark, sf_dir):
+    """JSON lines with blank lines between; some are cut, have a wrong type or a name too much."""
+    key = F.when(F.col("doc_id") % 11 == 0, F.lit("id")).otherwise(F.col("doc_id").cast("string"))
+    quoted = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit('"'), key, F.lit('"'))).otherwise(key)
+    extra = F.when(F.col("doc_id") % 7 == 0, F.lit(', "more": 1')).otherwise(F.lit(""))
+    whole = F.concat(F.lit('{"doc_id": '), quoted, F.lit(', "lang": "'), F.coalesce("lang", F.lit("")), F.lit('"'), extra)
+    line = F.when(F.col("doc_id") % 10 == 0, whole).otherwise(F.concat(whole, F.lit("}\n")))
+    path = sinks.scratch(spark)
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return rules.json_issues(files.jsonl_lines(spark, path), "doc_id long, lang string", ["doc_id", "lang"]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, source FROM documents")
+def csv_scan(spark, sf_dir):
+    """Texts of many lines with quotes and commas come back as they were."""
+    path = sinks.scratch(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("sha256"), "source")
+
+
+@query(f"""WITH {STATUS} SELECT st.doc_id, sha256(d.text) AS sha256, status = 'verified' AS eligible, (SELECT count(*) FROM st) AS n_cards, (SELECT count(*) FROM st WHERE status = 'verified') AS n_eligible
+FROM st JOIN documents d ON st.doc_id = d.doc_id""")
+def corpus_cards(spark, sf_dir):
+    """A corpus of JSON lines and its manifest."""
+    path = sinks.scratch(spark)
+    c = labelled(spark, sf_dir).select("doc_id", "eligible").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    sinks.write_corpus(c.select("doc_id", "text", F.struct(F.col("eligible").alias("retrieval_eligible")).alias("technical")), path)
+    back = files.cards(spark, f"{path}/cards", "doc_id long, text string, technical struct<retrieval_eligible: boolean>")
+    counts = spark.read.schema("n_cards long, n_eligible long").json(f"{path}/manifest")  # a single row
+    return back.select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("technical.retrieval_eligible").alias("eligible")).crossJoin(counts)
+
+
+@query("SELECT 'C' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') AS id, lang, source, n_chars::VARCHAR AS n_chars FROM documents")
+def pipe_table(spark, sf_dir):
+    """A Markdown table, its head and other lines left out by the first cell."""
+    path = sinks.scratch(spark)
+    number = F.col("doc_id").cast("string")
+    id_ = F.concat(F.lit("C"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", id_, "lang", "source", F.col("n_chars").cast("string")), F.lit(" |"))
+    table(spark, sf_dir, "documents").select(F.concat(F.lit("| id | lang | source | n_chars |\n|---|---|---|---|\n"), row).alias("value")).write.text(path)
+    rows = pipe_rows(spark.read.text(path).withColumnRenamed("value", "line"), r"C\d+", 4)
+    return rows.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(("id", "lang", "source", "n_chars"))])
+
+
+@query("SELECT vec_id AS key, label::BIGINT AS label FROM embeddings WHERE label >= 5 AND vec_id % 2 = 0")
+def vector_store(spark, sf_dir):
+    """Two versions are stored, the second is replaced by fewer vectors and read; the first stays as it is."""
+    path = sinks.scratch(spark)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("vector"), F.lit("local").alias("provider"), F.lit("m").alias("model"), F.when(F.col("label") >= 5, "v2").otherwise("v1").alias("version"))
+    sinks.write_vectors(v, path)
+    sinks.write_vectors(v.where("version = 'v2' AND key % 2 = 0"), path)
+    one = v.select(F.size("vector").alias("n")).first()
+    return files.vectors(spark, path, "local", "m", "v2", one.n if one else 0).select("key", "label")
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY event_type")
+def event_log(spark, sf_dir):
+    """Events appended in two runs, the second of which resumes what the first has left."""
+    path = sinks.scratch(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    sinks.append_events(e.where("event_id % 3 = 0"), path)
+    sinks.resume(e, path, "event_id", lambda todo: todo)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
 # ---------------------------------------------------------------- sessions
 
 # events as steps of sessions: a user's log

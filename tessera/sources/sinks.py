@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the folder that all executors share (spark.checkpoint.dir), for what is read back at once.
+
+    Only a local session may lack the setting; it gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
 def write_corpus(cards: DataFrame, path: str, force: bool = False) -> None:
     """JSON lines and a manifest of counts; an existing corpus is only replaced by force."""
     mode = "overwrite" if force else "errorifexists"
