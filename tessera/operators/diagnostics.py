@@ -265,3 +265,26 @@ def text_shares(text: str, generic: Column, prefixes: Sequence[str]) -> Column:
     return F.when(total > 0, F.aggregate(plain, F.lit(0), lambda s, x: s + F.length(x)) / total).otherwise(0.0)
 
 
+def pool_changes(before: DataFrame, after: DataFrame, key: str = "query_id") -> DataFrame:
+    """(query, n_before, n_after, n_kept, same): pools of two documents' versions or with and without a guardrail.
+
+    A query without a pool on one side counts as one with an empty pool."""
+    a = before.select(key, "card_id").distinct().withColumn("_b", F.lit(1))
+    b = after.select(key, "card_id").distinct().withColumn("_a", F.lit(1))
+    n = a.join(b, [key, "card_id"], "full_outer").groupBy(key).agg(
+        F.count("_b").alias("n_before"), F.count("_a").alias("n_after"), F.count(F.col("_b") + F.col("_a")).alias("n_kept"), F.count("*").alias("_all")
+    )
+    return n.select(key, "n_before", "n_after", "n_kept", (F.col("n_kept") == F.col("_all")).alias("same"))
+
+
+def mode_summary(**pools: DataFrame) -> DataFrame:
+    """(mode, n_queries, n_picks, n_cards, top_count): how each retrieval mode spreads over the cards.
+
+    `top_count` is how often the most frequent card was picked; counts by mode and card come first, so a frequent card is no hot key."""
+    rows = None
+    for mode, pool in pools.items():
+        mine = pool.select(F.lit(mode).alias("mode"), "query_id", "card_id")
+        rows = mine if rows is None else rows.unionByName(mine)
+    cards = rows.groupBy("mode", "card_id").agg(F.count("*").alias("n"))
+    spread = cards.groupBy("mode").agg(F.sum("n").alias("n_picks"), F.count("*").alias("n_cards"), F.max("n").alias("top_count"))
+    return spread.join(rows.groupBy("mode").agg(F.countDistinct("query_id").alias("n_queries")), "mode")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
-from tessera.operators import assembly, diagnostics, representations, retrieval, rules, sessions
+from tessera.operators import assembly, compositions, diagnostics, representations, retrieval, rules, sessions
 from tessera.sources import files, sinks
 from tessera.sources.lines import pipe_rows
 
@@ -447,9 +447,11 @@ def hash_bow_topk(spark, sf_dir):
 MARKERS = ("###", "%%%", "$$$", "&&&", "***")
 
 
-def text_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_cards(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """With `whole`, all lines after the first are questions."""
     lines = F.split("text", "\n")
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.get(lines, F.lit(0)).alias("perspective"), F.slice(lines, 2, 3).alias("questions"))
+    questions = F.slice(lines, F.lit(2), F.size(lines)) if whole else F.slice(lines, 2, 3)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.get(lines, F.lit(0)).alias("perspective"), questions.alias("questions"))
     return d.select("doc_id", "source", "lang", "perspective", "questions", representations.usable("perspective", MARKERS).alias("p"), representations.usable_list("questions", MARKERS).alias("q"))
 
 
@@ -457,29 +459,55 @@ _BAD = " OR ".join(f"contains({{0}}, '{m}')" for m in MARKERS)
 TEXT_CARDS = f"""l AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS x FROM documents),
 k AS (SELECT doc_id, source, lang, x[1] AS perspective, x[2:4] AS questions FROM l),
 tc AS (SELECT *, CASE WHEN perspective <> '' AND NOT ({_BAD.format("perspective")}) THEN perspective END AS p, list_filter(questions, lambda y: NOT ({_BAD.format("y")})) AS q FROM k)"""
+WHOLE_CARDS = TEXT_CARDS.replace("x[2:4]", "x[2:]")
 CARD = "array_to_string(list_concat(CASE WHEN p IS NULL THEN [] ELSE ['Перспектива: ' || p] END, CASE WHEN len(q) = 0 THEN [] ELSE list_concat(['Философские вопросы:'], list_transform(q, lambda y: '- ' || y)) END), chr(10))"
 
 
-@query(f"WITH {TEXT_CARDS} SELECT doc_id::VARCHAR AS key, 'meaning-card-doc/2.0' AS version, {CARD} AS text, sha256({CARD}) AS sha256 FROM tc")
-def meaning_doc(spark, sf_dir):
-    c = text_cards(spark, sf_dir)
+MEANING_DOC = f"SELECT doc_id::VARCHAR AS key, 'meaning-card-doc/2.0' AS version, {CARD} AS text, sha256({CARD}) AS sha256 FROM tc"
+
+
+def card_documents(c: DataFrame) -> DataFrame:
     return representations.represent(c, "doc_id", representations.CARD_VERSION, representations.card_text(F.col("p"), F.col("q")))
 
 
+@query(f"WITH {TEXT_CARDS} {MEANING_DOC}")
+def meaning_doc(spark, sf_dir):
+    return card_documents(text_cards(spark, sf_dir))
+
+
+@query(f"WITH {WHOLE_CARDS} {MEANING_DOC}")
+def meaning_doc_whole(spark, sf_dir):
+    """meaning_doc with every line of a text."""
+    return card_documents(text_cards(spark, sf_dir, whole=True))
+
+
 CARD_V1 = f"array_to_string(list_concat([{CARD}], ['Координаты: ' || lang || '; ' || source]), chr(10))"
 
 
-@query(f"""WITH {TEXT_CARDS}, v AS (SELECT doc_id, unnest(['full', 'perspective', 'questions', 'tagged']) AS variant,
+DOC_VARIANTS = f"""v AS (SELECT doc_id, unnest(['full', 'perspective', 'questions', 'tagged']) AS variant,
 unnest([{CARD}, coalesce(p, ''), array_to_string(q, ' '), CASE WHEN {CARD} = '' THEN 'Координаты: ' || lang || '; ' || source ELSE {CARD_V1} END]) AS text FROM tc)
-SELECT doc_id, variant, text FROM v""")
-def doc_variants(spark, sf_dir):
+SELECT doc_id, variant, text FROM v"""
+
+
+def card_variants(c: DataFrame) -> DataFrame:
     p, q = F.col("p"), F.col("q")
     return representations.variants(
-        text_cards(spark, sf_dir), "doc_id", full=representations.card_text(p, q), perspective=F.coalesce(p, F.lit("")), questions=F.array_join(q, " "),
+        c, "doc_id", full=representations.card_text(p, q), perspective=F.coalesce(p, F.lit("")), questions=F.array_join(q, " "),
         tagged=representations.card_text_v1(p, q, F.array("lang", "source"), F.array().cast("array<string>")),
     )
 
 
+@query(f"WITH {TEXT_CARDS}, {DOC_VARIANTS}")
+def doc_variants(spark, sf_dir):
+    return card_variants(text_cards(spark, sf_dir))
+
+
+@query(f"WITH {WHOLE_CARDS}, {DOC_VARIANTS}")
+def doc_variants_whole(spark, sf_dir):
+    """doc_variants with every line of a text."""
+    return card_variants(text_cards(spark, sf_dir, whole=True))
+
+
 @query("""WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY conv_id),
 h AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role <> 'user') AS hyp FROM conversations GROUP BY conv_id),
 t AS (SELECT f.conv_id, array_to_string(list_concat(['Вопрос: ' || question, 'Рабочие интерпретации:'], list_transform(coalesce(hyp, [])[1:4], lambda y: '- ' || y)), chr(10)) AS text FROM f JOIN h USING (conv_id) WHERE question IS NOT NULL)
@@ -493,14 +521,15 @@ def query_doc(spark, sf_dir):
     return representations.represent(g.where("u IS NOT NULL"), "conv_id", representations.Q1_VERSION, representations.q1_text(F.col("u.text"), hyp))
 
 
-@query(rf"""WITH {TEXT_CARDS}, g AS (SELECT y FROM (SELECT unnest(questions) AS y FROM tc) GROUP BY y HAVING count(*) > 1), ga AS (SELECT coalesce(list(y), []) AS gen FROM g),
+READINESS = rf"""g AS (SELECT y FROM (SELECT unnest(questions) AS y FROM tc) GROUP BY y HAVING count(*) > 1), ga AS (SELECT coalesce(list(y), []) AS gen FROM g),
 e AS (SELECT doc_id, unnest(q) AS y, generate_subscripts(q, 1) AS i FROM tc), keep AS (SELECT doc_id, string_agg(y, ' ' ORDER BY i) AS qs FROM e WHERE y NOT IN (SELECT y FROM g) GROUP BY doc_id),
 s AS (SELECT tc.doc_id, (perspective <> '' OR len(questions) > 0) AS present, (p IS NOT NULL OR len(q) > 0) AS usable, lower(concat_ws(' ', qs, p)) AS t FROM tc LEFT JOIN keep ON tc.doc_id = keep.doc_id),
 n AS (SELECT *, len(list_distinct(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 3))) AS w FROM s)
-SELECT doc_id, CASE WHEN NOT usable THEN CASE WHEN present THEN 'EDITORIAL' ELSE 'EMPTY' END WHEN w = 0 THEN 'GENERIC' WHEN w < 5 THEN 'THIN' ELSE 'READY' END AS state, w AS specific_words FROM n""")
-def readiness_state(spark, sf_dir):
+SELECT doc_id, CASE WHEN NOT usable THEN CASE WHEN present THEN 'EDITORIAL' ELSE 'EMPTY' END WHEN w = 0 THEN 'GENERIC' WHEN w < 5 THEN 'THIN' ELSE 'READY' END AS state, w AS specific_words FROM n"""
+
+
+def card_readiness(c: DataFrame) -> DataFrame:
     """Generic questions are left out by a join, since their number grows with the corpus."""
-    c = text_cards(spark, sf_dir)
     items = c.select("doc_id", F.posexplode("questions").alias("i", "y"))
     generic = diagnostics.generic_items(items, "y").select("y")
     own = c.select("doc_id", F.posexplode("q").alias("i", "y")).join(generic, "y", "left_anti")
@@ -513,6 +542,17 @@ def readiness_state(spark, sf_dir):
     return rows.select("doc_id", rules.readiness(present, usable, specific).alias("state"), rules.specific_words(specific).alias("specific_words"))
 
 
+@query(f"WITH {TEXT_CARDS}, {READINESS}")
+def readiness_state(spark, sf_dir):
+    return card_readiness(text_cards(spark, sf_dir))
+
+
+@query(f"WITH {WHOLE_CARDS}, {READINESS}")
+def readiness_state_whole(spark, sf_dir):
+    """readiness_state with every line of a text."""
+    return card_readiness(text_cards(spark, sf_dir, whole=True))
+
+
 @query("SELECT doc_id, " + " OR ".join(f"contains(text, '{m}')" for m in MARKERS) + " AS editorial, " + "trim(coalesce(text, '')) = '' AS blank FROM documents")
 def placeholder_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.contains_any("text", MARKERS).alias("editorial"), X.missing("text").alias("blank"))
@@ -887,6 +927,61 @@ def pending_items(spark, sf_dir):
     return sessions.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+# ---------------------------------------------------------------- pools compared, quotations
+
+
+CHANGES = """b AS (SELECT DISTINCT query_id, card_id FROM before), a AS (SELECT DISTINCT query_id, card_id FROM after)
+SELECT coalesce(b.query_id, a.query_id) AS query_id, count(b.card_id) AS n_before, count(a.card_id) AS n_after, count(*) FILTER (a.card_id = b.card_id) AS n_kept, count(*) = count(*) FILTER (a.card_id = b.card_id) AS same
+FROM b FULL JOIN a ON a.query_id = b.query_id AND a.card_id = b.card_id GROUP BY 1"""
+
+
+@query(f"WITH {CAPPED}, before AS (SELECT query_id, card_id FROM r WHERE rank <= 15), after AS (SELECT query_id, card_id FROM e WHERE ok AND taken < 15), {CHANGES}")
+def guardrail_changes(spark, sf_dir):
+    """Each query's pool without and with the cap on sources."""
+    return diagnostics.pool_changes(meaning(spark, sf_dir), retrieval.diversity(sourced(spark, sf_dir, 45)).where("accepted"))
+
+
+@query(f"WITH {VIEWS}, before AS (SELECT query_id, card_id FROM r WHERE view = 0 AND rank <= 15), after AS (SELECT query_id, card_id FROM r WHERE view = 1 AND rank <= 15), {CHANGES}")
+def version_changes(spark, sf_dir):
+    """Pools of two versions of a query's document: its own vector and the next id's."""
+    ranked = retrieval.view_ranks(views(spark, sf_dir).where("view < 2"), cards(spark, sf_dir), 15)
+    return diagnostics.pool_changes(ranked.where("view = 0"), ranked.where("view = 1"))
+
+
+@query(f"""WITH {UNION}, p AS (SELECT 'meaning' AS mode, query_id, card_id FROM m UNION ALL SELECT 'structure', query_id, card_id FROM t UNION ALL SELECT 'union', query_id, card_id FROM u),
+n AS (SELECT mode, card_id, count(*) AS n FROM p GROUP BY ALL)
+SELECT n.mode, sum(n)::BIGINT AS n_picks, count(*) AS n_cards, max(n) AS top_count, any_value(k) AS n_queries FROM n JOIN (SELECT mode, count(DISTINCT query_id) AS k FROM p GROUP BY mode) USING (mode) GROUP BY n.mode""")
+def mode_summary(spark, sf_dir):
+    m = meaning(spark, sf_dir)
+    t = structure(spark, sf_dir, only=vector_queries(spark, sf_dir).select("query_id"))
+    return diagnostics.mode_summary(meaning=m, structure=t, union=retrieval.candidate_union(m, t))
+
+
+# a quotation of each text from its middle on; some name a text that isn't there, an old hash or a wrong place
+def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, at = table(spark, sf_dir, "documents"), F.expr("CAST(length(text) DIV 2 AS INT)")
+    path = F.when(F.expr("doc_id % 11 = 0"), "lost").otherwise(F.col("doc_id").cast("string"))
+    sha = F.sha2(F.when(F.expr("doc_id % 7 = 0"), F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256)
+    start = (at + F.expr("CAST(doc_id % 5 = 0 AS INT)")).alias("start")
+    quote = F.substring("text", at + 1, F.length("text"))
+    some = [F.when(F.expr(f"doc_id % {k} <> 0"), F.col(c)).alias(n) for k, c, n in ((3, "lang", "translator"), (2, "source", "edition"))]
+    return d.select(F.col("doc_id").alias("quote_id"), path.alias("path"), sha.alias("sha256"), start, F.length("text").alias("end"), quote.alias("quote"), *some)
+
+
+@query("""SELECT doc_id AS quote_id, CASE WHEN doc_id % 11 = 0 THEN 'no_file' WHEN doc_id % 7 = 0 THEN 'sha256'
+WHEN substr(text, length(text) // 2 + 1 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END, length(text)) <> substr(text, length(text) // 2 + 1, length(text)) THEN 'span' END AS problem FROM documents""")
+def quote_check(spark, sf_dir):
+    files_ = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "text")
+    return compositions.verified_quotes(quotations(spark, sf_dir), files_)
+
+
+@query("""SELECT CASE WHEN doc_id % 11 = 0 THEN 'NOT_READY' WHEN (doc_id % 3 <> 0 AND trim(lang) <> '') AND (doc_id % 2 <> 0 AND trim(source) <> '') THEN 'READY' ELSE 'PARTIAL' END AS readiness, count(*) AS n FROM documents GROUP BY 1""")
+def quote_readiness_counts(spark, sf_dir):
+    """A quotation without a text is none that can be used."""
+    q = quotations(spark, sf_dir).withColumn("path", F.nullif("path", F.lit("lost")))
+    return compositions.quote_readiness(q).groupBy("readiness").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in CATALOGUE.items()}
 
