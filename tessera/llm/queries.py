@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, conversation_repair, decontaminate, line_dedup, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
+from tessera.llm import bpe, conversation_repair, decontaminate, lexical_search, line_dedup, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -109,4 +114,15 @@ k AS (SELECT * FROM f WHERE base OR NOT EXISTS (SELECT 1 FROM f b WHERE b.base A
 SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}) FILTER (base), '')) AS base_sha256, coalesce(string_agg({one}), '') AS spans FROM d LEFT JOIN k USING (rid) GROUP BY rid, doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": COMPONENTS, "op8_secret_scan": secrets_sql()}
+SEARCH = r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS words FROM t WHERE len(ws) > 0),
+q AS (SELECT row_number() OVER () AS iid, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+e AS (SELECT rid, doc_id, len(ws) AS size, unnest(ws) AS term FROM t),
+p AS (SELECT rid, doc_id, size, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+c AS (SELECT iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * docs) // words))))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": COMPONENTS, "op12_lexical_search": SEARCH, "op8_secret_scan": secrets_sql()}
