@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, conversation_repair, decontaminate, lexical_search, line_dedup, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
+from tessera.llm import bpe, conversation_repair, decontaminate, html_extract, lexical_search, line_dedup, minhash_dedup, pii, quality_qda, quality_trees, secret_scan, token_records, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_html_extract": op11_html_extract,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
