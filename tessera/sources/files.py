@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera import schemas
 from tessera.functions.text import collapse
@@ -19,10 +20,28 @@ def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, line, raw) of every line, numbered from 1 in its file, however many splits a file is read in.
+
+    A first pass counts the lines of each split, running sums say how many stand before it, and a second pass adds
+    the line's place in its split, from the row ids of the scan. Both passes have to cut and pack the files alike; where
+    they don't (files that change meanwhile, another number of cores at the second planning), ids fall outside their
+    split's range, and the read fails instead of numbering wrongly."""
+    rows = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("raw")
+    )
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.col("id") - F.col("first")
+    wrong = F.raise_error(F.concat(F.lit("split read in two ways: "), F.col("path"), F.lit(" at "), F.col("start").cast("string"))).cast("long")
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(wrong)
+    return rows.join(splits, ["path", "start"], "left").select("path", number.alias("line"), "raw")
+
+
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, raw) of non-blank lines, numbered from 1; rules.json_issues tells what is wrong with them."""
-    lines = numbered_lines(text_files(spark, path), ["path"], "text").withColumn("number", F.col("i") + 1)
-    return lines.where(F.trim("line") != "").select("path", F.col("number").alias("line"), F.col("line").alias("raw"))
+    return text_lines(spark, path).where(F.trim("raw") != "")
 
 
 def cards(spark: SparkSession, path: str, schema: str = schemas.CARD) -> DataFrame:

@@ -16,6 +16,23 @@ def test_jsonl_keeps_line_numbers(spark, tmp_path):
     assert [(r.line, r.raw) for r in files.jsonl_lines(spark, p).orderBy("line").collect()] == [(1, '{"x": 1}'), (3, '{"x": 2}')]
 
 
+def test_lines_of_many_splits_are_numbered_in_their_files(spark, tmp_path):
+    want = {}
+    for name, n in (("a.jsonl", 3000), ("b.jsonl", 1), ("deep/c.jsonl", 700)):
+        rows = [f'{{"x": {i}, "of": "{name}"}}' + "\r" * (i % 3 == 0) if i % 7 else "" for i in range(n)]
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(rows) + "\n" * (n > 1), newline="")
+        want |= {(name.split("/")[-1], i + 1): r.removesuffix("\r") for i, r in enumerate(rows) if r}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = files.jsonl_lines(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path), recursiveFileLookup=True).select("_metadata.file_block_start").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == len(want) and {(r.path.split("/")[-1], r.line): r.raw for r in rows} == want
+
+
 def test_csv_is_verbatim(spark, tmp_path):
     p = write(tmp_path, "a.csv", '﻿card_id,quote\nC0001,"a ""b""\n c "\nC0002,\n')
     assert [tuple(r) for r in files.csv(spark, p).collect()] == [("C0001", 'a "b"\n c '), ("C0002", "")]
