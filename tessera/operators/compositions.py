@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import collapse, fold, hits, sentence_count, sentences, token_norm, word_count
+from tessera.functions.text import hits, sentence_count, sentences, token_norm, word_count
+from tessera.operators.quotations import quote_sources  # noqa: F401  J13
 
 # Limits of words and sentences of a final card.
 WORD_LIMITS = {"main_idea": 45, "applied_insight": 55, "reflection_question": 22}
@@ -83,22 +84,6 @@ def real_violations(found: DataFrame, cards: DataFrame, key: str, violating: Seq
     return both.where(F.col("label").isin(*violating) & (F.trim("sentence") != "") & F.contains("_c", token_norm("sentence"))).drop("_c")
 
 
-def quote_sources(quotes: DataFrame, texts: DataFrame, letters: int = 80) -> DataFrame:
-    """(quote_id, path): texts that hold a quotation's beginning, both normalised.
-
-    A substring has no key to join on; both sides are joined on the hash of each run of three words first."""
-    norm = lambda c: collapse(F.regexp_replace(fold(c), "[«»\"]", ""))
-    q = quotes.select("quote_id", F.substring(norm("quote"), 1, letters).alias("q"))
-    key = F.regexp_extract("q", r"^\S+ (\S+ \S+) ", 1)
-    words = F.split("t", " ")
-    t = texts.select("path", norm("text").alias("t"))
-    pairs = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
-    keys = t.select("path", "t", F.split("t", " ").alias("w")).select("path", "t", F.explode(F.array_distinct(F.transform(pairs, lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))).alias("k"))
-    known = q.withColumn("k", key).where("k <> ''").join(keys, "k").where(F.contains("t", F.col("q"))).select("quote_id", "path")
-    short = q.withColumn("k", key).where("k = '' AND q <> ''").join(t, F.contains("t", F.col("q"))).select("quote_id", "path")
-    return known.union(short).distinct()
-
-
 def quote_readiness(quotes: DataFrame) -> DataFrame:
     """O2: READY without reasons, PARTIAL with some, NOT_READY without a source or a span."""
     reasons = F.array_compact(F.array(
