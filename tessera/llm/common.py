@@ -47,13 +47,21 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one record batch; batches without rows are skipped."""
+#: Bytes of texts that become Python objects at once, where arrow_map gets them in pieces.
+PIECE = 1 << 22
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, pieces: bool = False) -> DataFrame:
+    """mapInArrow for a function of one record batch; batches without rows are skipped.
+
+    With `pieces`, the function gets a batch of over PIECE bytes in slices of about that size, a row at least: for
+    functions that work row by row, so that a worker's memory doesn't grow with long texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            step = max(1, batch.num_rows * PIECE // max(batch.nbytes, PIECE)) if pieces else max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                out = fn(batch.slice(at, step))
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

@@ -80,4 +80,4 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
     schema = ", ".join([*kinds, *(f"{c} long" for c in COUNTS), "features array<double>"])
-    return arrow_map(docs.select(id_col, *carry, text_col), run, schema)
+    return arrow_map(docs.select(id_col, *carry, text_col), run, schema, pieces=True)

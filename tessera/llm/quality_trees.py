@@ -170,4 +170,4 @@ def keep(docs: DataFrame, trees: Trees | None, threshold: float = KEEP, text_col
         return batch.filter(pa.array(verdicts(np.array(counts, np.int64), np.array(features), trees, threshold)[2]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, schema)
+    return arrow_map(docs, run, schema, pieces=True)
