@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import quotations
+from tessera import schemas
+from tessera.operators import benchmarks, quotations, records
 from tessera.plans.catalogue import query, table
+from tessera.sources import files, lines, sinks
 
 # ---------------------------------------------------------------- quotations
 
@@ -29,3 +31,146 @@ def quote_search(spark, sf_dir):
     per = found.join(whole.select("path", "n", "first"), "path").groupBy("quote_id").agg(F.sum("n").alias("n_texts"), F.min("first").alias("first_text"))
     equal = said.groupBy("quote").agg(F.min("doc_id").alias("leader"))
     return said.join(equal, "quote").join(per, F.col("leader") == F.col("quote_id")).select(F.col("doc_id").alias("quote_id"), "n_texts", "first_text")
+
+
+# ---------------------------------------------------------------- benchmarks: written as Markdown, read, compiled, validated
+
+# twenty documents a benchmark, one a case; the digit in `fault` says what is made wrong in it afterwards
+FAULTS = 24
+
+
+def benchmark_cells(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    return d.select("doc_id", (F.col("doc_id") % 20).alias("k"), F.expr("doc_id DIV 20").alias("b"), F.expr(f"(doc_id DIV 20) % {FAULTS}").alias("fault"), "lang", "source", F.translate(F.coalesce("text", F.lit("")), "*#\\", "").alias("text")).where("NOT (fault = 6 AND k = 19)")
+
+
+def benchmark_markdown(spark, sf_dir):
+    """(b, at, value): the sections of each benchmark's Markdown."""
+    c = benchmark_cells(spark, sf_dir)
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k)
+    exact = pick(schemas.TENSIONS, (F.col("k") % len(schemas.TENSIONS)).cast("int"))
+    poles = F.split(exact, " ↔ ")
+    tension = F.when(F.col("k") % 3 == 0, exact).when(F.col("k") % 3 == 1, F.concat(F.get(poles, F.lit(1)), F.lit(" ↔ "), F.get(poles, F.lit(0)))).otherwise(F.concat("lang", F.lit(" ↔ "), "source"))
+    n = len(schemas.COORDINATES)
+    coordinates = F.concat_ws(", ", pick(schemas.COORDINATES, (F.col("k") % n).cast("int")), pick(schemas.COORDINATES, ((F.col("k") + F.col("b")) % n).cast("int")))
+    case = F.concat(
+        F.lit("## B"), F.lpad((F.col("k") + 1).cast("string"), 2, "0"), F.lit(". Case "), F.col("doc_id").cast("string"), F.lit("\n\n**Circumstance:** in "), "lang", F.lit(" **Experiences:** one, "), "source",
+        F.lit("\n**Center:** centre\n\n**Narrative:** n "), "text", F.lit("\n\n**Expected structure:** смысловой узел — node; coordinates — "), coordinates, F.lit("; tensions — "), tension,
+        F.lit("; различение — what differs.\n\n**Failure traps:** first; second.\n"),
+    )
+    per = c.select("b", "fault").distinct()
+    pair = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("p")
+    name = F.concat(F.lit("CP"), F.col("p").cast("string"))
+    first = F.when(F.col("fault") == 16, F.concat(F.lit("-A narrative:** same"))).otherwise(F.lit("-A:** B01. as it is"))
+    second = F.when(F.col("fault") == 16, F.lit("same")).otherwise(F.lit("another"))
+    pairs = per.select("b", "fault", pair).select("b", (F.col("p") + 100).cast("long").alias("at"), F.concat(
+        F.lit("## "), name, F.lit(". Pair\n\n**"), name, first, F.lit("\n\n**Expected:** plain prose here.\n\n**"), name, F.lit("-B narrative:** "), second,
+        F.lit("\n\n**Expected:** желание, признание; свобода ↔ привязанность.\n\n**Expected shift:** It moves. Набор не должен совпадать.\n"),
+    ).alias("value"))
+    heads = per.select("b", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("# "), F.col("b").cast("string"), F.lit("\n")).alias("value"))
+    return heads.union(c.select("b", "k", case.alias("value"))).union(pairs)
+
+
+def read_sections(spark, sf_dir):
+    """(b, id, title, fields) of the sections as they are read back."""
+    path = sinks.scratch(spark)
+    benchmark_markdown(spark, sf_dir).repartition("b").sortWithinPartitions("b", "at").select("value").write.text(path)
+    outlined = lines.outline(files.text_lines(spark, path), ["path"], levels=2)
+    body = lines.bodies(outlined, ["path"], 2)
+    heading = r"^(B\d{2}|CP\d)\. (.+)$"
+    one = lambda k: F.regexp_extract("h2.title", heading, k)
+    return body.select(F.col("h1.title").cast("long").alias("b"), one(1).alias("id"), one(2).alias("title"), lines.labelled("body").alias("fields"))
+
+
+_CELLS = f"""d AS (SELECT doc_id, doc_id % 20 AS k, doc_id // 20 AS b, (doc_id // 20) % {FAULTS} AS f, lang, source, translate(coalesce(text, ''), '*#\\', '') AS text FROM documents WHERE NOT ((doc_id // 20) % {FAULTS} = 6 AND doc_id % 20 = 19))"""
+
+
+@query(f"""WITH {_CELLS} SELECT b, 'B' || lpad((k + 1)::VARCHAR, 2, '0') AS id, 'Case ' || doc_id AS title, 6::BIGINT AS n_labels, sha256('n ' || trim(replace(replace(regexp_replace(text, '\\s+', ' ', 'g'), '---', '—'), '--', '–'))) AS narrative, 2::BIGINT AS n_experiences, 2::BIGINT AS n_traps FROM d
+UNION ALL SELECT b, 'CP' || p, 'Pair', 5, NULL, NULL, NULL FROM (SELECT DISTINCT b FROM d), range(1, 5) t(p)""")
+def benchmark_sections(spark, sf_dir):
+    """Cases and contrast pairs from documents, written as nested Markdown and read back; labels repeat in pairs."""
+    s = read_sections(spark, sf_dir)
+    value = lambda label: F.element_at(lines.fields_of(F.col("fields")), F.lit(label))
+    n = lambda label, sep: F.nullif(F.size(lines.split_field(F.col("fields"), label, sep)), F.lit(-1))
+    return s.select("b", "id", "title", F.size("fields").alias("n_labels"), F.sha2(value("Narrative"), 256).alias("narrative"), n("Experiences", ",").alias("n_experiences"), n("Failure traps", ";").alias("n_traps"))
+
+
+def compiled(spark, sf_dir):
+    """(b, raw) of each benchmark, compiled from its sections."""
+    s = read_sections(spark, sf_dir)
+    cases = s.where("id LIKE 'B%'").withColumn("fields", lines.fields_of(F.col("fields")))
+    text = F.lit
+    level = F.array(*[F.struct(text(k).alias("score"), text(f"level {k}").alias("description")) for k in range(3)])
+    rest = s.select("b").distinct().select(
+        "b", text("benchmark-schema/0.1.0").alias("schema_version"), text("retrieval").alias("benchmark_id"), text("0.1").alias("version"), text("spec.md").alias("spec_document"), F.sha2(F.col("b").cast("string"), 256).alias("spec_sha256"),
+        F.struct(text(3).alias("total"), text(2).alias("retrieval_eligible"), text(1).alias("unresolved"), text("closed").alias("source_route")).alias("corpus_context"), F.array(text("MEANING"), text("STRUCTURE")).alias("required_routes"),
+        text(False).alias("source_route_required"), text("evaluation_guidance_not_gold_label").alias("expected_structure_policy"), text("p").alias("contrast_principle"),
+        F.struct(
+            F.array(*map(text, range(3))).alias("scale"), F.array(*[F.struct(text(d).alias("id"), text(d.title()).alias("label"), level.alias("levels")) for d in benchmarks.DIMENSIONS]).alias("card_level_dimensions"),
+            text(False).alias("aggregate_score"), text("none").alias("aggregate_policy"),
+            F.struct(F.struct(text(2).alias("min"), text(3).alias("max")).alias("set_size"), text("q").alias("main_question"), F.array(text("c")).alias("checks")).alias("set_level"),
+        ).alias("evaluation"),
+        F.array(*[F.struct(text(x).alias("id"), text("d").alias("description")) for x in benchmarks.FAILURES]).alias("failure_taxonomy"), F.array(text("r")).alias("rules"), F.array(text("t")).alias("trace_fields"),
+    )
+    return benchmarks.compile_benchmarks(cases, s.where("id LIKE 'CP%'"), rest, "b")
+
+
+#: By fault: what stands in the record's text, and what is put in its place.
+DAMAGE = {
+    1: ('"version":"0.1"', '"version":"0.1 C0001"'), 2: ('"version":"0.1"', '"version":"C0999"'), 3: ('"version":"0.1"', '"version":"Стоицизм"'), 4: ('"version":"0.1"', '"version":"0.1","extra":{"x":1}'),
+    5: ('"version":"0.1"', '"version":""'), 7: ('"id":"B02"', '"id":"B01"'), 8: ('"id":"B20"', '"id":"B99"'), 9: ('"probable_coordinates":["долг / ответственность"', '"probable_coordinates":["долг / ответственность","x"'),
+    10: ('"text":"контроль ↔ конечность"', '"text":"контроль"'), 11: ('"match":"reversed_poles"', '"match":"exact"'), 12: ('"смысл / цель"', '"желание"'), 13: ('"id":"CP4","title"', '"id":"CP3","title"'), 14: ('"id":"CP1-A"', '"id":"CP1-B"'),
+    15: ('"case_ref":"B01"', '"case_ref":"B77"'), 17: ('"scale":[0,1,2]', '"scale":[0,1]'), 18: ('"id":"grounding"', '"id":"relevance"'), 19: ('"score":2', '"score":1'), 20: ('"id":"RECALL"', '"id":"QUERY"'),
+    21: ('"source_route_required":false', '"source_route_required":true'), 22: ('"spec_sha256":"', '"spec_sha256":"0'), 23: ('"contrast_principle":"p"', '"contrast_principle":"other"'),
+}
+
+
+def damaged(spark, sf_dir):
+    """(b, raw, fresh): each benchmark with its fault, and as compiled."""
+    c = sinks.stored(compiled(spark, sf_dir))
+    fault, out = F.col("b") % FAULTS, F.col("raw")
+    for k, (old, new) in DAMAGE.items():
+        changed = F.regexp_replace("raw", r'"spec_sha256":".', '"spec_sha256":"') if k == 22 else F.replace("raw", F.lit(old), F.lit(new))
+        out = F.when(fault == k, F.replace(changed, F.lit(old), F.lit(new)) if k == 22 else changed).otherwise(out)
+    return c.select("b", out.alias("raw"), F.col("raw").alias("fresh"))
+
+
+_COORDS = "list_distinct(list_concat(list(CASE WHEN f = 12 AND k % 14 = 12 THEN 0 ELSE k % 14 END), list(CASE WHEN f = 12 AND (k + b) % 14 = 12 THEN 0 ELSE (k + b) % 14 END)))"
+_BENCHES = f"""{_CELLS}, bn AS (SELECT b, f, count(*) AS nb, bool_or(k = 0) AS k0, bool_or(k = 1) AS k1, bool_or(k = 19) AS k19, count(*) FILTER (k % 14 = 5) AS k5, count(*) FILTER (k = 15) AS k15, count(*) FILTER (k % 3 = 1) AS kr,
+ bool_or(k % 14 = 12 OR (k + b) % 14 = 12) AS k12, len({_COORDS}) AS covered, bool_or(regexp_matches(text, '\\bC[0-9]{{4}}\\b')) AS named, f NOT IN (4, 5, 21) AS good FROM d GROUP BY b, f),
+i AS (SELECT b, 'error' AS severity, unnest(list_concat(
+ CASE WHEN f IN (1, 2) OR named THEN ['CARD_ID_PRESENT'] ELSE [] END, CASE WHEN f = 2 THEN ['UNRESOLVED_REFERENCED'] ELSE [] END, CASE WHEN f = 3 THEN ['TRADITION_OR_AUTHOR_REQUIRED'] ELSE [] END, CASE WHEN f = 4 THEN ['FORBIDDEN_FIELD'] ELSE [] END,
+ CASE WHEN f IN (5, 21) THEN ['SCHEMA'] ELSE [] END, CASE WHEN f = 21 THEN ['SOURCE_REQUIRED'] ELSE [] END, CASE WHEN good AND nb <> 20 THEN ['CASE_COUNT'] ELSE [] END, CASE WHEN f = 7 AND k0 AND k1 THEN ['DUPLICATE_CASE_ID'] ELSE [] END,
+ CASE WHEN f = 8 AND nb = 20 THEN ['CASE_IDS_UNSTABLE'] ELSE [] END, CASE WHEN f = 9 THEN list_transform(range(k5), lambda x: 'COORDINATE_NOT_CANONICAL') ELSE [] END, CASE WHEN f = 10 THEN list_transform(range(k15), lambda x: 'TENSION_FORMAT') ELSE [] END,
+ CASE WHEN f = 11 THEN list_transform(range(kr), lambda x: 'TENSION_MATCH_INCONSISTENT') ELSE [] END, CASE WHEN f = 13 THEN ['CONTRAST_PAIRS', 'VARIANT_ID', 'VARIANT_ID'] ELSE [] END, CASE WHEN f = 14 THEN ['VARIANT_ID'] ELSE [] END,
+ CASE WHEN good AND f <> 16 AND (f = 15 OR NOT k0) THEN list_transform(range(4), lambda x: 'BROKEN_CASE_REFERENCE') ELSE [] END, CASE WHEN f = 16 THEN list_transform(range(4), lambda x: 'CONTRAST_NOT_CONTRASTING') ELSE [] END,
+ CASE WHEN f = 17 THEN ['EVALUATION_SCALE'] ELSE [] END, CASE WHEN f = 18 THEN ['EVALUATION_DIMENSIONS'] ELSE [] END, CASE WHEN f = 19 THEN list_transform(range(5), lambda x: 'EVALUATION_LEVELS') ELSE [] END, CASE WHEN f = 20 THEN ['FAILURE_TAXONOMY'] ELSE [] END,
+ CASE WHEN f IN (1, 2, 3, 13, 14, 15, 17, 18, 19, 20, 22, 23) OR (f = 7 AND k1) OR (f = 8 AND k19) OR (f = 9 AND k5 > 0) OR (f = 10 AND k15 > 0) OR (f = 11 AND kr > 0) OR (f = 12 AND k12) THEN ['SPEC_DRIFT'] ELSE [] END)) AS code FROM bn
+ UNION ALL SELECT b, 'warning', 'COORDINATE_COVERAGE' FROM bn WHERE good AND covered < 14 UNION ALL SELECT b, 'info', 'CASE_SPECIFIC_TENSIONS' FROM bn WHERE good)"""
+
+
+def _validated(spark, sf_dir):
+    d = damaged(spark, sf_dir)
+    specs = d.select("b", F.sha2(F.col("b").cast("string"), 256).alias("sha256"), F.col("fresh").alias("raw"))
+    return d, benchmarks.benchmark_issues(d, "b", ["C0999"], specs)
+
+
+@query(f"WITH {_BENCHES} SELECT severity, code, count(*) AS n FROM i GROUP BY ALL")
+def benchmark_issue_counts(spark, sf_dir):
+    """All 23 codes over benchmarks compiled from documents, each provoked in one of FAULTS benchmarks."""
+    return _validated(spark, sf_dir)[1].groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_BENCHES}, n AS (SELECT b, count(*) FILTER (severity = 'error') AS n FROM i GROUP BY b), t AS (SELECT b, count(*) FILTER (k % 3 = 0) AS exact, count(*) FILTER (k % 3 = 1) AS turned, count(*) FILTER (k % 3 = 2) AS own FROM d GROUP BY b)
+SELECT bn.b, CASE WHEN coalesce(n, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, coalesce(n, 0) AS n_errors, nb AS n_cases, 4::BIGINT AS n_pairs, exact + CASE WHEN f = 11 THEN turned ELSE 0 END AS exact, CASE WHEN f = 11 THEN 0 ELSE turned END AS reversed_poles, own AS case_specific FROM bn JOIN t USING (b) LEFT JOIN n USING (b)""")
+def benchmark_status(spark, sf_dir):
+    d, issues = _validated(spark, sf_dir)
+    return benchmarks.benchmark_summary(d, issues, "b")
+
+
+@query(f"""WITH {_BENCHES}, c AS (SELECT b, f, CASE WHEN f IN (1, 2, 3, 4, 5, 13, 14, 17, 18, 20, 21, 22, 23) THEN 1 WHEN f = 7 THEN k1::INT WHEN f = 8 THEN k19::INT WHEN f = 9 THEN 2 * k5 WHEN f = 10 THEN k15 WHEN f = 11 THEN kr WHEN f = 15 THEN 4 WHEN f = 17 THEN 1 WHEN f = 19 THEN 5 ELSE 0 END AS n FROM bn)
+SELECT b, n FROM c WHERE n > 0 AND f NOT IN (9, 12)""")
+def benchmark_drift(spark, sf_dir):
+    """How many paths of a benchmark differ from its fresh compilation; faults that move list items are left to tests."""
+    d = damaged(spark, sf_dir).where(f"b % {FAULTS} NOT IN (9, 12)")
+    return records.drift(records.paths(d, "b", "fresh"), records.paths(d, "b", "raw"), "b").groupBy("b").agg(F.count("*").alias("n"))

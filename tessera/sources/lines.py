@@ -92,3 +92,48 @@ def ids_between(texts: DataFrame, keys: Sequence[str], text: str, start: str, en
     """(keys, id): ids between two markers."""
     part = F.substring_index(F.substring_index(text, start, -1), end, 1)
     return texts.where(F.contains(text, F.lit(start))).select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(part, F.lit(pattern), F.lit(0)))).alias("id"))
+
+
+def outline(lines: DataFrame, keys: Sequence[str], order: str = "line", text: str = "raw", levels: int = 3) -> DataFrame:
+    """Adds h1 … hN to each line: (title, at) of the heading of each level that is open there, `at` its line.
+
+    A heading closes those of its own and all deeper levels. Headings with equal titles differ in `at`."""
+    marks = F.length(F.regexp_extract(text, r"^(#{1,6})\s+\S", 1))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mine = F.struct(F.trim(F.regexp_replace(text, r"^#+\s+", "")).alias("title"), F.col(order).cast("long").alias("at"))
+    closed = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("long").alias("at"))
+    out = lines.withColumn("_level", marks)
+    for k in range(1, levels + 1):
+        mark = F.when(F.col("_level") == k, mine).when(F.col("_level").between(1, k - 1), closed)
+        out = out.withColumn(f"h{k}", F.last(mark, ignorenulls=True).over(w))
+    return out.withColumn("heading", F.col("_level") > 0).drop("_level")
+
+
+def bodies(outlined: DataFrame, keys: Sequence[str], level: int, order: str = "line", text: str = "raw") -> DataFrame:
+    """(keys, h1 … h<level>, body): the lines below each heading of a level, in order, joined by line breaks; a heading
+    without lines has an empty body."""
+    heads = [f"h{k}" for k in range(1, level + 1)]
+    rows = outlined.where(f"h{level}.at IS NOT NULL")
+    held = F.when(~F.col("heading") | (F.col(order) != F.col(f"h{level}.at")), F.struct(order, text))
+    grouped = rows.groupBy(*keys, *heads).agg(F.array_sort(F.collect_list(held)).alias("_l"))
+    return grouped.select(*keys, *heads, F.array_join(F.transform("_l", lambda s: s[text]), "\n").alias("body"))
+
+
+def labelled(body: str) -> Column:
+    """(label, value) of bold labels, in order and with repeats; values are collapsed and end at the next label."""
+    pattern = r"(?s)\*\*([^*]+?):\*\*\s*(.*?)(?=\s*\*\*[^*]+?:\*\*|\z)"
+    found = lambda k: F.regexp_extract_all(body, F.lit(pattern), F.lit(k))
+    dashes = lambda v: F.replace(F.replace(collapse(F.regexp_replace(v, r"\\(?=\n|$)", "")), F.lit("---"), F.lit("—")), F.lit("--"), F.lit("–"))
+    return F.zip_with(found(1), found(2), lambda a, b: F.struct(F.trim(a).alias("label"), dashes(b).alias("value")))
+
+
+def fields_of(pairs: Column) -> Column:
+    """A map of labels, the last value of each."""
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + F.lit(2), F.size(pairs)), lambda y: y["label"] == x["label"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["label"], x["value"])))
+
+
+def split_field(pairs: Column, label: str, sep: str) -> Column:
+    """The items of one label's value."""
+    value = F.element_at(fields_of(pairs), F.lit(label))
+    return F.filter(F.transform(F.split(value, sep), lambda v: F.trim(v)), lambda v: v != "")

@@ -23,6 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, for frames that are read more than once; lineage ends here."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_corpus(cards: DataFrame, path: str, force: bool = False) -> None:
     """JSON lines and a manifest of counts; an existing corpus is only replaced by force."""
     mode = "overwrite" if force else "errorifexists"
