@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
-from tessera.operators import assembly, compositions, diagnostics, representations, retrieval, rules, sessions
+from tessera.operators import assembly, compositions, diagnostics, neighbours, representations, retrieval, rules, sessions
 from tessera.sources import files, sinks
 from tessera.sources.lines import pipe_rows
 
@@ -436,11 +436,10 @@ full_ AS (SELECT q.item_id, e.doc_id, coalesce(d, 0) / (CASE WHEN q.n = 0 THEN 1
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cos, 9) DESC, doc_id) AS rank FROM full_)
 SELECT item_id AS query_id, doc_id AS card_id, rank, round(cos, 6) AS cosine FROM r WHERE rank <= 10""")
 def hash_bow_topk(spark, sf_dir):
-    """Counts are small integers, so near ties are rounded away before the order by id."""
+    """Counts are small integers, so near ties are rounded away before the order by id; blocks of vectors are multiplied."""
     q = hash_bow(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
     c = hash_bow(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc_id").alias("card_id"), "vector")
-    s = retrieval.cosine_scores(q, c)
-    return retrieval.best(s, ["query_id"], [F.desc(F.round("cosine", 9)), F.asc("card_id")], 10).withColumn("cosine", F.round("cosine", 6)).select("query_id", "card_id", "rank", "cosine")
+    return neighbours.nearest(q, c, 10).withColumn("cosine", F.round("cosine", 6)).select("query_id", "card_id", "rank", "cosine")
 
 
 # a document as a card: its first line the perspective, the next three lines the questions, junk signs editorial

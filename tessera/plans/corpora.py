@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.operators import benchmarks, quotations, records
-from tessera.plans.catalogue import query, table
+from tessera.functions.vectors import hash_bow
+from tessera.operators import benchmarks, neighbours, quotations, records
+from tessera.plans.catalogue import DOC_VARIANTS, WHOLE_CARDS, card_variants, cards, meaning, query, table, text_cards, vector_queries
 from tessera.sources import files, lines, sinks
 
 # ---------------------------------------------------------------- quotations
@@ -174,3 +175,38 @@ def benchmark_drift(spark, sf_dir):
     """How many paths of a benchmark differ from its fresh compilation; faults that move list items are left to tests."""
     d = damaged(spark, sf_dir).where(f"b % {FAULTS} NOT IN (9, 12)")
     return records.drift(records.paths(d, "b", "fresh"), records.paths(d, "b", "raw"), "b").groupBy("b").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- diagnosis of cards
+
+
+@query("""WITH c AS (SELECT vec_id AS card_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.card_id, b.card_id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM c a, c b WHERE a.card_id % 20 = 0 AND a.card_id <> b.card_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY cosine DESC, neighbour_id) AS rank FROM s) SELECT card_id, neighbour_id, rank, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""")
+def card_neighbours(spark, sf_dir):
+    """The ten nearest cards of each studied card."""
+    r = neighbours.nearest(vector_queries(spark, sf_dir), cards(spark, sf_dir).select("card_id", "vector"), 10, apart=True)
+    return r.select(F.col("query_id").alias("card_id"), F.col("card_id").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
+
+
+@query("""WITH c AS (SELECT vec_id AS card_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.card_id AS query_id, c.card_id, list_cosine_similarity(q.v, c.v) AS cosine FROM c q, c WHERE q.card_id % 20 = 0 AND q.card_id <> c.card_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, card_id) AS rank FROM s) SELECT card_id, query_id, rank FROM r WHERE rank <= 15 AND card_id % 5 = 0""")
+def case_ranks(spark, sf_dir):
+    """Where cards whose id is divisible by five stand in each query's pool."""
+    return neighbours.case_ranks(cards(spark, sf_dir).where("card_id % 5 = 0"), meaning(spark, sf_dir))
+
+
+_VARIANT_BOW = rf"""t AS (SELECT 'q' AS variant, item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS token FROM benchmark UNION ALL SELECT variant, doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM dv),
+h AS (SELECT variant, id, ('0x' || substr(sha256(token), 57, 8))::BIGINT % 64 AS bucket, CASE WHEN ('0x' || substr(sha256(token), 56, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
+b AS (SELECT variant, id, bucket, sum(s)::DOUBLE AS w FROM h GROUP BY ALL), n AS (SELECT variant, id, sqrt(sum(w * w)) AS n FROM b GROUP BY ALL),
+ids AS (SELECT 'q' AS variant, item_id AS id FROM benchmark UNION ALL SELECT variant, doc_id FROM dv), m AS (SELECT ids.variant, ids.id, coalesce(n, 0) AS n FROM ids LEFT JOIN n ON n.variant = ids.variant AND n.id = ids.id),
+dots AS (SELECT x.id AS item_id, y.variant, y.id, sum(x.w * y.w) AS d FROM b x JOIN b y ON x.bucket = y.bucket AND x.variant = 'q' AND y.variant <> 'q' GROUP BY ALL),
+f AS (SELECT q.id AS item_id, e.variant, e.id, round(coalesce(d, 0) / (CASE WHEN q.n = 0 THEN 1 ELSE q.n END * CASE WHEN e.n = 0 THEN 1 ELSE e.n END), 9) AS cos FROM m q JOIN m e ON q.variant = 'q' AND e.variant <> 'q' LEFT JOIN dots ON dots.item_id = q.id AND dots.variant = e.variant AND dots.id = e.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, variant ORDER BY cos DESC, id) AS rank FROM f)"""
+
+
+@query(f"WITH {WHOLE_CARDS}, dv AS ({DOC_VARIANTS.replace('v AS (', 'SELECT * FROM (', 1).replace('SELECT doc_id, variant, text FROM v', '')}), {_VARIANT_BOW} SELECT variant, id AS card_id, count(*) AS freq, min(rank) AS best_rank FROM r WHERE rank <= 10 GROUP BY variant, id")
+def variant_frequencies(spark, sf_dir):
+    """How often each document is among the ten nearest of the benchmark's items, by variant of the documents."""
+    items = hash_bow(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    v = card_variants(text_cards(spark, sf_dir, whole=True)).withColumn("at", F.struct("variant", "doc_id"))
+    return neighbours.variant_frequencies(items, hash_bow(v, "at", "text").select("at.variant", F.col("at.doc_id").alias("card_id"), "vector"), 10)
