@@ -8,7 +8,6 @@ is broadcast.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -206,36 +205,27 @@ def found_by(scores: DataFrame, top: int) -> DataFrame:
 
 
 def hybrid(core: DataFrame, views: DataFrame, pool: int, cap: int = PER_SOURCE) -> DataFrame:
-    """A capped core, filled in turns from the views under one cap for all of them.
-
-    `core` is (query_id, card_id, source, rank), `views` (query_id, view, card_id, source, rank) with ranks up
-    to three pools. The cap is shared between views that take turns, which is state from row to row: the rows
-    of a query, three pools a view at most, meet in one pandas group."""
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        seen: dict = {}
-        for r in rows[rows["view"] < 0].sort_values("rank").itertuples():
-            taken.append(r.card_id)
-            seen[r.source] = seen.get(r.source, 0) + 1
-        turns = {v: iter(list(zip(g["card_id"], g["source"]))) for v, g in rows[rows["view"] >= 0].sort_values(["view", "rank"]).groupby("view")}
-        while turns and len(taken) < pool:
-            for v in sorted(turns):
-                for card, source in turns[v]:
-                    if card not in taken and seen.get(source, 0) < cap:
-                        taken.append(card)
-                        seen[source] = seen.get(source, 0) + 1
-                        break
-                else:
-                    del turns[v]
-                if len(taken) == pool:
-                    break
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "card_id": taken, "rank": range(1, len(taken) + 1)})
-
-    both = core.select("query_id", F.lit(-1).alias("view"), "card_id", "source", "rank").union(
-        views.where(F.col("rank") <= 3 * pool).select("query_id", "view", "card_id", "source", "rank")
-    )
-    return both.groupBy("query_id").applyInPandas(fill, "query_id long, card_id long, rank int")
+    """(query_id, card_id, rank): a capped core, filled in turns from the views under one cap for all of them.
+
+    `core` is (query_id, card_id, source, rank), `views` (query_id, view, card_id, source, rank), of which the first three
+    pools count. A fold over the turns of a query's views: each takes its first card that isn't in yet and whose source
+    has room. What a view has passed over stays out, since pools and sources only fill; so no turn needs to know where
+    the one before stopped. A query's lists, three pools a view, are one row."""
+    held = F.struct("card_id", "source")
+    listed = views.where(F.col("rank") <= 3 * pool).groupBy("query_id", "view").agg(F.array_sort(F.collect_list(F.struct("rank", "card_id", "source"))).alias("cards"))
+    turns = listed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("view", F.transform("cards", lambda c: F.struct(c["card_id"], c["source"])).alias("cards")))), lambda v: v["cards"]).alias("turns"))
+    start = core.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", held.alias("c")))), lambda x: x["c"]).alias("core"))
+    kind = core.select(F.array(held)).schema[0].dataType
+    both = start.join(turns, "query_id", "full_outer").select("query_id", F.coalesce("core", F.array().cast(kind)).alias("core"), F.coalesce("turns", F.array().cast(listed.select(F.array(F.transform("cards", lambda c: F.struct(c["card_id"], c["source"])))).schema[0].dataType)).alias("turns"))
+
+    def turn(taken: Column, cards: Column) -> Column:
+        def fits(c: Column) -> Column:
+            return ~F.exists(taken, lambda t: t["card_id"] == c["card_id"]) & (F.size(F.filter(taken, lambda t: t["source"].eqNullSafe(c["source"]))) < cap)
+
+        return F.when(F.size(taken) < pool, F.concat(taken, F.slice(F.filter(cards, fits), 1, 1).cast(kind))).otherwise(taken)
+
+    filled = F.aggregate(F.flatten(F.array_repeat("turns", pool)), F.col("core"), turn)
+    return both.select("query_id", F.posexplode(filled).alias("at", "c")).select("query_id", "c.card_id", (F.col("at") + 1).alias("rank"))
 
 
 def one_per_source(selected: DataFrame) -> DataFrame:

@@ -236,9 +236,19 @@ def found_by_view(spark, sf_dir):
     return retrieval.found_by(view_scores(spark, sf_dir), 30).select("query_id", "view", "card_id", "competition_rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, card_id) AS place FROM s WHERE view = 0 AND query_id <> card_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY place) <= 3 AS ok FROM sp WHERE place <= 30),
+e AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM d),
+core AS (SELECT query_id, list(card_id ORDER BY place) AS cards, list(source ORDER BY place) AS sources FROM e WHERE ok AND taken < 10 GROUP BY 1),
+v AS (SELECT query_id, view, list({{'c': card_id, 's': source}} ORDER BY rank) AS l FROM r WHERE rank <= 60 GROUP BY ALL),
+l AS (SELECT query_id, list(l ORDER BY view) AS ls FROM v GROUP BY 1),
+f AS (SELECT query_id, 0 AS step, cards, sources FROM core UNION ALL
+ SELECT query_id, step + 1, CASE WHEN p IS NULL THEN cards ELSE list_append(cards, p.c) END, CASE WHEN p IS NULL THEN sources ELSE list_append(sources, p.s) END FROM
+ (SELECT f.*, CASE WHEN len(cards) < 20 THEN list_filter(ls[step % len(ls) + 1], lambda x: NOT list_contains(cards, x.c) AND len(list_filter(sources, lambda y: y = x.s)) < 3)[1] END AS p FROM f JOIN l USING (query_id) WHERE step < 20 * len(ls))),
+z AS (SELECT query_id, arg_max(cards, step) AS cards FROM f GROUP BY 1)
+SELECT query_id, unnest(cards) AS card_id, generate_subscripts(cards, 1) AS rank FROM z""")
 def fusion_hybrid(spark, sf_dir):
-    """Shared caps between views are state from card to card; tests hold it against the plain loop."""
+    """A fold over the views' turns; the SQL takes the same turns one by one."""
     source = cards(spark, sf_dir).select("card_id", "source")
     core = retrieval.diversity(sourced(spark, sf_dir, 30), pool=10, scan=30).where("accepted").select("query_id", "card_id", "source", "rank")
     ranked = view_ranks(spark, sf_dir, 60).join(source, "card_id")
