@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
-from tessera.operators import benchmarks, neighbours, quotations, records
+from tessera.operators import benchmarks, neighbours, quotations, records, similar_sets
 from tessera.plans.catalogue import DOC_VARIANTS, WHOLE_CARDS, card_variants, cards, meaning, query, table, text_cards, vector_queries
 from tessera.sources import files, lines, sinks
 
@@ -210,3 +211,34 @@ def variant_frequencies(spark, sf_dir):
     items = hash_bow(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"))
     v = card_variants(text_cards(spark, sf_dir, whole=True)).withColumn("at", F.struct("variant", "doc_id"))
     return neighbours.variant_frequencies(items, hash_bow(v, "at", "text").select("at.variant", F.col("at.doc_id").alias("card_id"), "vector"), 10)
+
+
+# ---------------------------------------------------------------- similar sets of words
+
+_WORDS = r"list_sort(list_distinct(list_filter(regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 3)))"
+_NEAR = """e AS (SELECT w, len(w) AS n, unnest(w) AS x FROM sets), qe AS (SELECT w, len(w) AS n, unnest(w) AS x FROM qs),
+p AS (SELECT qe.w AS qw, e.w AS dw, count(*) AS c, any_value(qe.n) AS nq, any_value(e.n) AS nd FROM qe JOIN e ON qe.x = e.x AND 100 * e.n >= {0} * qe.n AND 100 * qe.n >= {0} * e.n GROUP BY qe.w, e.w),
+j AS (SELECT qw, dw, round(c / (nq + nd - c), 6) AS jaccard FROM p WHERE 100 * c >= {0} * (nq + nd - c))"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), sets AS (SELECT w, min(doc_id) AS set_id, count(*) AS n_docs FROM d WHERE len(w) > 0 GROUP BY w),
+qs AS (SELECT DISTINCT w FROM d WHERE doc_id % 20 = 0 AND len(w) > 0), {_NEAR.format(40)}
+SELECT d.doc_id AS query_id, set_id, n_docs, jaccard FROM d JOIN j ON d.w = qw JOIN sets ON sets.w = dw WHERE doc_id % 20 = 0""")
+def similar_documents(spark, sf_dir):
+    """Word sets that are like a query document's by 40 percent or more; documents with equal sets are one class."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.content_words("text").alias("items"))
+    every, asked = similar_sets.classes(d, "doc_id", "items"), d.where("doc_id % 20 = 0")
+    found = similar_sets.similar(similar_sets.classes(asked, "doc_id", "items"), every, 40).join(every.select(F.col("set_id").alias("right_id"), F.col("n_members").alias("n_docs")), "right_id")
+    mine = asked.select("doc_id", F.array_sort("items").alias("items"))
+    leader = mine.groupBy("items").agg(F.min("doc_id").alias("left_id"))
+    return mine.join(leader, "items").join(found, "left_id").select(F.col("doc_id").alias("query_id"), F.col("right_id").alias("set_id"), "n_docs", "jaccard")
+
+
+@query(rf"""WITH x AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS s FROM documents),
+y AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS place, unnest(s) AS t FROM x), d AS (SELECT doc_id, place, {_WORDS.format("t")} AS w FROM y), sets AS (SELECT w, count(*) AS n FROM d WHERE len(w) > 0 GROUP BY w),
+qs AS (SELECT DISTINCT w FROM d WHERE doc_id % 20 = 0 AND len(w) > 0), {_NEAR.format(60)}, g AS (SELECT qw, count(*) AS n_sets, sum(n)::BIGINT AS n_sentences, max(jaccard) AS nearest FROM j JOIN sets ON sets.w = dw GROUP BY qw)
+SELECT doc_id, place, n_sets, n_sentences, nearest FROM d JOIN g ON d.w = qw WHERE doc_id % 20 = 0""")
+def retold_sentences(spark, sf_dir):
+    """Sentences of every twentieth document, and what in all documents retells them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_sets.retellings(d.where("doc_id % 20 = 0"), d, "doc_id", "text").withColumnRenamed("at", "place")
