@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
-from tessera.operators import benchmarks, neighbours, quotations, records, similar_sets
+from tessera.operators import benchmarks, neighbours, phrases, quotations, records, similar_sets
 from tessera.plans.catalogue import DOC_VARIANTS, WHOLE_CARDS, card_variants, cards, meaning, query, table, text_cards, vector_queries
 from tessera.sources import files, lines, sinks
 
@@ -242,3 +242,30 @@ def retold_sentences(spark, sf_dir):
     """Sentences of every twentieth document, and what in all documents retells them."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return similar_sets.retellings(d.where("doc_id % 20 = 0"), d, "doc_id", "text").withColumnRenamed("at", "place")
+
+
+# ---------------------------------------------------------------- detectors over large lists
+
+
+@query(r"""WITH w AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1),
+d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, count(*) AS n_phrases, sum((length(t) - length(replace(t, phrase, ''))) // length(phrase))::BIGINT AS n_least, min(phrase) AS first FROM d JOIN p ON contains(t, phrase) GROUP BY doc_id""")
+def phrase_detectors(spark, sf_dir):
+    """All runs of two words of the benchmark, some thousand phrases, in all documents, in one pass.
+
+    n_least counts occurrences that don't overlap, as SQL can."""
+    w = X.word_tokens(F.lower("text"))
+    pairs = X.let(w, lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat_ws(" ", F.get(x, i), F.get(x, i + 1)))).otherwise(F.array().cast("array<string>")))
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(pairs).alias("phrase"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = phrases.phrase_hits(d, "doc_id", "text", listed)
+    low = F.lower("text")
+    each = hits.join(d, "doc_id").withColumn("apart", F.floor((F.length(low) - F.length(F.replace(low, F.col("phrase"), F.lit("")))) / F.length("phrase")))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.sum("apart").alias("n_least"), F.min("phrase").alias("first"))
+
+
+@query("SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{p}' END" for p in ("http://", "password", "secret", "token", "und die")) + ") AS hits FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{p}')" for p in ("http://", "password", "secret", "token", "und die")))
+def literal_hits(spark, sf_dir):
+    """What pattern_hits finds for the same list of plain phrases."""
+    listed = spark.createDataFrame([(p,) for p in ("http://", "password", "secret", "token", "und die")], "phrase string")
+    hits = phrases.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", listed)
+    return hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("phrase")), "|").alias("hits"))
