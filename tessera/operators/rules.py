@@ -238,6 +238,27 @@ def field_coverage(df: DataFrame, conditions: dict[str, Column], population: Col
     return named.select("population", "n", rows.alias("r")).select("population", "r.field", (F.col("n") - F.col("r.missing")).alias("present"), "r.missing")
 
 
+def summary(df: DataFrame, rules: Sequence[Rule], conditions: dict[str, Column], population: Column, state: Column) -> DataFrame:
+    """A4, A5: (kind, population, name, value, n) in one pass: issues by code and severity, fields present and missing, readiness
+    states, for each population and for all rows. What doesn't occur has no row.
+
+    Each row gives one fact for each thing counted; grouping sets make both levels from the same facts."""
+    fact = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
+
+    def issues(r: Rule) -> Column:
+        one = fact("issue", F.lit(r.code), F.lit(r.severity))
+        if r.each:
+            return F.transform(F.coalesce(r.when, F.array().cast("array<string>")), lambda _: one)
+        return F.when(F.coalesce(r.when, F.lit(False)), F.array(one)).otherwise(F.array().cast("array<struct<kind:string,name:string,value:string>>"))
+
+    fields = [fact("field", F.lit(f), F.when(F.coalesce(c, F.lit(False)), "missing").otherwise("present")) for f, c in conditions.items()]
+    facts = F.concat(F.array(*fields, fact("state", state, F.lit(""))), *map(issues, rules))
+    each = df.select(population.alias("population"), F.explode(facts).alias("f")).select("population", "f.kind", "f.name", "f.value")
+    keys = [F.col(c) for c in ("kind", "population", "name", "value")]
+    both = each.groupingSets([keys, [k for k in keys if k is not keys[1]]], *keys).agg(F.count("*").alias("n"), F.grouping("population").alias("g"))
+    return both.select("kind", F.when(F.col("g") == 1, "all").otherwise(F.col("population")).alias("population"), "name", "value", "n")
+
+
 def final_corpus_issues(rows: DataFrame, header: Sequence[str], excluded: DataFrame, forbidden: Sequence[str]) -> DataFrame:
     """(line, card_id, problem): every violation of the flat card contract; a wrong header is the only issue.
 

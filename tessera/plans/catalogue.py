@@ -759,9 +759,8 @@ def field_coverage(spark, sf_dir):
     return rules.field_coverage(labelled(spark, sf_dir), conditions, F.col("status"))
 
 
-def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    catalogue = [
+def document_rules() -> list[rules.Rule]:
+    return [
         rules.Rule("LABEL_MISSING", "warning", F.col("quality").isNull(), "quality"),
         rules.Rule("TOXIC", "error", F.col("toxic") == 1, "toxic"),
         rules.Rule("PLACEHOLDER_TEXT", "error", X.contains_any("text", MARKERS), "text"),
@@ -769,7 +768,11 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules.Rule("COUNT_WRONG", "error", F.col("n_chars") != F.length("text"), "n_chars"),
         rules.Rule("CONTENT_GAP", "info", rules.which({"lang": F.col("lang") == "es", "source": F.col("source") == "src0"}), each=True),
     ]
-    return rules.row_issues(d, catalogue, "doc_id")
+
+
+def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rules.row_issues(d, document_rules(), "doc_id")
 
 
 @query("WITH d AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), i AS (" + " UNION ALL ".join(

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera import schemas
 from tessera.functions import text as X
 from tessera.functions.vectors import hash_bow
-from tessera.operators import benchmarks, neighbours, phrases, quotations, records, similar_sets
-from tessera.plans.catalogue import DOC_VARIANTS, WHOLE_CARDS, card_variants, cards, meaning, query, table, text_cards, vector_queries
+from tessera.operators import benchmarks, compositions, neighbours, phrases, quotations, records, rules, similar_sets
+from tessera.plans.catalogue import (
+    _BAD, DOC_VARIANTS, READINESS, STATUS, WHOLE_CARDS, card_readiness, card_variants, cards, document_rules, labelled, meaning, query, sourced, table, text_cards, vector_queries,
+)
 from tessera.sources import files, lines, sinks
 
 # ---------------------------------------------------------------- quotations
@@ -269,3 +274,146 @@ def literal_hits(spark, sf_dir):
     listed = spark.createDataFrame([(p,) for p in ("http://", "password", "secret", "token", "und die")], "phrase string")
     hits = phrases.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", listed)
     return hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("phrase")), "|").alias("hits"))
+
+
+# ---------------------------------------------------------------- rules of cards, contracts of composed answers
+
+
+@query(f"""WITH {STATUS}, rd AS (WITH {WHOLE_CARDS}, {READINESS}), d AS (SELECT documents.*, status, quality, toxic FROM documents JOIN st USING (doc_id)),
+f AS (SELECT status, 'issue' AS kind, 'LABEL_MISSING' AS name, 'warning' AS value FROM d WHERE quality IS NULL UNION ALL SELECT status, 'issue', 'TOXIC', 'error' FROM d WHERE toxic = 1 UNION ALL SELECT status, 'issue', 'PLACEHOLDER_TEXT', 'error' FROM d WHERE {_BAD.format("text")}
+ UNION ALL SELECT status, 'issue', 'FRAGMENT_TEXT_ABSENT', 'warning' FROM d WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT status, 'issue', 'COUNT_WRONG', 'error' FROM d WHERE n_chars <> length(text) UNION ALL SELECT status, 'issue', 'CONTENT_GAP', 'info' FROM d WHERE lang = 'es'
+ UNION ALL SELECT status, 'issue', 'CONTENT_GAP', 'info' FROM d WHERE source = 'src0' UNION ALL SELECT status, 'field', 'label', CASE WHEN quality IS NULL THEN 'missing' ELSE 'present' END FROM d UNION ALL SELECT status, 'field', 'lang', CASE WHEN lang = 'es' THEN 'missing' ELSE 'present' END FROM d
+ UNION ALL SELECT status, 'field', 'source', CASE WHEN trim(coalesce(source, '')) = '' THEN 'missing' ELSE 'present' END FROM d UNION ALL SELECT status, 'state', state, '' FROM d JOIN rd USING (doc_id))
+SELECT kind, status AS population, name, value, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT kind, 'all', name, value, count(*) FROM f GROUP BY ALL""")
+def whole_summary(spark, sf_dir):
+    """What issue_summary, field_coverage and the readiness states say, together and by status."""
+    d = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    d = d.join(card_readiness(text_cards(spark, sf_dir, whole=True)).select("doc_id", "state"), "doc_id")
+    conditions = {"label": F.col("quality").isNull(), "lang": F.col("lang") == "es", "source": X.missing("source")}
+    return rules.summary(d, document_rules(), conditions, F.col("status"), F.col("state"))
+
+
+#: What is made wrong in a card by the remainder of its id: the fields, their values as JSON with underscores for spaces, and the issues that follow.
+CARD_FAULTS = [
+    ("tradition", '""', [("error", "MISSING_SOURCE_IDENTITY", "tradition")]), ("question_structures", "[]", [("error", "RETRIEVAL_METADATA_MISSING", "question_structures"), ("error", "STRUCTURE_NOT_READY", None)]),
+    ("technical.retrieval_eligible philosophical_operation", "false null", [("info", "EXCLUDED_UNRESOLVED_NO_OPERATION", "philosophical_operation")]), ("commentary", "null", [("warning", "CONTENT_GAP", "commentary")]),
+    ("technical.recovery_status context", '"done" ""', [("warning", "RECOVERY_GAP", "context")]), ("fragment", "null", [("warning", "FRAGMENT_TEXT_ABSENT", "fragment")]), ("state", '"EMPTY"', [("error", "MEANING_NOT_READY", None)]), ("state", '"THIN"', [("warning", "MEANING_THIN", None)]),
+    ("perspective", '"[ред]"', [("error", "EDITORIAL_TEXT_IN_MEANING", "perspective")]), ("philosophical_questions", '["[ред]"]', [("error", "EDITORIAL_TEXT_IN_MEANING", "philosophical_questions")]), ("thought", '"Рабочее"', [("warning", "TEMPLATED_INTERPRETATION", None)]),
+    ("context", '"[FINAL_TEXTUAL_PASS"', [("error", "PLACEHOLDER_TEXT", "context")]), ("context", '"зафиксировать_по_утверждённому_реестру"', [("error", "PLACEHOLDER_TEXT", "context")]), ("coordinates", '["нет"]', [("error", "INVALID_TAXONOMY_VALUE", "coordinates")]), ("tensions", '["нет"]', [("error", "INVALID_TAXONOMY_VALUE", "tensions")]),
+    ("coordinates", '["желание","желание"]', [("warning", "DUPLICATE_VALUE", "coordinates")]), ("philosophical_operation", '"OTHER"', [("error", "INVALID_OPERATION", "philosophical_operation"), ("error", "STRUCTURE_NOT_READY", None)]),
+    ("question_structures", '["a"]', [("error", "MALFORMED_QUESTION_STRUCTURES", "question_structures")]), ("question_structures", '["a↔b","a↔b"]', [("error", "MALFORMED_QUESTION_STRUCTURES", "question_structures")]),
+    ("question_structures", '["c↔d"]', [("warning", "UNKNOWN_QUESTION_STRUCTURE", "question_structures")]), ("question_structures", '["a↔b","open_/_context-dependent"]', [("warning", "OPEN_MARKER_MIXED", "question_structures")]), ("relations", "null", [("info", "RELATIONS_UNAVAILABLE", "relations")]),
+    ("relations.complicates", '["own"]', [("error", "SELF_RELATION", "relations.complicates")]), ("source_verified", "false", [("warning", "CARD_VERIFICATION_FLAG_FALSE", "source_verified")]), ("copyright_status", '"check"', [("info", "COPYRIGHT_PENDING", "copyright_status")]),
+    ("technical.thought_placeholder", '"x"', [("info", "THOUGHT_PLACEHOLDER_PRESERVED", "thought")]), ("technical.translation_placeholder", '"x"', [("info", "TRANSLATION_PLACEHOLDER_PRESERVED", "translation")]), ("tensions", '["долг_(potential)"]', [("error", "INVALID_TAXONOMY_VALUE", "tensions")]), ("tensions", '["желание_↔_долг_(potential)"]', []),
+]
+
+
+def faulty_cards(spark, sf_dir):
+    """Whole cards of documents, each with one fault by its id's remainder; every thirtieth has none."""
+    d = table(spark, sf_dir, "documents")
+    fault = F.col("doc_id") % (len(CARD_FAULTS) + 1)
+    base = {
+        "tradition": F.col("lang"), "author": F.col("source"), "work": F.lit("w"), "location": F.col("doc_id").cast("string"), "fragment": F.col("text"), "thought": F.col("text"), "context": F.lit("c"), "commentary": F.lit("c"),
+        "philosophical_questions": F.array(F.lit("q?")), "coordinates": F.array(F.lit("желание")), "tensions": F.array().cast("array<string>"), "perspective": F.lit("p"), "philosophical_operation": F.lit("DISTINGUISH"), "question_structures": F.array(F.lit("a↔b")),
+        "relations.contrasts_with": F.array().cast("array<string>"), "relations.resonates_with": F.array().cast("array<string>"), "relations.complicates": F.array().cast("array<string>"), "relations": F.lit(None), "translation": F.lit("t"), "source": F.lit("s"),
+        "copyright_status": F.lit("ok"), "source_verified": F.lit(True), "interpretation_verified": F.lit(True), "technical.operational_status": F.lit("verified"), "technical.retrieval_eligible": F.lit(True), "technical.recovery_status": F.lit(None).cast("string"),
+        "technical.thought_placeholder": F.lit("").cast("string"), "technical.translation_placeholder": F.lit("").cast("string"), "state": F.lit("READY"),
+    }
+    for k, (names, values, _) in enumerate(CARD_FAULTS):
+        for name, value in zip(names.split(), values.split()):
+            value = json.loads(value.replace("_", " "))
+            if name == "relations.complicates":
+                new = F.array(F.col("doc_id").cast("string"))
+            else:
+                new = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+            if name == "relations":
+                base[name] = fault == k
+            else:
+                base[name] = F.when(fault == k, new.cast("array<string>") if isinstance(value, list) else new).otherwise(base[name])
+    group = lambda g: F.struct(*[base[n].alias(n.split(".")[1]) for n in base if n.startswith(g + ".")])
+    relations = F.when(~base["relations"], group("relations"))
+    plain_ = [c.alias(n) for n, c in base.items() if "." not in n and n != "relations"]
+    return d.select(F.col("doc_id").cast("string").alias("id"), *plain_, relations.alias("relations"), group("technical").alias("technical"))
+
+
+_CARD_ISSUES = ", ".join(f"({k}, '{s}', '{c}', " + (f"'{f}')" if f else "NULL)") for k, (_, _, found) in enumerate(CARD_FAULTS) for s, c, f in found)
+
+
+@query(f"WITH i(f, severity, code, field) AS (VALUES {_CARD_ISSUES}) SELECT severity, code, field, count(*) AS n FROM documents JOIN i ON doc_id % {len(CARD_FAULTS) + 1} = f GROUP BY ALL")
+def card_issue_counts(spark, sf_dir):
+    """The whole catalogue of row rules over cards of documents, each rule provoked by one fault."""
+    found = rules.card_rules(["DISTINGUISH"], ["a↔b"], ["[ред]"], {"thought": "Рабочее"})
+    return rules.row_issues(faulty_cards(spark, sf_dir), found).groupBy("severity", "code", "field").agg(F.count("*").alias("n"))
+
+
+_SPLIT = r"list_filter(string_split(regexp_replace(trim({0}), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '')"
+_DISPLAY = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_«»-]+'))"
+_SIGNS = "(length({0}) - length(replace({0}, '{1}', '')))"
+_PARTS = {f: (_SPLIT.format(f), _DISPLAY.format(f)) for f in ("main_idea", "applied_insight", "reflection_question")}
+_CARD_CHECKS = {
+    "incomplete": "trim(coalesce(main_idea, '')) = '' OR trim(coalesce(applied_insight, '')) = ''",
+    "one_question": f"{_SIGNS.format('reflection_question', '?')} <> 1 OR NOT ends_with(rtrim(reflection_question), '?') OR len({_PARTS['reflection_question'][0]}) <> 1",
+    "numbers": "regexp_matches(concat_ws(' ', main_idea, applied_insight, reflection_question), '[0-9]{3}')",
+    **{f"{f}_words": f"{_PARTS[f][1]} > {n}" for f, n in compositions.WORD_LIMITS.items()}, **{f"{f}_sentences": f"len({_PARTS[f][0]}) > {n}" for f, n in compositions.SENTENCE_LIMITS.items()},
+    **{f"{f}_long_sentence": f"len(list_filter({_PARTS[f][0]}, lambda z: {_DISPLAY.format('z')} > {compositions.SENTENCE_WORDS})) > 0" for f in compositions.SENTENCE_LIMITS},
+}
+
+
+@query("WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS main_idea, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS applied_insight, coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN '?' ELSE '' END AS reflection_question FROM conversations) "
+       + " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS problem FROM t WHERE {c}" for n, c in _CARD_CHECKS.items()))
+def composed_card_problems(spark, sf_dir):
+    """Turns as composed cards: the limits of words, sentences and questions."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    question = F.concat("text", F.when(F.col("turn") % 3 == 0, "?").otherwise(""))
+    t = c.select("conv_id", "turn", F.col("text").alias("main_idea"), F.coalesce(F.lead("text").over(after), F.lit("")).alias("applied_insight"), question.alias("reflection_question"))
+    return compositions.card_problems(t, ["conv_id", "turn"], {"numbers": ["[0-9]{3}"]})
+
+
+# three cards a query chosen from its ranking: with repeats, without a wording, or from outside the pool, by the query's id
+_CHOSEN = """c AS (SELECT vec_id AS card_id, embedding::DOUBLE[] AS v, label AS source FROM embeddings), s AS (SELECT q.card_id AS query_id, c.card_id, c.source, list_cosine_similarity(q.v, c.v) AS cosine FROM c q, c WHERE q.card_id % 20 = 0 AND q.card_id <> c.card_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, card_id) AS rank FROM s),
+k AS (SELECT query_id, card_id, rank, source, CASE WHEN query_id % 60 = 0 THEN 'видит' ELSE 'Увидеть иначе' END AS distinction, CASE WHEN query_id % 100 = 0 THEN '' WHEN query_id % 40 = 0 THEN 'effect' ELSE 'effect ' || rank END AS effect, 'frame ' || source AS frame FROM r
+ WHERE rank <= CASE WHEN query_id % 140 = 0 THEN 5 ELSE 3 END UNION ALL SELECT query_id, card_id, 9, source, 'различие', 'effect 9', 'own' FROM r WHERE rank = 20 AND query_id % 180 = 0)"""
+
+
+@query(f"""WITH {_CHOSEN}, g AS (SELECT query_id, count(*) AS n, count(DISTINCT card_id) AS cards, count(DISTINCT effect) AS effects, count(DISTINCT frame) AS frames, count(*) FILTER (NOT regexp_matches(lower(distinction), 'различ|увидеть')) AS vague, count(*) FILTER (effect = '') AS empty_ FROM k GROUP BY 1)
+SELECT query_id, unnest(list_filter([CASE WHEN n NOT BETWEEN 1 AND 3 THEN 'count' END, CASE WHEN cards < n THEN 'not_distinct' END, CASE WHEN effects < n THEN 'same_effect' END, CASE WHEN frames < n THEN 'same_frame' END, CASE WHEN vague > 0 THEN 'vague_distinction' END, CASE WHEN empty_ > 0 THEN 'empty_effect' END], lambda x: x IS NOT NULL)) AS problem FROM g
+UNION ALL SELECT DISTINCT k.query_id, 'outside_pool' FROM k LEFT JOIN r ON r.query_id = k.query_id AND r.card_id = k.card_id AND r.rank <= 15 WHERE r.card_id IS NULL""")
+def selection_problems(spark, sf_dir):
+    """Chosen cards against the pool and each other."""
+    r = sourced(spark, sf_dir, 20)
+    q = lambda n: F.col("query_id") % n == 0
+    shown = r.where(F.col("rank") <= F.when(q(140), 5).otherwise(3)).select(
+        "query_id", "card_id", F.when(q(60), "видит").otherwise("Увидеть иначе").alias("distinction"), F.when(q(100), "").when(q(40), "effect").otherwise(F.concat(F.lit("effect "), F.col("rank").cast("string"))).alias("perspective_effect"),
+        F.concat(F.lit("frame "), F.col("source").cast("string")).alias("perspective_frame"),
+    )
+    far = r.where("rank = 20 AND query_id % 180 = 0").select("query_id", "card_id", F.lit("различие"), F.lit("effect 9"), F.lit("own"))
+    return compositions.selection_problems(shown.union(far), meaning(spark, sf_dir))
+
+
+_FOLDED = r"array_to_string(regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[\p{{L}}\p{{N}}_]+'), ' ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, coalesce(lang, '') || ' says' AS words, CASE doc_id % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'user' ELSE 'both' END AS kind, CASE WHEN doc_id % 7 = 0 THEN ' ?! ' WHEN doc_id % 5 = 0 THEN 'never said so' ELSE substr(text, length(text) // 2 + 1, length(text)) END AS evidence FROM documents),
+n AS (SELECT doc_id, kind, {_FOLDED.format("evidence")} AS e, {_FOLDED.format("text")} AS s, {_FOLDED.format("words")} AS u FROM d)
+SELECT doc_id, CASE WHEN e = '' THEN 'no_evidence' ELSE 'not_verbatim' END AS problem FROM n WHERE e = '' OR NOT contains(CASE kind WHEN 'source' THEN s WHEN 'user' THEN u ELSE u || ' ' || s END, e)""")
+def grounding_problems(spark, sf_dir):
+    """claims whose evidence, here the second half of a text, has to stand in the text or in a user's words."""
+    d = table(spark, sf_dir, "documents")
+    half = F.expr("substring(text, CAST(length(text) DIV 2 AS INT) + 1, length(text))")
+    evidence = F.when(F.col("doc_id") % 7 == 0, " ?! ").when(F.col("doc_id") % 5 == 0, "never said so").otherwise(half)
+    claims = d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "source").when(F.col("doc_id") % 4 == 1, "user").otherwise("both").alias("kind"), F.lit("c").alias("claim"), evidence.alias("evidence"))
+    sources = d.select("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit(" says")).alias("user_words"), F.col("text").alias("source_data"))
+    return compositions.grounding_problems(claims, sources, "doc_id").select("doc_id", "problem")
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, {_SPLIT.format("text")} AS s FROM documents), f AS (SELECT doc_id, text, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM x)
+SELECT doc_id, place, place % 3 = 0 AS invented FROM f WHERE place % 4 <> 2 AND trim(CASE WHEN place % 3 = 0 THEN 'Not said. ' || sentence ELSE sentence END) <> '' AND contains({_FOLDED.format("text")}, {_FOLDED.format("CASE WHEN place % 3 = 0 THEN 'Not said. ' || sentence ELSE sentence END")})""")
+def validator_findings(spark, sf_dir):
+    """a validator's findings that name sentences of a text; every third sentence is invented, and every fourth label isn't a violation."""
+    d = table(spark, sf_dir, "documents")
+    place = F.col("place")
+    said = d.select("doc_id", F.posexplode(X.sentences("text")).alias("place", "s"))
+    found = said.select("doc_id", "place", F.when(place % 4 == 2, "fine").otherwise("violation").alias("label"), F.when(place % 3 == 0, F.concat(F.lit("Not said. "), "s")).otherwise(F.col("s")).alias("sentence"))
+    return compositions.real_violations(found, d.select("doc_id", F.col("text").alias("card_text")), "doc_id", ["violation"]).select("doc_id", "place", (place % 3 == 0).alias("invented"))
