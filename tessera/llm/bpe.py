@@ -29,7 +29,7 @@ from tessera.llm.common import arrow_map
 # The pre-tokenization pattern of this vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 48
-CACHE = 1_000_000
+CACHE = 1 << 18
 #: Single spaces between other characters, where one word ends and the next begins in any case.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Where a plain split at spaces would cut at others: runs of white space with a space, or U+001C to U+001F,
@@ -233,4 +233,4 @@ def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False, id_col:
         return pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, pieces=True)
