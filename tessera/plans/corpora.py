@@ -417,3 +417,42 @@ def validator_findings(spark, sf_dir):
     said = d.select("doc_id", F.posexplode(X.sentences("text")).alias("place", "s"))
     found = said.select("doc_id", "place", F.when(place % 4 == 2, "fine").otherwise("violation").alias("label"), F.when(place % 3 == 0, F.concat(F.lit("Not said. "), "s")).otherwise(F.col("s")).alias("sentence"))
     return compositions.real_violations(found, d.select("doc_id", F.col("text").alias("card_text")), "doc_id", ["violation"]).select("doc_id", "place", (place % 3 == 0).alias("invented"))
+
+
+# ---------------------------------------------------------------- YAML blocks, manifests
+
+
+@query("""SELECT CASE WHEN doc_id % 5 <> 4 THEN doc_id END AS doc_id, CASE doc_id % 5 WHEN 4 THEN 'refused' WHEN 3 THEN 'repaired' ELSE 'good' END AS state, CASE WHEN doc_id % 5 <> 4 THEN '2.10' END AS version,
+CASE doc_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'see: ' || lang ELSE lang END AS item FROM documents""")
+def yaml_states(spark, sf_dir):
+    """A block for each document in Markdown files: most are good, some need their list items quoted, some can't be read."""
+    path = sinks.scratch(spark)
+    k = F.col("doc_id") % 5
+    item = F.when(k == 3, F.concat(F.lit("see: "), "lang")).otherwise(F.col("lang"))
+    body = F.when(k == 4, F.lit("id: [never closed")).otherwise(F.concat(F.lit("id: "), F.col("doc_id").cast("string"), F.lit("\nversion: 2.10\nitems:\n  - "), item))
+    table(spark, sf_dir, "documents").select(F.concat(F.lit("## Card\n\n```yaml\n"), body, F.lit("\n```\n\nprose\n")).alias("value")).write.text(path)
+    r = files.yaml_records(files.fenced_blocks(files.text_lines(spark, path), "yaml"))
+    parsed = F.from_json("record", "id string, version string, items array<string>")
+    return r.withColumn("r", parsed).select(F.col("r.id").cast("long").alias("doc_id"), "state", "r.version", F.get("r.items", F.lit(0)).alias("item"))
+
+
+@query("""WITH f AS (SELECT lang, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY lang)
+SELECT lang AS name, CASE lang WHEN 'de' THEN 'sha256' ELSE 'size' END AS problem FROM f WHERE lang IN ('de', 'fr') UNION ALL SELECT 'xx', 'missing'""")
+def manifest_problems(spark, sf_dir):
+    """A file of all texts of each language against its manifest: one has another digest, one another size, one isn't there."""
+    path = sinks.scratch(spark)
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    d.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text").write.partitionBy("lang").text(path)
+    found = files.file_hashes(spark, path, part="lang")
+    listed = found.select("name", F.when(F.col("name") == "fr", F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("name") == "de", F.sha2(F.lit(""), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = spark.createDataFrame([("xx", 1, "0")], "name string, size long, sha256 string")
+    return files.manifest_problems(listed.union(gone), found)
+
+
+@query("SELECT lang AS name, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256, sum(octet_length(encode(text)) + 1)::BIGINT AS size FROM documents GROUP BY lang")
+def file_digests(spark, sf_dir):
+    """Digests and sizes of files that hold all texts of a language."""
+    path = sinks.scratch(spark)
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    d.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text").write.partitionBy("lang").text(path)
+    return files.file_hashes(spark, path, part="lang").select("name", "sha256", "size")

@@ -86,12 +86,26 @@ def unresolved_ids(spark: SparkSession, path: str, start: str = "Unresolved:", e
     return ids_between(text_files(spark, path), ["path"], "text", start, end, r"C\d{4}").select("id")
 
 
-def yaml_blocks(spark: SparkSession, path: str, fence: str = "yaml") -> DataFrame:
-    """(path, block, record): fenced YAML as JSON text, scalars kept as they are written.
+def fenced_blocks(lines: DataFrame, fence: str) -> DataFrame:
+    """(path, block, line, body) of fenced blocks with a language name, in files of numbered lines (path, line, raw).
+
+    Blocks are cut by running counts of fences before anything is parsed; one that never ends is left out."""
+    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = F.col("raw").rlike(rf"^\s*```\s*{fence}\s*$"), F.col("raw").rlike(r"^\s*```\s*$")
+    marked = lines.withColumn("block", F.sum(opens.cast("int")).over(upto)).where("block > 0")
+    inside = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("ends", F.sum(closes.cast("int")).over(inside))
+    text = F.array_sort(F.collect_list(F.when((F.col("ends") == 0) & ~opens, F.struct("line", "raw"))))
+    cut = marked.groupBy("path", "block").agg(F.min("line").alias("line"), text.alias("t"), F.max("ends").alias("ends")).where("ends > 0")
+    return cut.select("path", (F.col("block") - 1).cast("int").alias("block"), "line", F.concat(F.array_join(F.transform("t", lambda s: s["raw"]), "\n"), F.lit("\n")).alias("body"))
+
 
-    Plain list items that YAML would read as maps are quoted when a block doesn't parse to texts. Needs a YAML
-    library on the workers; without one the read says so."""
-    blocks = text_files(spark, path).select("path", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s)```{fence}\n(.*?)```"), F.lit(1))).alias("block", "body"))
+def yaml_records(blocks: DataFrame) -> DataFrame:
+    """(path, block, line, state, record, problem) of YAML bodies: records as JSON text, scalars kept as they are written.
+
+    Only null and boolean words mean something, so 2.10 stays text. A block that doesn't parse, or whose list items
+    aren't texts, is read again with its plain list items quoted: `repaired`; what still doesn't parse is `refused`.
+    Needs a YAML library on the workers; without one the read says so."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -109,26 +123,40 @@ def yaml_blocks(spark: SparkSession, path: str, fence: str = "yaml") -> DataFram
                 return any(map(odd, node.values()))
             return isinstance(node, list) and any(not isinstance(x, str) for x in node)
 
-        def read(body: str):
+        def read(body: str) -> tuple[str, str | None, str | None]:
             try:
                 found = yaml.load(body, Plain)
                 if not odd(found):
-                    return found
+                    return "good", json.dumps(found, ensure_ascii=False), None
             except yaml.YAMLError:
                 pass
             quoted = re.sub(r"(?m)^(\s*-\s+)(?![\"'])(.*\S)\s*$", lambda m: m[1] + json.dumps(m[2], ensure_ascii=False), body)
-            return yaml.load(quoted, Plain)
+            try:
+                return "repaired", json.dumps(yaml.load(quoted, Plain), ensure_ascii=False), None
+            except yaml.YAMLError as e:
+                return "refused", None, str(e).split("\n")[0]
 
         for pdf in batches:
-            yield pdf.assign(record=[json.dumps(read(b), ensure_ascii=False) for b in pdf["body"]])[["path", "block", "record"]]
+            pdf[["state", "record", "problem"]] = [read(b) for b in pdf["body"]]
+            yield pdf[["path", "block", "line", "state", "record", "problem"]]
 
-    return blocks.mapInPandas(parse, "path string, block int, record string")
+    return blocks.select("path", "block", "line", "body").mapInPandas(parse, "path string, block int, line long, state string, record string, problem string")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of the files below a path."""
+def yaml_blocks(spark: SparkSession, path: str, fence: str = "yaml") -> DataFrame:
+    """(path, block, record) of fenced YAML, good or repaired; a refused block fails the read."""
+    found = yaml_records(fenced_blocks(text_lines(spark, path), fence))
+    refused = F.raise_error(F.concat(F.lit("YAML block refused at line "), F.col("line").cast("string"), F.lit(": "), "problem"))
+    return found.select("path", "block", F.when(F.col("state") != "refused", F.col("record")).otherwise(refused).alias("record"))
+
+
+def file_hashes(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    """(name, size, sha256) of the files below a path; a file has to fit a task's memory, and 2 GB.
+
+    With `part`, a file's name is the value of that partition folder."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1) if part is None else F.regexp_extract("path", rf"/{part}=([^/]*)/", 1)
+    return f.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +173,13 @@ def manifest_problems(listed: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("name", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def require_files(listed: DataFrame, files: DataFrame) -> None:
+    """All or nothing: one error that names every listed file that lacks or differs, before any of them is read."""
+    bad = manifest_problems(listed, files).limit(51).collect()  # a bounded excerpt for the message
+    if bad:
+        raise ValueError("sources differ from their manifest: " + ", ".join(sorted(f"{r.name} ({r.problem})" for r in bad[:50])) + (" and more" if len(bad) > 50 else ""))
+
+
 def overlay_problems(layer: DataFrame, header: Sequence[str], cards_: DataFrame, text: str = "retrieval_text") -> DataFrame:
     """(problem, card_id): what breaks an overlay's contract: header, repeated or unknown ids, blank texts, several versions."""
     none = F.lit(None).cast("string").alias("card_id")

@@ -86,6 +86,27 @@ def test_yaml_blocks(spark, tmp_path):
     assert files.yaml_blocks(spark, p).first().record == '{"id": "2.10", "q": ["a: b"]}'
 
 
+def test_yaml_states(spark, tmp_path):
+    pytest.importorskip("yaml")
+    text = "x\n```yaml\na: 1.50\nb: yes\nc: ~\n```\n``` yaml\nq:\n- one: two\n- `z`\n```\n```yaml\nq: [\n```\n```python\na: 1\n```\n```yaml\nnever: ends\n"
+    p = write(tmp_path, "y.md", text)
+    got = files.yaml_records(files.fenced_blocks(files.text_lines(spark, p), "yaml")).orderBy("block").collect()
+    assert [(r.block, r.line, r.state, r.record) for r in got] == [(0, 2, "good", '{"a": "1.50", "b": true, "c": null}'), (1, 7, "repaired", '{"q": ["one: two", "`z`"]}'), (2, 12, "refused", None)]
+    with pytest.raises(Exception, match="refused at line 12"):
+        files.yaml_blocks(spark, p).collect()
+
+
+def test_all_or_nothing(spark, tmp_path):
+    a, b = write(tmp_path, "a.txt", "one"), write(tmp_path, "b.txt", "two")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    listed = lambda *rows: spark.createDataFrame(rows, "name string, size long, sha256 string")
+    found = files.file_hashes(spark, str(tmp_path))
+    files.require_files(listed(("a.txt", 3, sha("one")), ("b.txt", 3, sha("two"))), found)
+    with pytest.raises(ValueError, match=r"a.txt \(sha256\), b.txt \(size\), c.txt \(missing\)"):
+        files.require_files(listed(("a.txt", 3, sha("1")), ("b.txt", 4, sha("two")), ("c.txt", 1, "")), found)
+    assert a and b
+
+
 def test_sinks(spark, tmp_path):
     items = spark.range(4).withColumnRenamed("id", "k")
     out = str(tmp_path / "done")
