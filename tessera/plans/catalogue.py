@@ -1002,4 +1002,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
 
 
-from tessera.plans import corpora  # noqa: E402, F401  registers its queries
+from tessera.plans import corpora, projected  # noqa: E402, F401  register their queries

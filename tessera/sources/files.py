@@ -67,9 +67,10 @@ def launch_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Eleven columns, comma lists in two of them; the last row of an id counts."""
-    rows = last_of(pipe_rows(numbered_lines(text_files(spark, path), ["path"], "text"), r"C\d{4}", 11).withColumn("id", F.get("cells", F.lit(0))), "id", "i")
+def registry(spark: SparkSession, path: str, id_pattern: str = r"C\d{4}") -> DataFrame:
+    """Eleven columns, comma lists in two of them; the last row of an id counts, of those in one file."""
+    lines = text_lines(spark, path).select("path", F.col("line").alias("i"), F.col("raw").alias("line"))
+    rows = last_of(pipe_rows(lines, id_pattern, 11).withColumn("id", F.get("cells", F.lit(0))), "id", "i")
     names = ("status", "tradition", "author_speaker", "work", "location", "philosophical_move", "perspective", "coordinates", "tensions", "decision")
     cell = lambda k, n: tag_cell(F.get("cells", F.lit(k))) if n in ("coordinates", "tensions") else F.get("cells", F.lit(k))
     return rows.select("id", *[cell(k + 1, n).alias(n) for k, n in enumerate(names)])
