@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,15 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that nothing uses back to the system: a worker is kept for later tasks, and what it has freed would stay its own."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
 #: Bytes of texts that become Python objects at once, where arrow_map gets them in pieces.
 PIECE = 1 << 22
 
@@ -55,7 +65,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     """mapInArrow for a function of one record batch; batches without rows are skipped.
 
     With `pieces`, the function gets a batch of over PIECE bytes in slices of about that size, a row at least: for
-    functions that work row by row, so that a worker's memory doesn't grow with long texts."""
+    functions that work row by row, so that a worker's memory doesn't grow with long texts; freed memory is given back
+    when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,6 +77,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                     yield out
                 else:
                     yield from out
+        if pieces:
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -1,7 +1,7 @@
 """Personal data, plain and disguised, with spans in the source text.
 
-Base detectors run on the text as it is. Texts that hold a disguise are then rewritten by two transducers,
-homoglyphs first, then spelled digits and at/dot words, which carry for each character they write the span
+Base detectors run on the text as it is. Texts that hold a disguise are then rewritten by transducers, escaped signs
+and homoglyphs first, then spelled digits and at/dot words, which carry for each character they write the span
 of source characters it stands for. The same detectors run on the rewritten text; what they find there is
 mapped back to the source and added where no base span covers it: a disguised address that holds a plain one is
 found beside it.
@@ -78,6 +78,8 @@ DOT = re.compile(r"(?i)\s{0,4}[\[({<]\s{0,4}(?:dot|\.|punkt|point|punto)\s{0,4}[
 DIGIT_TOKENS, DOT_TOKENS = frozenset(w.encode() for w in DIGIT_WORDS), frozenset((b"dot", b"punkt", b"point", b"punto"))
 TOKENS = DIGIT_TOKENS | DOT_TOKENS
 APART = bytes.maketrans(b",.;:-+()[]{}<>_*", b" " * 16)
+#: The signs @ and . as URL escapes and character references.
+ENCODED = re.compile(r"(?i)(%40|&#0{0,4}64;|&#x0{0,4}40;|&commat;)|%2e|&#0{0,4}46;|&#x0{0,4}2e;|&period;")
 BRACKETS = re.compile(r"(?i)[\[({<]\s{0,4}(?:at|@|ät|arroba|arobase|\.)\s{0,4}[\])}>]")
 
 
@@ -167,6 +169,10 @@ def homoglyph(m: re.Match) -> list:
     return [(SINGLE[m[0]], m.span())] if m[0] in SINGLE else []
 
 
+def decoded(m: re.Match) -> list:
+    return [("@" if m[1] else ".", m.span())]
+
+
 def spelled(m: re.Match) -> list:
     plus = [("+", (m.start(), m.start() + 1))] if m[0][0] == "+" or m[0][:4].lower() == "plus" else []
     return plus + [(str(DIGIT_WORDS[w[0].lower()]), w.span()) for w in WORD_ONE.finditer(m.string, *m.span())]
@@ -183,11 +189,14 @@ def telling(tokens: list[bytes]) -> bool:
 def plainly(text: str) -> Traced | None:
     """The text without its disguises; None where it has none."""
     odd = not text.isascii() and not ODD_SET.isdisjoint(text)
-    if not odd:
+    escaped = ("%" in text or "&" in text) and ENCODED.search(text)
+    if not odd and not escaped:
         tokens = text.lower().encode("utf-8", "surrogatepass").translate(APART).split()
         if not BRACKETS.search(text) and (TOKENS.isdisjoint(tokens) or not telling(tokens)):
             return None
     t = Traced(text)
+    if escaped:
+        t.rewrite(ENCODED, decoded)
     if odd:
         t.rewrite(ODD, homoglyph)
     t.rewrite(WORD_RUN, spelled)

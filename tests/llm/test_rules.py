@@ -190,6 +190,58 @@ def test_wider_spans_are_added(text, found):
     assert set(base) <= set(every) and found in [text[a:b] for a, b, _ in every]
 
 
+@pytest.mark.parametrize("sign", ["%40", "&#64;", "&#x40;", "&commat;", "&#0064;", " [at] ", " at ", "＠"])
+@pytest.mark.parametrize("dot", [".", "%2E", "&#46;", "&period;", "&#x2e;", " (dot) ", " dot ", "．"])
+def test_signs_in_every_disguise(sign, dot):
+    if sign == " at " and dot not in (" dot ", " (dot) "):
+        return  # a word alone is no sign
+    mail = f"john{sign}example{dot}com"
+    base, every = pii.scan(f"write to <{mail}> now")
+    assert base == [] and every == [(10, 10 + len(mail), 0)]
+
+
+def traced(text):
+    """The same rewriting character by character: a list of (character, start, end), each step a pass over all places."""
+    cells = [(c, k, k + 1) for k, c in enumerate(text)]
+
+    def step(pattern, write):
+        nonlocal cells
+        whole, out, k = "".join(c for c, _, _ in cells), [], 0
+        while k < len(cells):
+            m = pattern.match(whole, k)
+            if m and m.end() > k:
+                for c, (a, b) in write(m):
+                    out.append((c, cells[a][1], cells[b - 1][2]))
+                k = m.end()
+            else:
+                out.append(cells[k])
+                k += 1
+        cells = out
+
+    step(pii.ENCODED, pii.decoded)
+    step(pii.ODD, pii.homoglyph)
+    step(pii.WORD_RUN, pii.spelled)
+    step(pii.AT, lambda m: [("@", m.span())])
+    step(pii.DOT, lambda m: [(".", m.span())])
+    return cells
+
+
+def test_added_spans_equal_a_plain_transducer():
+    import random
+
+    r = random.Random(12)
+    parts = ["john", "doe", "example", "com", " at ", "[at]", " dot ", "(dot)", "@", ".", "%40", "&#46;", "＠", "а", "е", "\u200b", "one ", "two ", "zero ", "plus ", "four-", "192", "168", "+1 ", "4111 ", "1111 ", " ", ", ", "\n", "é", "fünf "]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 16)))
+        base, every = pii.scan(t)
+        assert [(a, k, b) for a, b, k in base] == plain_personal(t), t
+        cells = traced(t)
+        found = {(cells[a][1], cells[b - 1][2], k) for a, k, b in plain_personal("".join(c for c, _, _ in cells))}
+        more = {s for s in found if not any(x <= s[0] and s[1] <= y for x, y, _ in base)}
+        skipped = pii.plainly(t) is None  # a spelled digit or a point alone tells nothing
+        assert set(every) == set(base) | (set() if skipped else more), t
+
+
 @pytest.mark.parametrize("text", ["He was at home. The dot is small.", "one of two at example.com is three", None, "", "null und acht", "stay-at-home and un deux trois", "a point_of view at home", "1" * 200_000, "a" * 200_000, "+" * 50_000])
 def test_clean_texts_stay_clean(text):
     assert pii.scan(text) == ([], [])
