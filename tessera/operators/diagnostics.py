@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import content_words, runs, word_tokens
+from tessera.functions.text import content_words, ngrams, runs, word_tokens
 from tessera.functions.vectors import dot, doubles, norm
 
 #: Ranges of equal width in which values are counted before quantiles are looked for.
@@ -192,18 +192,39 @@ def compare_runs(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
     )
 
 
+def holders(queries: DataFrame, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(doc_id, *keys, ids): for each document that shares a run with a query, the queries it shares one with.
+
+    `queries` is (query_id, run), `docs` (doc_id, *keys, run). The queries of a run are one list before the join, so a run
+    that stands in many of both costs a row for each document, not one for each pair; a document's lists are merged
+    where it lies, and a hot run's documents can be split, as they are only streamed past its list."""
+    lists = queries.groupBy("run").agg(F.collect_set("query_id").alias("ids"))
+    met = docs.join(lists, "run").groupBy("doc_id", *keys).agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+    return met
+
+
 def lexical_overlap(queries: DataFrame, docs: DataFrame, term_words: int = 3) -> DataFrame:
     """(query_id, grp, n_docs): documents of each group that hold some run of so many words of a query.
 
     An equi-join on the runs takes the place of a comparison of every query with every document."""
-
     q = queries.select("query_id", F.explode(runs(word_tokens(F.lower("text")), term_words)).alias("run"))
     d = docs.select("doc_id", "grp", F.explode(runs(word_tokens(F.lower("text")), term_words)).alias("run"))
-    return q.join(d, "run").select("query_id", "grp", "doc_id").distinct().groupBy("query_id", "grp").agg(F.count("*").alias("n_docs"))
+    return holders(q, d, ["grp"]).select("grp", F.explode("ids").alias("query_id")).groupBy("query_id", "grp").agg(F.count("*").alias("n_docs"))
+
+
+def reused_runs(queries: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, n_docs, n_shared): documents that hold some run of n folded words of a query, and how many of its runs stand in any."""
+    q = queries.select("query_id", F.explode(ngrams("text", n)).alias("run"))
+    d = docs.select("doc_id", F.explode(ngrams("text", n)).alias("run"))
+    found = holders(q, d, []).select(F.explode("ids").alias("query_id")).groupBy("query_id").agg(F.count("*").alias("n_docs"))
+    shared = q.distinct().join(d.select("run").distinct(), "run", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_shared"))
+    return found.join(shared, "query_id")
 
 
 def token_jaccard(queries: DataFrame, docs: DataFrame, longer_than: int = 3) -> DataFrame:
-    """(query_id, doc_id, jaccard) of content words, where there is a common one: joined on the words."""
+    """(query_id, doc_id, jaccard) of content words, where there is a common one: joined on the words.
+
+    Nearly every pair has a common word, so this is for small sets; similar_sets.similar asks for a least similarity."""
     q = queries.select("query_id", content_words("text", longer_than).alias("w"))
     d = docs.select("doc_id", content_words("text", longer_than).alias("w"))
     qs, ds = q.select("query_id", F.size("w").alias("nq"), F.explode("w").alias("word")), d.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("word"))

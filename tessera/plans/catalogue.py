@@ -588,9 +588,8 @@ d AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w
 SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT g) AS n_shared FROM g JOIN d USING (g) GROUP BY item_id""")
 def ngram_reuse(spark, sf_dir):
     """Benchmark items whose runs of five words stand in documents: a join on the runs."""
-    g = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.ngrams("text", 5)).alias("g"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.ngrams("text", 5)).alias("g"))
-    return g.join(d, "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("g").alias("n_shared"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return diagnostics.reused_runs(q, table(spark, sf_dir, "documents")).withColumnRenamed("query_id", "item_id")
 
 
 @query(r"""WITH x AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS s FROM documents),

@@ -210,3 +210,17 @@ def test_small_diagnostics(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (9, [3.0, 0.0])], "card_id long, vector array<double>")
     assert {(r.query_id, r.spread) for r in diagnostics.pool_spread(pool, v).collect()} == {(1, None), (2, round(1 / 3, 6))}
     assert [(r.card_id, r.freq) for r in diagnostics.hubs(pool, 2).collect()] == [(1, 2), (2, 1)]
+
+
+def test_one_run_in_all_documents(spark):
+    """A run that stands in every document and every query: rows are unchanged, and the join makes one row a document."""
+    r = random.Random(3)
+    docs = [(i, "x" if i % 2 else "y", "this work is licensed " + " ".join(r.choice("abcde") for _ in range(5))) for i in range(200)]
+    queries = [(i, "this work is licensed " + " ".join(r.choice("abcde") for _ in range(4))) for i in range(30)]
+    of = lambda t, n: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+    q, d = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, grp string, text string")
+    want = {(i, g): sum(bool(of(t, 3) & of(u, 3)) for _, h, u in docs if h == g) for i, t in queries for g in "xy"}
+    assert {(x.query_id, x.grp): x.n_docs for x in diagnostics.lexical_overlap(q, d).collect()} == want
+    runs = set().union(*(of(u, 5) for _, _, u in docs))
+    want = {i: (sum(bool(of(t, 5) & of(u, 5)) for _, _, u in docs), len(of(t, 5) & runs)) for i, t in queries if of(t, 5) & runs}
+    assert {x.query_id: (x.n_docs, x.n_shared) for x in diagnostics.reused_runs(q, d).collect()} == want
