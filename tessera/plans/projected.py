@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as X
-from tessera.operators import assembly, projections, representations
-from tessera.plans.catalogue import query, table
+from tessera.operators import assembly, interpretations, projections, representations, rules
+from tessera.plans.catalogue import CATALOGUE, query, table, vector_queries
 from tessera.sources import files, sinks
 
 # ---------------------------------------------------------------- references and labels
@@ -189,3 +189,68 @@ def overlay_contract(spark, sf_dir):
     layer = d.select(F.when(n % 50 == 9, -n - 1).otherwise(n).alias("card_id"), F.when(n % 50 == 7, " ").otherwise(F.concat(F.lit("t "), "text")).alias("retrieval_text"), F.when(n % 2 == 0, "v1").otherwise("v2").alias("layer_version"))
     layer = layer.union(layer.where("card_id = 0"))
     return files.overlay_problems(layer, layer.columns, d.select(n.alias("card_id"))).select("problem", F.col("card_id").cast("long").alias("card_id"))
+
+
+# ---------------------------------------------------------------- interpretations, runs
+
+_KINDS = [
+    ("NOT_A_QUESTION", "proposed_question"), ("HYPOTHESES_COUNT", "working_hypotheses"), ("OTHER_QUESTIONS_COUNT", "other_questions"), ("DIAGNOSTIC_LABEL", "proposed_question"), ("ADVICE", "proposed_question"), ("NO_COORDINATES", "coordinates"),
+    ("COORDINATE_NOT_CANONICAL", "coordinates"), ("DUPLICATE_VALUE", "canonical_tensions"), ("TENSION_NOT_CANONICAL", "canonical_tensions"), ("CANONICAL_AS_FREE", "free_tensions"), ("TENSION_FORMAT", "free_tensions"),
+]
+
+
+@query("WITH k(k, code, field) AS (VALUES " + ", ".join(f"({k}, '{c}', '{f}')" for k, (c, f) in enumerate(_KINDS)) + f") SELECT doc_id AS card_id, 'error' AS severity, code, field FROM documents JOIN k ON doc_id % {len(_KINDS) + 2} = k UNION ALL SELECT doc_id, 'error', 'DUPLICATE_VALUE', 'coordinates' FROM documents WHERE doc_id % {len(_KINDS) + 2} = 7")
+def interpretation_issues(spark, sf_dir):
+    """An interpretation of each document with one fault; a clinical word is none where the person used it."""
+    n = F.col("doc_id") % (len(_KINDS) + 2)
+    items = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    pick = lambda base, **faults: F.coalesce(*[F.when(n == int(k[1:]), v) for k, v in faults.items()], base)
+    a, b = schemas.COORDINATES[:2]
+    t, u = schemas.TENSIONS[:2]
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), pick(F.lit("Что здесь? "), f0=F.lit("Ответ."), f3=F.lit("Это Депрессия?"), f4=F.lit("Вам нужно решить?"), f11=F.lit("Это депрессия?")).alias("proposed_question"),
+        pick(items("h", "g"), f1=items("h")).alias("working_hypotheses"), pick(items(), f2=items(*"abcd")).alias("other_questions"), F.when(n == 11, F.concat("text", F.lit(" Депрессия"))).otherwise(F.col("text")).alias("free_narrative"), F.col("lang").alias("difficulty_center"),
+        pick(items(a, b), f5=items(), f6=items(a, "x"), f7=items(a, a)).alias("coordinates"), pick(items(t), f7=items(t, t), f8=items(t, "y")).alias("canonical_tensions"), pick(items("a ↔ b"), f9=items(u), f10=items("a b")).alias("free_tensions"),
+    )
+    return rules.row_issues(d, interpretations.interpretation_rules()).select("card_id", "severity", "code", "field")
+
+
+@query("WITH q AS (SELECT doc_id FROM documents) SELECT doc_id AS card_id, 'error' AS severity, unnest(list_filter([CASE WHEN doc_id % 4 = 1 THEN 'QUESTION_BLANK' END, CASE WHEN doc_id % 6 = 2 THEN 'HYPOTHESES_COUNT' END, 'FORBIDDEN_ATTRIBUTE'], lambda x: x IS NOT NULL)) AS code FROM q")
+def query_issues(spark, sf_dir):
+    """Queries with blank questions, too many hypotheses, and an attribute that none may have."""
+    n, none = F.col("doc_id"), F.array().cast("array<string>")
+    d = table(spark, sf_dir, "documents").select(
+        n.alias("id"), F.when(n % 4 == 1, " ").otherwise(F.col("text")).alias("confirmed_question"), F.array_repeat(F.lit("h"), F.when(n % 6 == 2, 5).otherwise(4)).alias("working_hypotheses"),
+        F.array(F.lit(schemas.COORDINATES[0])).alias("coordinates"), none.alias("canonical_tensions"), none.alias("free_tensions"), F.col("lang").alias("country"),
+    )
+    return rules.row_issues(d, interpretations.query_rules(d.columns)).select("card_id", "severity", "code")
+
+
+_TRACES = """z AS (""" + CATALOGUE["retrieve_all"][1] + """), t AS (SELECT query_id, count(meaning_rank) AS n_meaning, count(structure_rank) AS n_structure, count(*) FILTER (in_union) AS n_pool, count(*) FILTER (meaning_rank IS NOT NULL AND structure_rank IS NOT NULL) AS n_both, arg_min(card_id, meaning_rank) AS best FROM z GROUP BY 1)"""
+
+
+@query(f"WITH {_TRACES} SELECT query_id AS item_id, n_meaning, n_structure, n_pool, n_both, best FROM t")
+def run_traces(spark, sf_dir):
+    """Nested traces of a run, read back: how many candidates each route and the pool have."""
+    t = interpretations.traces(CATALOGUE["retrieve_all"][0](spark, sf_dir), vector_queries(spark, sf_dir).select("query_id"), "r1", "0.1")
+    n = lambda c: F.size(c).cast("long")
+    return t.select("item_id", n("meaning_candidates").alias("n_meaning"), n("structure_candidates").alias("n_structure"), n("candidate_pool").alias("n_pool"), F.size(F.filter("candidate_pool", lambda c: F.size(c["found_by"]) == 2)).cast("long").alias("n_both"), F.get("meaning_candidates", F.lit(0))["fragment_id"].alias("best"))
+
+
+@query("SELECT 'r1' AS retrieval_run_id, 'plain' AS composer, 'none' AS model, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS cases, (SELECT count(*) FROM embeddings WHERE vec_id % 60 = 0) AS composed, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 60 <> 0) AS pending")
+def run_summary(spark, sf_dir):
+    """The manifest of a run whose every third case is composed."""
+    q = vector_queries(spark, sf_dir).select("query_id")
+    t = interpretations.traces(CATALOGUE["retrieve_all"][0](spark, sf_dir), q, "r1", "0.1")
+    return interpretations.run_manifest(t, q.where("query_id % 60 = 0").select(F.col("query_id").alias("item_id")), "plain", "none")
+
+
+@query("""SELECT doc_id AS query_id, doc_id AS card_id, sha256(concat_ws(chr(10), CASE WHEN trim(coalesce(source, '')) <> '' THEN 'Источник: ' || source END, CASE WHEN doc_id % 3 <> 0 AND trim(text) <> '' THEN 'Цитата: ' || text END, 'Перспектива: ' || lang)) AS brief,
+sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(text) <> '' THEN trim(text) END, CASE WHEN trim(coalesce(lang, '')) <> '' THEN trim(lang) END, 'Why?', CASE WHEN trim(coalesce(source, '')) <> '' THEN trim(source) END)) AS copied FROM documents""")
+def card_texts(spark, sf_dir):
+    """Briefs and plain texts of cards."""
+    d = table(spark, sf_dir, "documents")
+    c = d.select(F.col("doc_id").alias("card_id"), F.col("source").alias("label"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("quote"), F.col("lang").alias("perspective"))
+    brief = interpretations.writer_brief(d.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("card_id")), c)
+    copied = interpretations.copy_text(d.select("doc_id", F.col("text").alias("main_idea"), F.col("lang").alias("applied_insight"), F.lit("Why?").alias("reflection_question"), F.col("source").alias("reference")), "doc_id")
+    return brief.join(copied, F.col("card_id") == F.col("doc_id")).select("query_id", "card_id", F.sha2("brief", 256).alias("brief"), F.sha2("text", 256).alias("copied"))
