@@ -254,3 +254,46 @@ def card_texts(spark, sf_dir):
     brief = interpretations.writer_brief(d.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("card_id")), c)
     copied = interpretations.copy_text(d.select("doc_id", F.col("text").alias("main_idea"), F.col("lang").alias("applied_insight"), F.lit("Why?").alias("reflection_question"), F.col("source").alias("reference")), "doc_id")
     return brief.join(copied, F.col("card_id") == F.col("doc_id")).select("query_id", "card_id", F.sha2("brief", 256).alias("brief"), F.sha2("text", 256).alias("copied"))
+
+
+# ---------------------------------------------------------------- sources to cards, end to end
+
+_SOURCED = "d AS (SELECT *, 'C' || lpad(doc_id::VARCHAR, 4, '0') AS id FROM documents WHERE doc_id BETWEEN 0 AND 9999)"
+
+
+def _written(spark, sf_dir):
+    """The paths of the source files, made of documents: launch table, recovery sections, unresolved list, curation, as their readers want them."""
+    d = table(spark, sf_dir, "documents").where("doc_id BETWEEN 0 AND 9999")  # a card's id has four digits
+    n, id_ = F.col("doc_id"), F.concat(F.lit("C"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
+    paths = {k: sinks.scratch(spark) for k in ("launch", "recovery", "status", "curation")}
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", id_, "lang", "source", F.concat(F.lit("p"), n.cast("string")), F.lit("move.")), F.lit(" |"))
+    d.where(n % 4 != 3).select(row.alias("value")).write.text(paths["launch"])
+    part = F.concat(F.lit("### "), id_, F.lit("\n\n- **work:** found "), n.cast("string"), F.lit("\n- **location:** there\n"))
+    d.where(n % 5 == 0).select(part.alias("value")).write.text(paths["recovery"])
+    listed = d.where(n % 7 == 0).groupBy(F.pmod(n, F.lit(13)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), id_))), "\n").alias("ids"))
+    listed.select("part", F.concat(F.lit("C0001\nUnresolved:\n"), "ids", F.lit("\n\n## next\nC0002")).alias("value")).repartition("part").write.partitionBy("part").text(paths["status"])
+    update = F.concat(F.lit('{"fragments": {"'), id_, F.lit('": {"set": {"tradition": "cured"}}}}'))
+    d.where(n % 11 == 0).groupBy(F.pmod(n, F.lit(5)).alias("part")).agg(F.concat(F.lit('{"fragments": {'), F.array_join(F.collect_list(F.substring(update, F.lit(16), F.length(update) - 17)), ", "), F.lit("}}")).alias("value")).repartition("part").write.partitionBy("part").text(paths["curation"])
+    return paths
+
+
+@query(f"""WITH {_SOURCED} SELECT id, CASE WHEN doc_id % 11 = 0 THEN 'cured' ELSE lang END AS tradition, CASE WHEN doc_id % 5 = 0 THEN 'found ' || doc_id ELSE source END AS work, CASE WHEN doc_id % 5 = 0 THEN 'there' ELSE 'p' || doc_id END AS location,
+CASE WHEN doc_id % 7 = 0 THEN 'unresolved' ELSE 'verified' END AS status FROM d WHERE doc_id % 4 <> 3""")
+def assembled_sources(spark, sf_dir):
+    """Four kinds of source files read and put together by their precedence: recovery over launch, curation over both."""
+    paths = _written(spark, sf_dir)
+    launch = files.launch_table(spark, paths["launch"])
+    r = files.recovery(spark, paths["recovery"]).select("id", F.element_at("fields", "work").alias("work"), F.element_at("fields", "location").alias("location"))
+    cards = assembly.assemble(launch, [(r, ["work", "location"], "recovery")], "id")
+    unresolved = files.unresolved_ids(spark, paths["status"]).distinct().withColumn("listed", F.lit(True))
+    cards = cards.join(unresolved, "id", "left").withColumn("status", F.when(F.col("listed"), "unresolved").otherwise("verified"))
+    updates = files.curation(spark, f"{paths['curation']}/*", glob="*.txt")
+    return assembly.curate(cards, updates, "id", ["tradition", "work", "location"]).select("id", "tradition", "work", "location", "status")
+
+
+@query(f"WITH {_SOURCED} SELECT 'recovery' AS source, id FROM d WHERE doc_id % 5 = 0 AND doc_id % 4 = 3 UNION ALL SELECT 'status', id FROM d WHERE doc_id % 7 = 0 AND doc_id % 4 = 3")
+def source_orphans(spark, sf_dir):
+    """Ids that recovery notes and the status list have and the launch table hasn't."""
+    paths = _written(spark, sf_dir)
+    others = {"recovery": files.recovery(spark, paths["recovery"]).select("id"), "status": files.unresolved_ids(spark, paths["status"])}
+    return assembly.orphans(others, files.launch_table(spark, paths["launch"]), "id")

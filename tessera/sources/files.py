@@ -62,7 +62,7 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def launch_table(spark: SparkSession, path: str) -> DataFrame:
     """Five columns of a pipe table keyed on card ids."""
-    rows = pipe_rows(numbered_lines(text_files(spark, path), ["path"], "text"), r"C\d{4}", 5)
+    rows = pipe_rows(text_lines(spark, path).select("path", F.col("raw").alias("line")), r"C\d{4}", 5)
     names = ("id", "tradition", "work", "location", "philosophical_move")
     return rows.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
@@ -78,7 +78,7 @@ def registry(spark: SparkSession, path: str, id_pattern: str = r"C\d{4}") -> Dat
 
 def recovery(spark: SparkSession, path: str) -> DataFrame:
     """Sections of labelled fields."""
-    lines = numbered_lines(text_files(spark, path), ["path"], "text")
+    lines = text_lines(spark, path).select("path", F.col("line").alias("i"), F.col("raw").alias("line"))
     return sections(lines, ["path"], r"^###\s+(C\d{4})", r"^-\s+\*\*(.+?):\*\*\s*(.*)$").select(F.col("section").alias("id"), "fields")
 
 
@@ -215,9 +215,9 @@ def vectors(spark: SparkSession, path: str, provider: str, model: str, version:
     return v.where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("version") == version) & (F.size("vector") == dims))
 
 
-def curation(spark: SparkSession, path: str) -> DataFrame:
+def curation(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(file, id, field, value) updates, one JSON document a file, in the order of file names."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("raw"))
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("raw"))
     entries = F.from_json(F.get_json_object("raw", "$.fragments"), "map<string,struct<`set`: map<string,string>>>")
     each = raw.select("file", F.explode(entries).alias("id", "u")).where(F.col("u.set").isNotNull())
     return each.select("file", "id", F.explode("u.set").alias("field", "value"))
