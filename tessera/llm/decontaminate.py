@@ -107,15 +107,15 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    near = materialise(arrow_map(docs.select(id_col, text_col, F.xxhash64(text_col)), hits, f"doc_id {kind}, text_hash long, text string, seeds array<long>, places array<int>"))
+    near = materialise(arrow_map(docs.select(id_col, text_col, F.xxhash64(text_col)), hits, f"doc_id {kind}, text_hash long, text string, seeds array<long>, places array<int>", pieces=True))
     each = near.select("doc_id", "text_hash", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select(
         "doc_id", "text_hash", F.col("x.seeds").alias("seed"), F.col("x.places").alias("doc_at")
     )
-    # one row for each way in which an item lies over a document
-    laid = each.join(known.select("seed", "item_id", "item_at"), "seed").select("doc_id", "text_hash", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    # the ways in which each item lies over a document, as distinct shifts; its words are joined once
+    laid = each.join(known.select("seed", "item_id", "item_at"), "seed").groupBy("doc_id", "text_hash", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
     words = known.select("item_id", "words").distinct()
     laid = laid.alias("l").join(words.alias("w"), F.expr("l.item_id <=> w.item_id")).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("l.item_id", "shift", "words")).alias("laid")
+        F.collect_list(F.struct("l.item_id", "shifts", "words")).alias("laid")
     )
     texts = near.select("doc_id", "text_hash", "text").distinct()
     both = texts.alias("t").join(laid.alias("l"), F.expr("t.doc_id <=> l.doc_id AND t.text_hash = l.text_hash")).select("t.doc_id", "t.text_hash", "text", "laid")
@@ -127,17 +127,18 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             for x in laid:
                 item = np.array(x["words"], np.int64).view(np.uint64)
                 window, allowed = rule(len(item))
-                low, high = max(0, x["shift"]), min(len(h), x["shift"] + len(item))
-                matched, at = best(h[low:high], item[low - x["shift"] : high - x["shift"]], window)
-                if matched >= window - allowed:
-                    mine = (matched, -(low + at), window)
-                    top[x["item_id"]] = max(mine, top.get(x["item_id"], mine))
+                for shift in x["shifts"]:
+                    low, high = max(0, shift), min(len(h), shift + len(item))
+                    matched, at = best(h[low:high], item[low - shift : high - shift], window)
+                    if matched >= window - allowed:
+                        mine = (matched, -(low + at), window)
+                        top[x["item_id"]] = max(mine, top.get(x["item_id"], mine))
             rows += [(doc, rid, item, matched, window, -at) for item, (matched, at, window) in top.items()]
         if rows:
             kinds = (batch.column(0).type, pa.int64(), batch.column(3).type.value_type.field(0).type, pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [id_col, "text_hash", item_col, "matched", "window", "doc_word"])
 
-    out = arrow_map(both, verify, f"{id_col} {kind}, text_hash long, {item_col} {item_kind}, matched int, window int, doc_word int")
+    out = arrow_map(both, verify, f"{id_col} {kind}, text_hash long, {item_col} {item_kind}, matched int, window int, doc_word int", pieces=True)
     return out
 
 
