@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as X
-from tessera.operators import assembly, interpretations, projections, representations, rules
+from tessera.operators import assembly, compositions, diagnostics, interpretations, projections, representations, retrieval, rules
 from tessera.plans.catalogue import CATALOGUE, query, table, vector_queries
 from tessera.sources import files, sinks
 
@@ -297,3 +297,101 @@ def source_orphans(spark, sf_dir):
     paths = _written(spark, sf_dir)
     others = {"recovery": files.recovery(spark, paths["recovery"]).select("id"), "status": files.unresolved_ids(spark, paths["status"])}
     return assembly.orphans(others, files.launch_table(spark, paths["launch"]), "id")
+
+
+# ---------------------------------------------------------------- contracts of files, packages, reports
+
+
+def _flat(spark, sf_dir):
+    n = F.col("doc_id")
+    id_ = F.when(n % 17 == 3, F.lit(" ")).when(n % 17 == 5, F.lit("X1")).when(n % 17 == 7, F.lit("C0001")).otherwise(F.concat(F.lit("C"), F.lpad(n.cast("string"), 4, "0")))
+    given = {"card_id": id_, "philosophical_move": F.when(n % 19 == 2, " ").otherwise("m"), "quote": F.when(n % 23 == 4, "").otherwise(F.col("text")), "verification_status": F.when(n % 29 == 6, "rejected").otherwise("ok")}
+    return table(spark, sf_dir, "documents").where("doc_id BETWEEN 0 AND 9999").select((n + 2).alias("line"), *[given.get(c, F.lit(c)).alias(c) for c in schemas.FINAL_CARD])
+
+
+_FLAT = """f AS (SELECT doc_id + 2 AS line, CASE WHEN doc_id % 17 = 3 THEN ' ' WHEN doc_id % 17 = 5 THEN 'X1' WHEN doc_id % 17 = 7 THEN 'C0001' ELSE 'C' || lpad(doc_id::VARCHAR, 4, '0') END AS card_id, doc_id % 17 <> 3 AS there, doc_id AS n, text FROM documents WHERE doc_id BETWEEN 0 AND 9999),
+d AS (SELECT card_id, min(line) AS first FROM f WHERE there GROUP BY 1 HAVING count(*) > 1),
+i AS (SELECT line, card_id, 'blank card_id' AS problem FROM f WHERE NOT there UNION ALL SELECT line, card_id, 'malformed card_id' FROM f WHERE card_id = 'X1' UNION ALL SELECT line, card_id, 'blank philosophical_move' FROM f WHERE there AND n % 19 = 2
+ UNION ALL SELECT line, card_id, 'blank quote' FROM f WHERE there AND (n % 23 = 4 OR trim(coalesce(text, '')) = '') UNION ALL SELECT line, card_id, 'forbidden verification_status' FROM f WHERE there AND n % 29 = 6
+ UNION ALL SELECT line, f.card_id, 'duplicate card_id' FROM f JOIN d ON f.card_id = d.card_id WHERE line > first UNION ALL SELECT line, card_id, 'excluded' FROM f WHERE card_id IN (SELECT 'C' || lpad(item_id::VARCHAR, 4, '0') FROM benchmark))"""
+
+
+@query(f"WITH {_FLAT} SELECT line, card_id, problem FROM i")
+def final_corpus_problems(spark, sf_dir):
+    """The contract of the flat file over a row for each document; the benchmark's ids are the exclusion list."""
+    excluded = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("C"), F.lpad(F.col("item_id").cast("string"), 4, "0")).alias("card_id"))
+    return rules.final_corpus_issues(_flat(spark, sf_dir), schemas.FINAL_CARD, excluded, ["rejected"])
+
+
+@query("WITH t AS (SELECT DISTINCT source AS title FROM documents), s AS (SELECT DISTINCT source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ', more' END AS section, CASE WHEN source < 'src2' THEN 'here' ELSE lang END AS location FROM documents), x AS (SELECT title, location FROM t JOIN s ON title = section), b AS (SELECT title, location FROM t JOIN s ON starts_with(section, title) WHERE title NOT IN (SELECT title FROM x)), u AS (SELECT * FROM x UNION ALL SELECT * FROM b) SELECT title, min(location) AS location FROM u GROUP BY title HAVING count(DISTINCT location) = 1")
+def single_places(spark, sf_dir):
+    """the place of each source, where the sections that have its title, or else begin with it, agree on one."""
+    d = table(spark, sf_dir, "documents")
+    section = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "").otherwise(", more"))
+    return assembly.single_match(d.select(F.col("source").alias("title")).distinct(), d.select(section.alias("section"), F.when(F.col("source") < "src2", "here").otherwise(F.col("lang")).alias("location")).distinct())
+
+
+_UNION = CATALOGUE["candidate_union"][1]
+
+
+@query(f"WITH z AS ({_UNION}) SELECT query_id, count(*) AS n_candidates, count(*) FILTER (card_id % 7 = 0) AS n_lost, array_to_string(list(card_id ORDER BY card_id), ',') AS cards FROM z GROUP BY query_id")
+def composer_packages(spark, sf_dir):
+    """Each query's candidates as one package; every seventh card is missing and counted."""
+    u = CATALOGUE["candidate_union"][0](spark, sf_dir)
+    texts = u.select("card_id").distinct().where("card_id % 7 <> 0").select("card_id", F.concat(F.lit("card "), F.col("card_id").cast("string")).alias("text"))
+    p = representations.package(u.select("query_id", "card_id", "found_by"), texts)
+    return p.select("query_id", "n_candidates", "n_lost", F.array_join(F.transform("candidates", lambda c: c["card_id"].cast("string")), ",").alias("cards"))
+
+
+@query("""WITH c AS (SELECT doc_id % 20 AS query_id, doc_id AS card_id, CASE doc_id % 3 WHEN 0 THEN 'selected' ELSE 'weak' END AS decision, lang AS reason FROM documents), k AS (SELECT query_id, card_id FROM c WHERE card_id % 15 = 0),
+r AS (SELECT query_id, card_id, decision || ': ' || trim(reason) AS reason, 0 AS o FROM c WHERE decision <> 'selected' UNION ALL SELECT query_id, card_id, 'old ' || reason, 1 FROM c WHERE card_id % 2 = 0),
+f AS (SELECT r.*, row_number() OVER (PARTITION BY query_id, card_id ORDER BY o, reason) AS n FROM r WHERE card_id % 15 <> 0) SELECT query_id, card_id, reason FROM f WHERE n = 1""")
+def rejected_cards(spark, sf_dir):
+    """M9: why cards weren't taken: the present decision first, then older lists."""
+    c = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("card_id"), F.when(F.col("doc_id") % 3 == 0, "selected").otherwise("weak").alias("decision"), F.col("lang").alias("reason"))
+    old = c.where("card_id % 2 = 0").select("query_id", "card_id", F.concat(F.lit("old "), "reason").alias("reason"))
+    return compositions.rejected(c, old, c.where("card_id % 15 = 0").select("query_id", "card_id"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, round(CASE WHEN sum(length(line)) > 0 THEN coalesce(sum(length(line)) FILTER (line = 'Lorem ipsum' OR starts_with(line, 'The') OR starts_with(line, 'El')), 0) / sum(length(line)) ELSE 0 END, 9) AS share FROM l GROUP BY doc_id""")
+def template_shares(spark, sf_dir):
+    """The share of each text's characters in lines that begin like a template."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(diagnostics.text_shares("text", F.array(F.lit("Lorem ipsum")), ("The", "El")), 9).alias("share"))
+
+
+@query("SELECT doc_id, lang || ',' || source || ',x' AS first_three, CASE WHEN contains(lang, 'e') THEN 'with' ELSE 'other' END AS chosen FROM documents")
+def limited_lists(spark, sf_dir):
+    """The first distinct items of a list; a choice by key with a default."""
+    table_ = F.create_map(F.lit("en"), F.lit("with"), F.lit("de"), F.lit("with"), F.lit("es"), F.lit("with"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(retrieval.limited(F.array("lang", "source", "lang", F.lit("x")), 3), ",").alias("first_three"), X.option(table_, F.col("lang"), F.lit("other")).alias("chosen"))
+
+
+@query("""WITH r AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT '| lang | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || coalesce(lang, '') || ' | ' || n || ' |', chr(10) ORDER BY lang) AS text FROM r""")
+def report_table(spark, sf_dir):
+    """K9: a report's rows as a table of Markdown."""
+    return sinks.markdown_table(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")), ["lang"], "lang", "n")
+
+
+@query("SELECT doc_id AS item_id, lang, (SELECT count(*) FROM documents) AS n FROM documents")
+def written_run(spark, sf_dir):
+    """K3–K5: a run's traces and a section of its report, written to a new folder and read back."""
+    path = sinks.scratch(spark)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")
+    sinks.write_run(d, path, "r1", counts=d.agg(F.count("*").alias("n")))
+    counts = spark.read.schema("n long").json(f"{path}/run_id=r1/counts")  # a single row
+    return spark.read.schema("item_id long, lang string, run_id string").json(f"{path}/run_id=r1/traces").where("run_id = 'r1'").select("item_id", "lang").crossJoin(counts)
+
+
+@query("SELECT 'COUNT_MISMATCH' AS code, (SELECT count(*) FROM benchmark) AS expected, (SELECT count(*) FROM documents) AS actual FROM range(1) WHERE (SELECT count(*) FROM benchmark) <> (SELECT count(*) FROM documents)")
+def count_mismatch(spark, sf_dir):
+    """A declared number of rows, here the benchmark's, against the rows there are."""
+    return rules.count_issue(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").count())
+
+
+@query("SELECT item_id, replace(replace(text, 'zzz', ''), 'qqq', '') = text AS plain, 'Read «Beta» and «Alpha One», not Alphabet, «Beta».' AS titled FROM benchmark")
+def quoted_titles(spark, sf_dir):
+    """Titles put in guillemets, unless they stand in some or inside a word."""
+    d = table(spark, sf_dir, "benchmark")
+    text = F.lit("Read Beta and Alpha One, not Alphabet, «Beta».")
+    return d.select("item_id", X.quote_titles("text", ["zzz", "qqq"]).eqNullSafe(F.col("text")).alias("plain"), X.quote_titles(text, ["Alpha One", "Beta"]).alias("titled"))

@@ -49,9 +49,12 @@ def cards(spark: SparkSession, path: str, schema: str = schemas.CARD) -> DataFra
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: verbatim strings: BOM, quotes and line breaks in fields are understood, empty fields stay empty."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', emptyValue="", nullValue="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def csv(spark: SparkSession, path: str, breaks: bool = True) -> DataFrame:
+    """S3: verbatim strings: BOM, quotes and line breaks in fields are understood, empty fields stay empty.
+
+    Quoted line breaks make a file one task's work, since a split can't know whether it begins inside quotes; without
+    `breaks`, for files that have none, it is read in splits."""
+    df = spark.read.csv(path, header=True, multiLine=breaks, escape='"', emptyValue="", nullValue="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return df.na.fill("")
 
 
