@@ -29,6 +29,7 @@ from tessera.llm.common import arrow_map
 # The pre-tokenization pattern of this vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 48
+#: Encoded pieces of one generation; a worker keeps two, so that pieces in use outlive a full cache.
 CACHE = 1 << 18
 #: Single spaces between other characters, where one word ends and the next begins in any case.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -71,6 +72,7 @@ class Codec:
         self.words = regex.compile(WORD)
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit, self.short = cache, short
 
     def merge_short(self, parts: list[int]) -> list[int]:
@@ -121,7 +123,8 @@ class Codec:
         cache, out = self.cache, []
         for w in words:
             if (ids := cache.get(w)) is None:
-                ids = self.pack(self.word_ids(w))
+                if (ids := self.older.get(w)) is None:
+                    ids = self.pack(self.word_ids(w))
                 self.keep(w, ids)
             out.append(ids)
         return b"".join(out)
@@ -133,7 +136,7 @@ class Codec:
     def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= 64:
             if len(self.cache) >= self.limit:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
 
     def plain(self, text: str) -> bytes:
@@ -151,7 +154,8 @@ class Codec:
                 if ids is None:
                     piece = pieces[k]
                     if (ids := cache.get(piece)) is None:
-                        ids = self.chunk(piece)
+                        if (ids := self.older.get(piece)) is None:
+                            ids = self.chunk(piece)
                         self.keep(piece, ids)
                     found[k] = ids
         return b"".join(found)
