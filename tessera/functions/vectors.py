@@ -26,16 +26,18 @@ def norm(v: Column) -> Column:
 def hash_bow(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
     """(id, vector) of signed token counts by SHA-256: bucket from the last four bytes, sign from the byte before.
 
-    Texts without tokens have a zero vector. Tokens are counted before they are hashed, so that a text shuffles
-    one row for each distinct token.
+    Texts without tokens have a zero vector. A text's tokens are summed by bucket where it lies, so it shuffles one row
+    for each bucket at the most, however long it is.
     """
-    tokens = df.select(id_col, F.explode(word_tokens(F.lower(text_col))).alias("token")).groupBy(id_col, "token").count()
     digest = F.sha2("token", 256)
+    tokens = df.select(id_col, F.explode(word_tokens(F.lower(text_col))).alias("token")).select(id_col, digest.alias("digest"))
     hashed = tokens.select(
         id_col,
-        (F.conv(F.substring(digest, 57, 8), 16, 10).cast("long") % dims).cast("int").alias("bucket"),
-        F.when(F.conv(F.substring(digest, 56, 1), 16, 10).cast("int") % 2 == 0, F.col("count")).otherwise(-F.col("count")).alias("w"),
+        (F.conv(F.substring("digest", 57, 8), 16, 10).cast("long") % dims).cast("int").alias("bucket"),
+        F.when(F.conv(F.substring("digest", 56, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("w"),
     )
-    sums = hashed.groupBy(id_col).agg(*[F.sum(F.when(F.col("bucket") == i, F.col("w")).otherwise(0)).alias(f"b{i}") for i in range(dims)])
-    rows = df.select(id_col).distinct().join(sums, id_col, "left")
-    return rows.select(id_col, F.array(*[F.coalesce(F.col(f"b{i}"), F.lit(0)).cast("double") for i in range(dims)]).alias("vector"))
+    sums = hashed.groupBy(id_col, "bucket").agg(F.sum("w").alias("w"))
+    held = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("held"))
+    rows = df.select(id_col).distinct().join(held, id_col, "left")
+    value = lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)).cast("double")
+    return rows.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))
