@@ -76,7 +76,8 @@ def restored_registry(spark, sf_dir):
     """A registry table written and read back, its rows as cards; broken places are restored or make a row ineligible."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     cell = F.when(n % 4 == 1, F.when(n % 3 == 1, F.concat(F.lit("**СН 35."), n.cast("string"), F.lit("**"))).otherwise("nothing")).otherwise(F.col("lang"))
-    id_ = F.concat(F.lit("C"), F.lpad(n.cast("string"), 4, "0"))
+    number = n.cast("string")
+    id_ = F.concat(F.lit("C"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))  # lpad cuts longer ones
     row = F.concat(F.lit("| "), F.concat_ws(" | ", id_, F.when(n % 6 == 5, "reserve").otherwise("main"), "lang", F.lit("author"), F.when(n % 4 == 1, "BROKEN").otherwise("work"), cell, F.lit("move."), F.lit("p"), F.when(n % 5 == 0, "Nope").otherwise("Desire"), F.lit("Duty vs desire, —"), F.lit("d")), F.lit(" |"))
     path = sinks.scratch(spark)
     d.select(row.alias("value")).write.text(path)
