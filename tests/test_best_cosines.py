@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import neighbours, retrieval
+from tessera.operators import diagnostics, neighbours, retrieval
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,13 @@ def test_a_ranking_makes_no_row_for_each_pair(spark, sf):
 
     plan = catalogue.meaning(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan
+
+
+def test_group_means_without_pairs(spark):
+    r = random.Random(4)
+    c = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)] if i else [0.0] * 4, min(i % 3, i // 30 + 1)) for i in range(31)] + [(40, [1.0, 2.0, 3.0, 4.0], 9)], "card_id long, vector array<double>, grp long")
+    q = c.where("card_id % 4 = 0").select(F.col("card_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    want = diagnostics.group_cosines(retrieval.cosine_scores(q, c).where("query_id <> card_id"), c)
+    got = diagnostics.query_group_cosines(q, c)
+    assert {(x.query_id, x.grp): pytest.approx(x.mean_cosine, abs=2e-6) for x in want.collect()} == {(x.query_id, x.grp): x.mean_cosine for x in got.collect()}
+    assert "posexplode" in got._jdf.queryExecution().executedPlan().toString()  # sums of unit vectors
