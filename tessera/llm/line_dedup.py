@@ -51,11 +51,11 @@ REACH, FAR = 8, 3
 LIST = 64
 #: Words whose keys are made at once, and fetched lines that are passed on together.
 WORDS, LINES = 1 << 18, 1 << 12
-#: Cells of the sketch of word frequencies, and the part of the texts that it counts.
-CELLS, PART = 1 << 20, 8
+#: Cells of the sketch of word frequencies.
+CELLS = 1 << 20
 #: Lines of over a HOT-th of all are joined by broadcast: HOT rows at most.
 HOT = 4096
-#: Classes of words: below KNOWN rare ones, UNSEEN those that the sketch has not met.
+#: Classes of words: below KNOWN rare ones, UNSEEN those of one line at the most, which link nothing.
 KNOWN, UNSEEN = 0x80, 0xFF
 APART = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 #: What two lines x and y of one list have to fulfil: an edit changes the size by one and two counts of characters at
@@ -91,8 +91,8 @@ def units(words: list[bytes]) -> list[bytes]:
 def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     """The place of words in the order, by cells of their hashes: below KNOWN rare ones, then common ones, UNSEEN last.
 
-    Classes are steps of an eighth of a power of two. They only set the order of words, and any order finds the same
-    up to the stated number of changed words; so it is made from a part of the texts."""
+    Classes are steps of an eighth of a power of two. They are counted over the lines of all texts. Words of a single line can't
+    be shared with another, so they come last."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, words = np.zeros(CELLS, np.int64), []
@@ -110,12 +110,11 @@ def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.nonzero(n)[0]
         return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
-    some = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(PART)) == 0)).select(text_col)
-    got = arrow_map(some, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = arrow_map(docs.where(F.col(text_col).isNotNull()).select(text_col), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     n = got["n"].to_numpy().astype(np.float64)
     steps = np.minimum(KNOWN - 1, 8 * np.log2(np.maximum(n, 1)))
     out = np.full(CELLS, UNSEEN, np.uint8)
-    out[got["cell"].to_numpy()] = np.where(n * PART <= RARE, steps, np.minimum(UNSEEN - 1, KNOWN + steps)).astype(np.uint8)
+    out[got["cell"].to_numpy()] = np.where(n < 2, UNSEEN, np.where(n <= RARE, steps, np.minimum(UNSEEN - 1, KNOWN + steps))).astype(np.uint8)
     return out
 
 
