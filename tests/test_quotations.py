@@ -31,3 +31,18 @@ def test_many_places_in_one_text(spark, monkeypatch):
     assert quotations.quote_sources(quotes.limit(0), texts).count() == quotations.quote_sources(quotes, texts.limit(0)).count() == 0
     plan = quotations.quote_sources(quotes, texts)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_counts_without_a_row_for_each_place(spark, sf, monkeypatch):
+    """Words that end alike and quotations of one letter and a word made a row for each of their places."""
+    monkeypatch.setattr(quotations, "PART", 50)
+    r = random.Random(5)
+    texts = [(i, " ".join(r.choice(["the", "he", "ёж«e»", "le", "x"]) for _ in range(r.randint(0, 60)))) for i in range(50)] + [(50, None), (None, "the he")]
+    quotes = ["e he", "e", "he", "", "nowhere", "the he le", "e x the he le x еж", "еже le"]
+    got = quotations.quote_counts(spark.createDataFrame([(q,) for q in quotes + quotes], "quote string"), spark.createDataFrame(texts, "doc_id long, text string"))
+    want = {(q, sum(q in normal(t) for _, t in texts), min((i for i, t in texts if i is not None and q in normal(t)), default=None)) for q in quotes if q}
+    assert {tuple(x) for x in got.collect()} == {x for x in want if x[1]}
+    assert quotations.quote_counts(spark.createDataFrame([("",)], "quote string"), spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+    from tessera.plans import catalogue
+
+    assert "Generate" not in catalogue.queries()["quote_search"](spark, sf)._jdf.queryExecution().executedPlan().toString()
