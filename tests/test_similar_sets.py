@@ -36,3 +36,14 @@ def test_classes_and_edges(spark):
     df = spark.createDataFrame([(3, ["b", "a"]), (1, ["a", "b", "a"]), (2, []), (4, None), (None, ["c"])], SCHEMA)
     assert sorted((r.set_id, r["items"], r.n_members) for r in similar_sets.classes(df, "set_id", "items").where("set_id IS NOT NULL").collect()) == [(1, ["a", "b"], 2)]
     assert similar_sets.similar(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_pairs_that_share_one_rare_word_are_left_out_in_the_join(spark):
+    """Sets that have one item in common met as rows to be verified."""
+    rows = [(i, sorted({f"z{i % 3}", *(f"{i}w{j}" for j in range(4)), *(f"all{j}" for j in range(5))})) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = similar_sets.similar(df, df, 60)
+    assert sorted((r.left_id, r.right_id, r.common) for r in found.collect()) == [(i, i, 10) for i in range(60)]
+    assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
+    x = similar_sets._posted(df, spark.sparkContext.broadcast(similar_sets._classes_of(df)), 60, "x")
+    assert x.groupBy("x_id").count().where("count <> 5").count() == 0
