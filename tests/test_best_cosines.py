@@ -53,3 +53,24 @@ def test_group_means_without_pairs(spark):
     got = diagnostics.query_group_cosines(q, c)
     assert {(x.query_id, x.grp): pytest.approx(x.mean_cosine, abs=2e-6) for x in want.collect()} == {(x.query_id, x.grp): x.mean_cosine for x in got.collect()}
     assert "posexplode" in got._jdf.queryExecution().executedPlan().toString()  # sums of unit vectors
+
+
+@pytest.mark.parametrize("many", [1, 1 << 22])
+def test_quantiles_without_pairs(spark, tables, monkeypatch, many):
+    monkeypatch.setattr(diagnostics, "MANY", many)
+    monkeypatch.setattr(diagnostics, "COSINE_RANGES", 64)
+    q, c = tables
+    for least in (0, 1, 1000):  # with and without NaN; no pairs
+        x, y = q.where(f"query_id >= {least}"), c.where("NOT exists(vector, v -> isnan(v) OR v = double('inf'))") if least == 1 else c
+        want = diagnostics.quantiles(retrieval.cosine_scores(x, y).where("query_id <> card_id"), "cosine").first()
+        got = diagnostics.cosine_quantiles(x, y).first()
+        assert [v if v is None else round(v, 6) for v in got] == pytest.approx([v if v is None else round(v, 6) for v in want], abs=2e-6, nan_ok=True)
+
+
+def test_case_study_ranks_without_pairs(spark):
+    c = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(20)], "card_id long, vector array<double>")
+    ranked = spark.createDataFrame([(1, 1, 1)], "query_id long, card_id long, rank int")
+    got = diagnostics.case_study(c.where("card_id % 4 = 0"), c, ranked)
+    means = {r.card_id: r.centrality for r in diagnostics.centrality(c).collect()}
+    assert {r.card_id: r.centrality_rank for r in got.collect()} == {i: 1 + sum(m > means[i] for m in means.values()) for i in range(0, 20, 4)}
+    assert "Window" in got._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.operators import quotations
 
 
@@ -46,3 +48,10 @@ def test_counts_without_a_row_for_each_place(spark, sf, monkeypatch):
     from tessera.plans import catalogue
 
     assert "Generate" not in catalogue.queries()["quote_search"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_over_the_ends_of_parts(monkeypatch):
+    monkeypatch.setattr(quotations, "PART", 4)
+    every = [np.full(1 << (quotations.BITS - 3), 255, np.uint8)] * 2
+    got = quotations._grams(["abcdefghij", "", "xy", "abcabcabc"], {2: [2], 3: [3], 5: [5]}, every)
+    assert got == [{t[i : i + n] for n in (2, 3, 5) for i in range(len(t) - n + 1)} for t in ("abcdefghij", "", "xy", "abcabcabc")]
