@@ -28,3 +28,14 @@ def test_whole_words(spark):
     p = spark.createDataFrame([("the",)], "phrase string")
     assert [r.n for r in phrases.phrase_hits(docs, "doc_id", "text", p, whole_words=True).collect()] == [3]
     assert phrases.phrase_hits(docs, "doc_id", "text", p.limit(0)).count() == phrases.phrase_hits(docs.limit(0), "doc_id", "text", p).count() == 0
+
+
+def test_hits_apart_and_texts_that_are_read_once(spark, sf):
+    from tessera.plans import catalogue
+
+    docs = spark.createDataFrame([(1, "aaaaa ab abab"), (1, "aaa"), (2, None)], "id long, text string")
+    listed = spark.createDataFrame([("aa",), ("ab",), ("a",), ("bab",)], "phrase string")
+    got = phrases.phrase_hits(docs, "id", "text", listed, apart=True)
+    assert sorted((r.phrase, r.n) for r in got.collect()) == sorted((p, t.count(p)) for t in ("aaaaa ab abab", "aaa") for p in ("aa", "ab", "a", "bab") if p in t)
+    plan = catalogue.queries()["phrase_detectors"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
