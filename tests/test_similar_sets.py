@@ -47,3 +47,14 @@ def test_pairs_that_share_one_rare_word_are_left_out_in_the_join(spark):
     assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
     x = similar_sets._posted(df, spark.sparkContext.broadcast(similar_sets._classes_of(df)), 60, "x")
     assert x.groupBy("x_id").count().where("count <> 5").count() == 0
+
+
+@pytest.mark.parametrize("percent", [40, 80])
+def test_large_sets_by_blocks(spark, percent):
+    r = random.Random(percent)
+    base = [f"w{i}" for i in range(3000)]
+    sets = [r.sample(base, r.choice([3, 40, 300, 1500])) for _ in range(12)]
+    sets += [sorted({*x[: len(x) * r.choice([3, 7, 9, 10]) // 10], *r.sample(base, 2)}) for x in sets for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(sets)), SCHEMA)
+    want, got = (sorted(map(tuple, similar_sets.similar(df.where("set_id % 2 = 0"), df, percent, large=x).collect())) for x in (False, True))
+    assert want == got and len(got) > 24
