@@ -47,8 +47,8 @@ RARE = 64
 LONG, SIM_WORDS, SIM_BITS, BITS = 120, 32, 128, 48
 #: How far equal words are searched for, and after how many times the limit a pair's distance is looked at first.
 REACH, FAR = 8, 3
-#: Lists of more lines than this are compared with one centre first.
-LIST = 64
+#: Lists of more lines than this are compared with one centre first, and then in blocks of about so many.
+LIST, BLOCK = 64, 512
 #: Words whose keys are made at once, and fetched lines that are passed on together.
 WORDS, LINES = 1 << 18, 1 << 12
 #: Cells of the sketch of word frequencies.
@@ -88,29 +88,38 @@ def units(words: list[bytes]) -> list[bytes]:
     return UNSPACED.sub(r" \g<0> ", text).encode().split()
 
 
+def spaced(text: str) -> bool:
+    """Whether no line of a text has characters of a script without spaces: `units` has nothing to do then."""
+    return text.isascii() or not UNSPACED.search(text)
+
+
 def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     """The place of words in the order, by cells of their hashes: below KNOWN rare ones, then common ones, UNSEEN last.
 
     Classes are steps of an eighth of a power of two. They are counted over the lines of all texts. Words of a single line can't
     be shared with another, so they come last."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, words = np.zeros(CELLS, np.int64), []
 
         def count() -> None:
-            np.add.at(n, (hash_words(words) % np.uint64(CELLS)).astype(np.int64), 1)
+            times = Counter(words)
+            np.add.at(n, (hash_words(times) % np.uint64(CELLS)).astype(np.int64), np.fromiter(times.values(), np.int64, len(times)))
             words.clear()
 
-        for text in batch.column(0):
-            for w in normalised(text.as_py() or ""):
-                words.extend(set(units(w)))
-            if len(words) >= WORDS:
-                count()
+        for batch in batches:
+            for text in batch.column(0):
+                plain = spaced(text := text.as_py() or "")
+                for w in normalised(text):
+                    words.extend(set(w if plain else units(w)))
+                if len(words) >= WORDS:
+                    count()
         count()
         at = np.nonzero(n)[0]
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
-    got = arrow_map(docs.where(F.col(text_col).isNotNull()).select(text_col), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    # a task's counts are one batch
+    got = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     n = got["n"].to_numpy().astype(np.float64)
     steps = np.minimum(KNOWN - 1, 8 * np.log2(np.maximum(n, 1)))
     out = np.full(CELLS, UNSEEN, np.uint8)
@@ -207,8 +216,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for i, k, text in zip(*(c.to_pylist() for c in batch.columns)):
             seen: set[int] = set()
+            plain = spaced(text)
             for at, w in enumerate(normalised(text)):
-                parts = units(w)
+                parts = w if plain else units(w)
                 if len(parts) >= LEAST_WORDS:
                     joined = b" ".join(w)
                     h = xxhash.xxh3_64_intdigest(joined)
@@ -364,16 +374,14 @@ def postings(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode("keys").alias("key"), F.col("line").alias("node"), "size", "s0", "s1", "times")
 
 
-def met(lists: DataFrame, also: str = "true") -> DataFrame:
+def met(lists: DataFrame) -> DataFrame:
     """(a, b): pairs of lines in one list that pass the filters."""
     x, y = (lists.select("key", *[F.col(c).alias(f"{p}_{c}") for c in lists.columns if c != "key"]) for p in "xy")
-    return x.join(y, "key").where(f"x_node < y_node AND {also} AND {FITS}").select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    return x.join(y, "key").where(f"x_node < y_node AND {FITS}").select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
-def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of lines whose texts are alike; texts come from the first documents."""
-    near = materialise(pairs.distinct())
-    nodes = near.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+def whole_lines(nodes: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(line, whole), stored: the normalised text of each of the lines (line); texts come from the first documents."""
     wanted = materialise(distinct.select("line", "doc", "place").join(nodes, "line"))
 
     def spots(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -404,6 +412,14 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: st
     rows = docs.where(F.col(text_col).isNotNull()).select(order(id_col), F.xxhash64(order(id_col)), text_col)
     texts = arrow_map(rows, fetch, "doc long, line long, whole string", pieces=True).join(wanted, ["doc", "line"], "left_semi").select("line", "whole").dropDuplicates(["line"])
     texts = materialise(texts)
+    release(wanted)
+    return texts
+
+
+def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) of lines whose texts are alike."""
+    near = materialise(pairs.distinct())
+    texts = whole_lines(near.select(F.explode(F.array("a", "b")).alias("line")).distinct(), distinct, docs, id_col, text_col)
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -412,16 +428,85 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: st
         return batch.filter(pa.array(keep)).select([0, 1])
 
     links = materialise(arrow_map(both, compare, "a long, b long"))
-    release(near, wanted, texts)
+    release(near, texts)
     return links
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """(x, y): the members (key, c, node, ...) of each list in blocks of about BLOCK, every block with each of its list, itself as a null."""
+    cut = F.ceil(F.col("c") / BLOCK)
+    columns = [c for c in members.columns if c != "c"]
+    packed = members.withColumn("block", F.pmod(F.xxhash64("node"), cut)).groupBy("key", "block", cut.alias("n")).agg(F.collect_list(F.struct(*columns)).alias("m"))
+    several = packed.where("n > 1")
+    x, y = several.select("key", F.col("block").alias("i"), F.col("m").alias("x")), several.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
+    own = packed.select(F.col("m").alias("x"), F.lit(None).cast(packed.schema["m"].dataType).alias("y"))
+    return own.unionByName(x.join(y, "key").where("i < j").select("x", "y"))
+
+
+def _fitting(x: pa.StructArray, y: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks, or of one with itself, whose parts differ and that pass FITS."""
+    (xs, x0, x1, xp), (ys, y0, y1, yp) = ([b.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("size", "s0", "s1", "part")] for b in (x, x if y is None else y))
+    low, high = np.minimum(xs[:, None], ys), np.maximum(xs[:, None], ys)
+    bits = np.bitwise_count((x0[:, None] ^ y0).view(np.uint64)).astype(np.int64) + np.bitwise_count((x1[:, None] ^ y1).view(np.uint64))
+    limit = np.where(low >= LONG, BITS, np.where(high < LONG, 2 * ((100 - SIMILARITY) * high // 100), SIM_BITS))
+    fit = (xp[:, None] != yp) & (100 * (high - low) <= (100 - SIMILARITY) * high) & (bits <= limit)
+    return np.nonzero(np.triu(fit, 1) if y is None else fit)
+
+
+def near_nodes(members: DataFrame) -> DataFrame:
+    """(line): the members (key, c, node, size, s0, s1, part) that pass the filters with one of another part in a list of theirs."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for x, y in zip(*batch.columns):
+            x, y = x.values, y.values
+            i, j = _fitting(x, y)
+            nodes = np.unique(np.concatenate([x.field("node").to_numpy()[i], (x if y is None else y).field("node").to_numpy()[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64())], ["line"])
+
+    return arrow_map(blocks(members), run, "line long").distinct()
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """(a, b): links between members (key, c, node, size, s0, s1, part, top, keys, whole) that join all parts whose lines are alike.
+
+    A pair is compared in the least list that both are in, unless it was with that list's `top`. Parts that a block's
+    links have joined already aren't compared again, so a block gives fewer links than it has parts."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for x, y in zip(*batch.columns):
+            x, y = x.values, y.values
+            i, j = _fitting(x, y)
+            key = x.field("key")[0].as_py()
+            (xn, xp, xt, xk, xw), (yn, yp, yt, yk, yw) = ([b.field(f).to_pylist() for f in ("node", "part", "top", "keys", "whole")] for b in (x, x if y is None else y))
+            xk, yk = [set(k) for k in xk], [set(k) for k in yk]
+            pairs = [(p, q) for p, q in zip(i.tolist(), j.tolist()) if not (xt[p] or yt[q]) and min(xk[p] & yk[q]) == key]
+            root: dict[int, int] = {}
+
+            def find(p: int) -> int:
+                while p in root:
+                    p = root[p]
+                return p
+
+            links = []
+            for at in range(0, len(pairs), LINES):
+                todo = [(p, q) for p, q in pairs[at : at + LINES] if find(xp[p]) != find(yp[q])]
+                far = far_apart([xw[p] for p, _ in todo], [yw[q] for _, q in todo]).tolist()
+                for (p, q), no in zip(todo, far):
+                    u, v = find(xp[p]), find(yp[q])
+                    if not no and u != v and alike(xw[p], yw[q]):
+                        root[max(u, v)] = min(u, v)
+                        links.append((xn[p], yn[q]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
+
+    return arrow_map(blocks(members), run, "a long, b long")
+
+
 def groups(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of the lines that are linked with others.
 
     Short lists are paired at once. Of longer ones the members are compared with the list's most frequent line first;
-    then, only where a list still holds several components, members of different ones are paired. Pairs inside a
-    component can't change the result, so a list of n near copies of one line costs n pairs."""
+    then, only where a list still holds several components, blocks of its members are compared where they lie: first by the
+    filters alone, which leaves the lines whose texts are fetched, then by these. No pair becomes a row but links that join components."""
     posted = postings(distinct)
     lists = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     short = met(posted.join(lists.where(f"c <= {LIST}").select("key"), "key").drop("times"))
@@ -438,10 +523,16 @@ def groups(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     parts = components(links, "a", "b")
     placed = mine.drop("times").join(parts, mine.node == parts.id, "left")
     placed = materialise(placed.select("key", "node", "size", "s0", "s1", F.coalesce("component", "node").alias("part")))
-    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    across = met(placed.join(several, "key"), "x_part <> y_part").distinct().join(star.distinct(), ["a", "b"], "left_anti")
-    more = confirmed(across, distinct, docs, id_col, text_col)
-    release(large, mine, placed)
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("c")).where("low <> high").select("key", "c")
+    members = placed.join(several, "key")
+    texts = whole_lines(near_nodes(members), distinct, docs, id_col, text_col)
+    left = materialise(members.join(texts.withColumnRenamed("line", "node"), "node"))
+    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    tops = top.select("key", F.col("x_node").alias("node"), F.lit(True).alias("top"))
+    counts = left.groupBy("key").agg(F.count("*").alias("c"))
+    left_ = left.drop("c").join(counts, "key").join(keys, "node").join(tops, ["key", "node"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
+    more = materialise(linked(left_))
+    release(large, mine, placed, texts, left)
     return components(links.union(more), "a", "b")
 
 
