@@ -6,14 +6,19 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera import schemas
 from tessera.functions.text import collapse
+from tessera.sources import digests
 from tessera.sources.lines import ids_between, last_of, numbered_lines, pipe_rows, sections, tag_cell
 
+#: Bytes of a file that is written to be read by one task.
+PART = 1 << 26
+
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, text) of whole files, sub-folders included; a file must fit a task."""
@@ -154,13 +159,45 @@ def yaml_blocks(spark: SparkSession, path: str, fence: str = "yaml") -> DataFram
     return found.select("path", "block", F.when(F.col("state") != "refused", F.col("record")).otherwise(refused).alias("record"))
 
 
-def file_hashes(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
-    """(name, size, sha256) of the files below a path; a file has to fit a task's memory, and 2 GB.
-
-    With `part`, a file's name is the value of that partition folder."""
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, sha256) of the files below a path; a file has to fit a task's memory, and 2 GB."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1) if part is None else F.regexp_extract("path", rf"/{part}=([^/]*)/", 1)
-    return f.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_parts(rows: DataFrame, path: str, by: str, order: str, text: str) -> None:
+    """The texts of each value of `by`, a line each, as files of about PART bytes in a folder of its own: in the order of their numbers."""
+    size = rows.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    parts = rows.repartitionByRange(int(size) // PART + 1, by, order).sortWithinPartitions(by, order)
+    parts.select(by, text).write.partitionBy(by).text(path)
+
+
+def folder_hashes(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(name, size, sha256) of what the files of each folder `by`=name hold together, in the order of their numbers.
+
+    A digest is sequential, so a folder's first files are read first, by a task each, then all second ones from the state
+    that these left: a task reads a few files, however large a folder is. The driver has the files' names and a
+    state for each folder."""
+    listed: dict[str, list] = {}
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    name = F.regexp_extract("path", rf"/{by}=([^/]*)/", 1)
+    for r in files_.load(path).select(name.alias("name"), "path", "length").toLocalIterator():
+        number = re.match(r"part-(\d+)", r.path.rsplit("/", 1)[-1])
+        listed.setdefault(r.name, []).append((int(number[1]) if number else -1, r.path, r.length))
+    states = {folder: digests.start() for folder in listed}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [digests.update(states[n.as_py()], b.address, b.size) for n, b in ((n, c.as_buffer()) for n, c in zip(*batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["name", "state"])
+
+    for own in listed.values():
+        own.sort()
+    for at in range(max(map(len, listed.values()), default=0)):
+        now = [own[at][1] for own in listed.values() if at < len(own)]
+        states |= {r.name: bytes(r.state) for r in files_.load(now).select(name.alias("name"), "content").mapInArrow(run, "name string, state binary").collect()}
+    rows = [(folder, sum(f[2] for f in own), digests.finish(states[folder])) for folder, own in listed.items()]
+    return spark.createDataFrame(rows, "name string, size long, sha256 string")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

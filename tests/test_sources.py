@@ -80,6 +80,17 @@ def test_manifest(spark, tmp_path):
     assert {r.name: r.problem for r in files.manifest_problems(files.manifest(spark, m), files.file_hashes(spark, str(tmp_path / "d"))).collect()} == {"b": "missing"}
 
 
+def test_folder_hashes(spark, tmp_path, monkeypatch):
+    """A folder's digest goes on from file to file; no file grows with the folder."""
+    monkeypatch.setattr(files, "PART", 1000)
+    rows = [(k, "ab"[k % 7 > 0], f"line {k} é\nand more" + "x" * (k % 90)) for k in range(400)]
+    files.write_parts(spark.createDataFrame(rows, "k long, f string, t string").repartition(3), str(tmp_path / "d"), "f", "k", "t")
+    got = {r.name: (r.size, r.sha256) for r in files.folder_hashes(spark, str(tmp_path / "d"), "f").collect()}
+    whole = {f: "".join(t + "\n" for _, g, t in rows if g == f).encode() for f in "ab"}
+    assert got == {f: (len(x), hashlib.sha256(x).hexdigest()) for f, x in whole.items()}
+    assert len(list((tmp_path / "d" / "f=b").glob("part-*"))) > 5 and max(f.stat().st_size for f in (tmp_path / "d").rglob("part-*")) < 4000
+
+
 def test_yaml_blocks(spark, tmp_path):
     pytest.importorskip("yaml")
     p = write(tmp_path, "y.md", "```yaml\nid: 2.10\nq:\n  - a: b\n```\n")
