@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, bloom, components, materialise, may_hold, release
-from tessera.llm.shingles import hash_words
+from tessera.llm.common import PIECE, arrow_map, bloom, components, materialise, may_hold, release, trim
 
 LEAST_WORDS = 5
 SIMILARITY = 85
@@ -49,8 +49,10 @@ LONG, SIM_WORDS, SIM_BITS, BITS = 120, 32, 128, 48
 REACH, FAR = 8, 3
 #: Lists of more lines than this are compared with one centre first, and then in blocks of about so many.
 LIST, BLOCK = 64, 512
-#: Words whose keys are made at once, and fetched lines that are passed on together.
-WORDS, LINES = 1 << 18, 1 << 12
+#: Characters that are cut into words at once, words whose keys are made at once, and fetched lines that are passed on together.
+PORTION, WORDS, LINES = 1 << 20, 1 << 18, 1 << 12
+#: The low bytes of a long, and the size from which a word is hashed by itself.
+MASKS, FAR_END = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 1 << 12
 #: Cells of the sketch of word frequencies.
 CELLS = 1 << 20
 #: Lines of over a HOT-th of all are joined by broadcast: HOT rows at most.
@@ -67,30 +69,98 @@ FITS = (
 )
 
 
-def split_lines(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(APART).split(b"\n")
+def apart(low: str) -> bytes:
+    """A text in lower case, its signs as spaces."""
+    return low.encode("utf-8", "surrogatepass").translate(APART)
 
 
 def normalised(text: str) -> list[list[bytes]]:
     """The words of each line."""
-    return [line.split() for line in split_lines(text)]
+    return [line.split() for line in apart(text.lower()).split(b"\n")]
 
 
 #: Thai, Lao, Myanmar, Khmer, kana, Han: scripts without spaces between words.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
-def units(words: list[bytes]) -> list[bytes]:
-    """The words of a line, with each character of a script without spaces as one."""
-    joined = b" ".join(words)
-    if joined.isascii() or not UNSPACED.search(text := joined.decode("utf-8", "replace")):
-        return words
-    return UNSPACED.sub(r" \g<0> ", text).encode().split()
+#: Bytes that characters of these scripts begin with, in UTF-8.
+LEADS = bytes([0xE0, 0xE1, 0xE3, *range(0xE4, 0xEA), 0xEF, 0xF0])
 
 
-def spaced(text: str) -> bool:
-    """Whether no line of a text has characters of a script without spaces: `units` has nothing to do then."""
-    return text.isascii() or not UNSPACED.search(text)
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of each hash."""
+    h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def spaced_out(text: str, raw: bytes) -> bytes:
+    """`raw`, the lower-case bytes of `text`, with each character of a script without spaces between spaces."""
+    if len(raw.translate(None, LEADS)) == len(raw) or not UNSPACED.search(text):
+        return raw
+    return apart(UNSPACED.sub(r" \g<0> ", text))
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end in lines of words and spaces, and how many words each line has."""
+    b = np.frombuffer(raw, np.uint8)
+    apart = np.ones(len(b) + 2, bool)
+    apart[1:-1] = (b == 32) | (b == 10)
+    starts, ends = np.nonzero(apart[:-1] & ~apart[1:])[0], np.nonzero(~apart[:-1] & apart[1:])[0]
+    before = np.searchsorted(starts, np.append(np.nonzero(b == 10)[0], len(b)))
+    return starts, ends, np.diff(before, prepend=0)
+
+
+def hash_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the parts of `raw`, all at once: eight bytes a step."""
+    eights = np.ndarray(len(raw) + 1, np.uint64, raw + bytes(8), strides=1)
+    left = ends - starts
+    h, at, todo = left.astype(np.uint64), starts, slice(None)
+    while len(at):
+        h[todo] = mixed(h[todo] ^ eights[at] & MASKS[np.minimum(left, 8)], 0)
+        more = np.nonzero((left > 8) & (left <= FAR_END))[0]
+        todo, at, left = more if isinstance(todo, slice) else todo[more], at[more] + 8, left[more] - 8
+    for k in np.nonzero(ends - starts > FAR_END)[0].tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return h
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    return hash_spans(b"".join(words), ends - sizes, ends)
+
+
+def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of texts joined by line breaks, hashes of the words (in scripts without spaces, of the characters), and their number in each line."""
+    text = text.lower()
+    raw = apart(text)
+    parts = spaced_out(text, raw)
+    starts, ends, counts = word_bounds(parts)
+    return raw, hash_spans(parts, starts, ends), counts
+
+
+def normalised_lines(raw: bytes) -> bytes:
+    """The lines with one space between words and none around them."""
+    starts, _, counts = word_bounds(raw)
+    b = np.frombuffer(raw, np.uint8)
+    keep = b != 32
+    later = np.ones(len(starts), bool)
+    later[(np.cumsum(counts) - counts)[counts > 0]] = False
+    keep[starts[later] - 1] = True
+    return b[keep].tobytes()
+
+
+def portions(texts: list[str]) -> Iterator[slice]:
+    """Of texts, so many that they have about PORTION characters, one at least."""
+    lo = size = 0
+    for hi, text in enumerate(texts):
+        if size and size + len(text) > PORTION:
+            yield slice(lo, hi)
+            lo, size = hi, 0
+        size += len(text) + 1
+    if lo < len(texts):
+        yield slice(lo, len(texts))
 
 
 def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -100,21 +170,19 @@ def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     be shared with another, so they come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words = np.zeros(CELLS, np.int64), []
-
-        def count() -> None:
-            times = Counter(words)
-            np.add.at(n, (hash_words(times) % np.uint64(CELLS)).astype(np.int64), np.fromiter(times.values(), np.int64, len(times)))
-            words.clear()
-
+        n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                plain = spaced(text := text.as_py() or "")
-                for w in normalised(text):
-                    words.extend(set(w if plain else units(w)))
-                if len(words) >= WORDS:
-                    count()
-        count()
+            step = max(1, batch.num_rows * PIECE // max(batch.nbytes, PIECE))
+            for lo in range(0, batch.num_rows, step):
+                texts = batch.column(0).slice(lo, step).to_pylist()
+                for part in portions(texts):
+                    _, h, counts = words_of("\n".join(texts[part]))
+                    # a line's word once, though it stands there twice
+                    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(40)
+                    seen = np.sort(owner | h & np.uint64((1 << 40) - 1))
+                    seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])] if len(seen) else seen
+                    n += np.bincount((seen % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        trim()
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
@@ -127,13 +195,6 @@ def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of each hash."""
-    h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(29)
-
-
 def ordered(h: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lines with `counts` words each, by line and in the order of all words, and their classes.
 
@@ -195,49 +256,36 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text_col))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, key, place, line, first, size, words, counts, short = ([] for _ in range(9))
-
-        def made() -> pa.RecordBatch:
-            n = np.array(counts)
-            word, kind = ordered(hash_words(words), n, shared.value)
-            sizes = np.array(size, np.int32)
-            sketch = np.zeros((len(n), 2), np.int64)
-            long = sizes >= LONG
-            if short:
-                sketch[~long] = counts_of(short)
-            if long.any():
-                owner = np.repeat(long, n)
-                sketch[long] = simhash(word[owner], n[long])
-            columns = [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(np.array(line, np.uint64).view(np.int64))]
-            columns += [pa.array(first), pa.array(sizes), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), keys_of(word, kind, n)]
-            for x in (doc, key, place, line, first, size, words, counts, short):
-                x.clear()
-            return pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "place", "line", "first", "size", "s0", "s1", "keys"])
-
-        for i, k, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen: set[int] = set()
-            plain = spaced(text)
-            for at, w in enumerate(normalised(text)):
-                parts = w if plain else units(w)
-                if len(parts) >= LEAST_WORDS:
-                    joined = b" ".join(w)
-                    h = xxhash.xxh3_64_intdigest(joined)
-                    doc.append(i)
-                    key.append(k)
-                    place.append(at)
-                    line.append(h)
-                    whole = joined.decode("utf-8", "replace")
-                    size.append(len(whole))
-                    if len(whole) < LONG:
-                        short.append(whole)
-                    first.append(h not in seen)
-                    seen.add(h)
-                    counts.append(len(parts))
-                    words += parts
-                    if len(words) >= WORDS:
-                        yield made()
-        if doc:
-            yield made()
+        docs, hashes = (batch.column(k).to_numpy() for k in range(2))
+        texts = batch.column(2).to_pylist()
+        for part in portions(texts):
+            raw, h, counts = words_of("\n".join(texts[part]))
+            breaks = np.array([t.count("\n") + 1 for t in texts[part]])
+            owner = np.repeat(np.arange(part.start, part.stop), breaks)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(breaks) - breaks, breaks)
+            good = counts >= LEAST_WORDS
+            norm, at = normalised_lines(raw), np.nonzero(good)[0]
+            whole = norm.split(b"\n")
+            line = np.fromiter((xxhash.xxh3_64_intdigest(whole[k]) for k in at.tolist()), np.uint64, len(at))
+            whole = norm.decode("utf-8", "replace").split("\n")
+            first = np.zeros(len(at), bool)
+            first[np.unique(mixed(line ^ mixed(owner[at].astype(np.uint64), 5), 6), return_index=True)[1]] = True
+            h, n = h[np.repeat(good, counts)], counts[at]
+            ends = np.cumsum(n)
+            # a text of many words in pieces
+            for k in np.split(np.arange(len(at)), np.unique(np.searchsorted(ends, np.arange(WORDS, ends[-1], WORDS)))) if len(at) else []:
+                if not len(k):
+                    continue
+                word, kind = ordered(h[ends[k[0]] - n[k[0]] : ends[k[-1]]], n[k], shared.value)
+                lines = [whole[j] for j in at[k].tolist()]
+                sizes = np.fromiter(map(len, lines), np.int32, len(k))
+                sketch, long = np.zeros((len(k), 2), np.int64), sizes >= LONG
+                if not long.all():
+                    sketch[~long] = counts_of([x for x in lines if len(x) < LONG])
+                if long.any():
+                    sketch[long] = simhash(word[np.repeat(long, n[k])], n[k][long])
+                columns = [docs[owner[at[k]]], hashes[owner[at[k]]], place[at[k]].astype(np.int32), line[k].view(np.int64), first[k], sizes, sketch[:, 0], sketch[:, 1]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys_of(word, kind, n[k])], ["doc", "text_hash", "place", "line", "first", "size", "s0", "s1", "keys"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(order(id_col), F.xxhash64(text_col), text_col)
     return arrow_map(rows, run, "doc long, text_hash long, place int, line long, first boolean, size int, s0 long, s1 long, keys array<long>", pieces=True)
@@ -369,9 +417,95 @@ def alike(a: str, b: str) -> bool:
     return edit_distance(a, b) <= limit
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """(key, node, size, s0, s1, times): each line under each of its keys."""
-    return distinct.select(F.explode("keys").alias("key"), F.col("line").alias("node"), "size", "s0", "s1", "times")
+#: A posting: a key of a line, and what the filters need.
+POSTING = np.dtype([("key", "<i8"), ("node", "<i8"), ("size", "<i4"), ("s0", "<i8"), ("s1", "<i8"), ("times", "<i8")])
+
+
+def crowded(distinct: DataFrame) -> DataFrame:
+    """(key): keys of over LIST lines of one batch, as often as they are met."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > LIST])], ["key"])
+
+    return arrow_map(distinct.select("keys"), run, "key long")
+
+
+def postings(distinct: DataFrame, filled: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Each line under each of its keys: (key, node, size, s0, s1, times) for keys that pass the filter `filled`, and
+    (bucket, packed) for the others, with the postings of one batch and bucket of keys in one cell."""
+    spark, columns = distinct.sparkSession, ["line", "size", "s0", "s1", "times", "keys"]
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def these(batch: pa.RecordBatch, passing: bool) -> np.ndarray:
+        keys = batch.column("keys").flatten().to_numpy()
+        full = np.zeros(len(keys), bool)
+        full[may_hold(filled.value, keys.view(np.uint64))] = True
+        at = np.nonzero(full == passing)[0]
+        owner = np.repeat(np.arange(batch.num_rows), batch.column("keys").value_lengths().to_numpy())[at]
+        out = np.empty(len(at), POSTING)
+        out["key"] = keys[at]
+        for name, column in zip(POSTING.names[1:], columns):
+            out[name] = batch.column(column).to_numpy()[owner]
+        return out
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _columns(these(batch, True))], list(POSTING.names))
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = these(batch, False)
+        bucket = (mixed(found["key"].view(np.uint64), 7) % np.uint64(buckets)).astype(np.int32)
+        found, sizes = found[np.argsort(bucket, kind="stable")], np.bincount(bucket, minlength=buckets)
+        ends, there = np.cumsum(sizes), np.nonzero(sizes)[0]
+        cells = [found[ends[k] - sizes[k] : ends[k]].tobytes() for k in there.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(cells, pa.binary())], ["bucket", "packed"])
+
+    schema = "key long, node long, size int, s0 long, s1 long, times long"
+    return arrow_map(distinct.select(columns), rows, schema), arrow_map(distinct.select(columns), packed, "bucket int, packed binary")
+
+
+def _columns(found: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(found[c]) for c in POSTING.names]
+
+
+def close_by(packed: DataFrame) -> DataFrame:
+    """(a, b, key, node, size, s0, s1, times): pairs (a, b) of lines of one short list that pass the filters; postings of long lists, without a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.frombuffer(b"".join(x.as_py() for batch in batches for x in batch.column(1)), POSTING)
+        if not len(found):
+            return
+        # keys of a single line are most of all
+        keys = np.ascontiguousarray(found["key"])
+        found = found[order := np.argsort(keys, kind="stable")]
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
+        found = found[np.append(same, False) | np.append(False, same)]
+        key, node, size, s0, s1, _ = _columns(found)
+        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        many = np.diff(np.append(np.nonzero(new)[0], len(key)))
+        count = np.repeat(many, many)
+        x, a, b = np.nonzero(count <= LIST)[0], [], []
+        for step in range(1, LIST):
+            x = x[x + step < len(key)]
+            x = x[key[x] == key[x + step]]
+            if not len(x):
+                break
+            y = x + step
+            fit = _fits(size[x], size[y], s0[x], s0[y], s1[x], s1[y]) & (node[x] != node[y])
+            a.append(np.minimum(node[x], node[y])[fit])
+            b.append(np.maximum(node[x], node[y])[fit])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
+        long = found[count > LIST]
+        for lo in range(0, len(pairs), WORDS):
+            n = len(pairs[lo : lo + WORDS])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs[lo : lo + WORDS].T), *(pa.nulls(n, t) for t in types)], names)
+        for lo in range(0, len(long), WORDS):
+            part = long[lo : lo + WORDS]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), pa.int64()) for _ in "ab"), *map(pa.array, _columns(part))], names)
+
+    names, types = ["a", "b", *POSTING.names], [pa.int32() if c == "size" else pa.int64() for c in POSTING.names]
+    return packed.repartition("bucket").mapInArrow(run, "a long, b long, key long, node long, size int, s0 long, s1 long, times long")
 
 
 def met(lists: DataFrame) -> DataFrame:
@@ -394,20 +528,19 @@ def whole_lines(nodes: DataFrame, distinct: DataFrame, docs: DataFrame, id_col:
 
     def fetch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = may_hold(these_docs.value, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        doc, line, whole = [], [], []
-        for i, text in zip(*(c.to_pylist() for c in batch.select([0, 2]).take(pa.array(at)).columns)):
-            rows = split_lines(text)
-            spot = mixed(mixed(np.full(len(rows), i, np.int64).view(np.uint64), 5) + np.arange(len(rows), dtype=np.uint64), 6)
-            for k in may_hold(these_spots.value, spot).tolist():
-                joined = b" ".join(rows[k].split())
-                doc.append(i)
-                line.append(xxhash.xxh3_64_intdigest(joined))
-                whole.append(joined.decode("utf-8", "replace"))
-            if len(line) >= LINES:
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(whole)], ["doc", "line", "whole"])
-                doc, line, whole = [], [], []
-        if line:
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(whole)], ["doc", "line", "whole"])
+        docs, texts = batch.column(0).to_numpy()[at], batch.column(2).take(pa.array(at)).to_pylist()
+        for part in portions(texts):
+            breaks = np.array([t.count("\n") + 1 for t in texts[part]])
+            doc = np.repeat(docs[part], breaks)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(breaks) - breaks, breaks)
+            spot = mixed(mixed(doc.view(np.uint64), 5) + place.astype(np.uint64), 6)
+            wanted_here = may_hold(these_spots.value, spot)
+            lines = normalised_lines(apart("\n".join(texts[part]).lower())).split(b"\n")
+            for lo in range(0, len(wanted_here), LINES):
+                rows = wanted_here[lo : lo + LINES]
+                here = [lines[k] for k in rows.tolist()]
+                line = np.fromiter(map(xxhash.xxh3_64_intdigest, here), np.uint64, len(here))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(line.view(np.int64)), pa.array([x.decode("utf-8", "replace") for x in here])], ["doc", "line", "whole"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(order(id_col), F.xxhash64(order(id_col)), text_col)
     texts = arrow_map(rows, fetch, "doc long, line long, whole string", pieces=True).join(wanted, ["doc", "line"], "left_semi").select("line", "whole").dropDuplicates(["line"])
@@ -425,7 +558,7 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_col: st
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = [not no and alike(x, y) for no, x, y in zip(far_apart(ta, tb).tolist(), ta, tb)]
-        return batch.filter(pa.array(keep)).select([0, 1])
+        return batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     links = materialise(arrow_map(both, compare, "a long, b long"))
     release(near, texts)
@@ -443,13 +576,18 @@ def blocks(members: DataFrame) -> DataFrame:
     return own.unionByName(x.join(y, "key").where("i < j").select("x", "y"))
 
 
+def _fits(xs, ys, x0, y0, x1, y1) -> np.ndarray:
+    """FITS for arrays."""
+    low, high = np.minimum(xs, ys), np.maximum(xs, ys)
+    bits = np.bitwise_count((x0 ^ y0).view(np.uint64)).astype(np.int64) + np.bitwise_count((x1 ^ y1).view(np.uint64))
+    limit = np.where(low >= LONG, BITS, np.where(high < LONG, 2 * ((100 - SIMILARITY) * high // 100), SIM_BITS))
+    return (100 * (high - low) <= (100 - SIMILARITY) * high) & (bits <= limit)
+
+
 def _fitting(x: pa.StructArray, y: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of two blocks, or of one with itself, whose parts differ and that pass FITS."""
     (xs, x0, x1, xp), (ys, y0, y1, yp) = ([b.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("size", "s0", "s1", "part")] for b in (x, x if y is None else y))
-    low, high = np.minimum(xs[:, None], ys), np.maximum(xs[:, None], ys)
-    bits = np.bitwise_count((x0[:, None] ^ y0).view(np.uint64)).astype(np.int64) + np.bitwise_count((x1[:, None] ^ y1).view(np.uint64))
-    limit = np.where(low >= LONG, BITS, np.where(high < LONG, 2 * ((100 - SIMILARITY) * high // 100), SIM_BITS))
-    fit = (xp[:, None] != yp) & (100 * (high - low) <= (100 - SIMILARITY) * high) & (bits <= limit)
+    fit = (xp[:, None] != yp) & _fits(xs[:, None], ys, x0[:, None], y0, x1[:, None], y1)
     return np.nonzero(np.triu(fit, 1) if y is None else fit)
 
 
@@ -504,21 +642,23 @@ def linked(members: DataFrame) -> DataFrame:
 def groups(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of the lines that are linked with others.
 
-    Short lists are paired at once. Of longer ones the members are compared with the list's most frequent line first;
+    Short lists are paired where their postings lie, keys of a single line go there. Of longer ones the members are compared with the list's most frequent line first;
     then, only where a list still holds several components, blocks of its members are compared where they lie: first by the
     filters alone, which leaves the lines whose texts are fetched, then by these. No pair becomes a row but links that join components."""
-    posted = postings(distinct)
+    filled = distinct.sparkSession.sparkContext.broadcast(bloom(crowded(distinct)))
+    posted, packed = postings(distinct, filled)
+    posted, near = materialise(posted), materialise(close_by(packed))
     lists = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    short = met(posted.join(lists.where(f"c <= {LIST}").select("key"), "key").drop("times"))
-    large = materialise(lists.where(f"c > {LIST}").select("key"))
-    mine = materialise(posted.join(large, "key"))
+    short = met(posted.join(lists.where(f"c <= {LIST}").select("key"), "key").drop("times")).union(near.where("a IS NOT NULL").select("a", "b"))
+    mine = posted.join(lists.where(f"c > {LIST}").select("key"), "key").unionByName(near.where("a IS NULL").drop("a", "b"))
+    mine = materialise(mine)
     often = mine.groupBy("key").agg(F.max("times").alias("times"))
     top = mine.join(often, ["key", "times"]).groupBy("key").agg(F.min("node").alias("node"))
     top = mine.join(top, ["key", "node"]).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "s0", "s1")])
     members = mine.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "s0", "s1")]).join(top, "key")
     star = members.where(f"x_node <> y_node AND {FITS}").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     links = confirmed(short.union(star), distinct, docs, id_col, text_col)
-    if large.isEmpty():
+    if mine.isEmpty():
         return components(links, "a", "b")
     parts = components(links, "a", "b")
     placed = mine.drop("times").join(parts, mine.node == parts.id, "left")
@@ -532,7 +672,7 @@ def groups(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     counts = left.groupBy("key").agg(F.count("*").alias("c"))
     left_ = left.drop("c").join(counts, "key").join(keys, "node").join(tops, ["key", "node"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
     more = materialise(linked(left_))
-    release(large, mine, placed, texts, left)
+    release(posted, near, mine, placed, texts, left)
     return components(links.union(more), "a", "b")
 
 
