@@ -53,8 +53,8 @@ LIST, BLOCK = 64, 512
 PORTION, WORDS, LINES = 1 << 20, 1 << 18, 1 << 12
 #: The low bytes of a long, and the size from which a word is hashed by itself.
 MASKS, FAR_END = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 1 << 12
-#: Cells of the sketch of word frequencies.
-CELLS = 1 << 20
+#: Cells of the sketch of word frequencies, and how many of them go together.
+CELLS, CELLS_A_ROW = 1 << 20, 1 << 12
 #: Lines of over a HOT-th of all are joined by broadcast: HOT rows at most.
 HOT = 4096
 #: Classes of words: below KNOWN rare ones, UNSEEN those of one line at the most, which link nothing.
@@ -183,16 +183,25 @@ def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
                     seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])] if len(seen) else seen
                     n += np.bincount((seen % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         trim()
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+        rows = n.reshape(-1, CELLS_A_ROW)
+        at = np.nonzero(rows.any(1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([rows[k].tobytes() for k in at.tolist()], pa.binary())], ["part", "counts"])
 
-    # a task's counts are one batch
-    got = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    n = got["n"].to_numpy().astype(np.float64)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[part] = total.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+
+    # a task's counts are one batch, and a row for each of CELLS / CELLS_A_ROW parts of the cells
+    counted = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "part int, counts binary")
+    n = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW))
+    for part, counts in zip(*(c.to_pylist() for c in counted.repartition("part").mapInArrow(summed, "part int, counts binary").toArrow().columns)):
+        n[part] = np.frombuffer(counts, np.int64)
+    n = n.ravel()
     steps = np.minimum(KNOWN - 1, 8 * np.log2(np.maximum(n, 1)))
-    out = np.full(CELLS, UNSEEN, np.uint8)
-    out[got["cell"].to_numpy()] = np.where(n < 2, UNSEEN, np.where(n <= RARE, steps, np.minimum(UNSEEN - 1, KNOWN + steps))).astype(np.uint8)
-    return out
+    return np.where(n < 2, UNSEEN, np.where(n <= RARE, steps, np.minimum(UNSEEN - 1, KNOWN + steps))).astype(np.uint8)
 
 
 def ordered(h: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
