@@ -11,6 +11,7 @@ from tessera import schemas
 from tessera.functions.text import let, sentences
 from tessera.operators import records
 from tessera.operators.records import Shape
+from tessera.sources.sinks import stored
 
 # Ids, dimensions, failure categories and marks that a benchmark of this version has or must not have.
 CASES = tuple(f"B{k:02d}" for k in range(1, 21))
@@ -206,15 +207,16 @@ def benchmark_issues(benchmarks: DataFrame, key: str, unresolved: Sequence[str]
     `specs` (key, sha256, raw): the digest of each benchmark's source and a fresh compilation of it, for SPEC_DRIFT."""
     raw = benchmarks.select(key, "raw")
     ids = F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\bC\d{4}\b"), F.lit(0)))
-    lowered = F.lower("raw")
-    wanted = F.filter(F.array(*map(F.lit, TRADITIONS)), lambda m: F.contains(lowered, m))
+    wanted = let(F.lower("raw"), lambda lowered: F.filter(F.array(*map(F.lit, TRADITIONS)), lambda m: F.contains(lowered, m)))
     text = raw.select(key, F.explode(F.concat(
-        _issue("CARD_ID_PRESENT", F.size(ids) > 0), _issue("UNRESOLVED_REFERENCED", F.arrays_overlap(ids, F.array(*map(F.lit, unresolved)).cast("array<string>"))),
+        let(ids, lambda x: F.concat(_issue("CARD_ID_PRESENT", F.size(x) > 0), _issue("UNRESOLVED_REFERENCED", F.arrays_overlap(x, F.array(*map(F.lit, unresolved)).cast("array<string>"))))),
         _issue("TRADITION_OR_AUTHOR_REQUIRED", F.size(wanted) > 0),
     )).alias("i"))
     leaves = records.paths(raw, key, "raw")
-    source = leaves.where((F.col("path").rlike(r"^\$\.required_routes\[\d+\]$") & (F.col("value") == '"SOURCE"')) | ((F.col("path") == "$.source_route_required") & (F.col("value") == "true")))
-    source = source.select(key).distinct().select(key, F.struct(F.lit("error").alias("severity"), F.lit("SOURCE_REQUIRED").alias("code"), F.lit(None).cast("string").alias("item")).alias("i"))
+    v = F.try_parse_json("raw")
+    routes = F.exists(F.try_variant_get(v, "$.required_routes", "array<variant>"), lambda x: F.to_json(x) == '"SOURCE"')
+    route = F.coalesce(routes, F.lit(False)) | F.coalesce(F.to_json(F.try_variant_get(v, "$.source_route_required", "variant")) == "true", F.lit(False))
+    source = raw.where(route).select(key).distinct().select(key, F.struct(F.lit("error").alias("severity"), F.lit("SOURCE_REQUIRED").alias("code"), F.lit(None).cast("string").alias("item")).alias("i"))
     typed = raw.withColumn("_bench", F.from_json("raw", ddl(SHAPE)))
     own = F.concat(
         _over(F.flatten(F.transform("_bench.cases", lambda c: c["expected_structure"]["probable_tensions"])), lambda t: [_issue("SCHEMA", (t["match"] == "case_specific") != t["taxonomy_tension"].isNull(), F.lit("taxonomy_tension"))]),
@@ -223,16 +225,15 @@ def benchmark_issues(benchmarks: DataFrame, key: str, unresolved: Sequence[str]
         ] + [_issue("SCHEMA", (F.coalesce(p["expected_semantic_shift"], F.lit("")) == "") & (p["variant_a"]["expected"].isNull() | p["variant_b"]["expected"].isNull()), p["id"])]),
     )
     shaped = records.shape_issues(leaves, key, SHAPE).select(key, F.struct(F.lit("error").alias("severity"), "code", F.col("path").alias("item")).alias("i"))
-    shaped = shaped.union(typed.where("_bench IS NOT NULL").select(key, F.explode(own).alias("i")))
+    shaped = stored(shaped.union(typed.where("_bench IS NOT NULL").select(key, F.explode(own).alias("i"))))
     good = typed.join(shaped.select(key).distinct(), key, "left_anti")
     found = text.union(source).union(shaped).union(good.select(key, F.explode(_rules(F.col("_bench"))).alias("i")))
     if specs is not None:
-        spec = specs.select(key, F.col("sha256").alias("_sha"), F.col("raw").alias("_fresh"))
-        fresh = good.join(spec, key)
-        other = fresh.where(F.col("_bench.spec_sha256") != F.col("_sha")).select(key)
-        same = fresh.where(F.col("_bench.spec_sha256") == F.col("_sha"))
-        differing = records.drift(records.paths(same.select(key, "_fresh"), key, "_fresh"), records.paths(same.select(key, "raw"), key, "raw"), key).select(key).distinct()
-        found = found.union(other.union(differing).select(key, F.struct(F.lit("error").alias("severity"), F.lit("SPEC_DRIFT").alias("code"), F.lit(None).cast("string").alias("item")).alias("i")))
+        # rows of digests are joined, no texts
+        fresh = records.digests(records.paths(specs, key, "raw"), key).toDF(key, "n", "e0", "e1").join(specs.select(key, F.col("sha256").alias("_sha")), key)
+        mine = good.select(key, F.col("_bench.spec_sha256").alias("_said")).join(records.digests(leaves, key), key)
+        both = mine.join(fresh, key).where("_said <> _sha OR n_paths <> n OR d0 <> e0 OR d1 <> e1")
+        found = found.union(both.select(key, F.struct(F.lit("error").alias("severity"), F.lit("SPEC_DRIFT").alias("code"), F.lit(None).cast("string").alias("item")).alias("i")))
     return found.select(key, "i.severity", "i.code", "i.item")
 
 

@@ -73,34 +73,53 @@ class Shape:
             yield from self.item.places(f"{at}[]")
 
 
+def digests(leaves: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_paths, d0, d1): 128 bits of each record's paths and values; what is shuffled is a row for each record and task."""
+    sides = [F.bit_xor(F.xxhash64(F.lit(k), "path", "value")).alias(f"d{k}") for k in range(2)]
+    return leaves.groupBy(id_col).agg(F.count("*").alias("n_paths"), *sides)
+
+
+#: Required names of a map for which one number tells which are there.
+NAMES = 62
+
+
 def shape_issues(leaves: DataFrame, id_col: str, shape: Shape) -> DataFrame:
     """(id, code, path): FORBIDDEN_FIELD for undeclared names, the outermost of nested ones; SCHEMA for everything else that
-    isn't as declared: kinds, patterns, values, numbers of items, what is missing."""
+    isn't as declared: kinds, patterns, values, numbers of items, what is missing.
+
+    Each leaf is a row of every place above it, which tells what place comes next; one aggregate of these rows, whose values
+    were judged before and are hashes, says of each place what it has below it."""
     spec = [
         (p, s.kind, s.pattern, list(s.choices), s.optional, s.fields is not None, [n for n, f in (s.fields or {}).items() if not f.optional], s.least if s.kind == "list" else 0, s.most)
         for p, s in shape.places()
     ]
+    words = 1 + max(len(needs) for *_, needs, _, _ in spec) // NAMES
     known = leaves.sparkSession.createDataFrame(spec, "pattern string, must string, regex string, choices array<string>, optional boolean, closed boolean, needs array<string>, least long, most long")
+    flat = lambda p: F.regexp_replace(p, r"\[\d+\]", "[]").alias("pattern")
+    text = F.try_parse_json("value").cast("string")
+    odd = ((F.size("choices") > 0) & ~F.array_contains("choices", F.col("value"))) | (F.col("regex").isNotNull() & ~F.coalesce(F.regexp_like(text, F.col("regex")), F.lit(False)))
+    judged = leaves.select("*", flat("path")).join(F.broadcast(known), "pattern", "left").select(id_col, "path", "kind", odd.alias("odd"), F.xxhash64("value").alias("h"))
     parts = F.split("path", r"(?=[.\[])")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))
-    at_end = F.col("p") == F.col("path")
-    inner = F.when(F.startswith(F.substring(F.col("path"), F.length("p") + 1, F.lit(1)), F.lit("[")), "list").otherwise("map")
-    nodes = leaves.select(id_col, "path", "kind", "value", F.explode(above).alias("p")).select(
-        id_col, F.col("p").alias("path"), F.regexp_replace("p", r"\[\d+\]", "[]").alias("pattern"), F.when(at_end, F.col("kind")).otherwise(inner).alias("kind"), F.when(at_end, F.col("value")).alias("value"),
-    ).distinct()
-    placed = nodes.join(F.broadcast(known), "pattern", "left")  # as many rows as the shape has places
+    above = judged.select(id_col, "kind", "odd", "h", parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k"))
+    at_end, below = F.col("k") == F.size("parts"), F.get("parts", F.col("k"))
+    item = F.startswith(below, F.lit("["))
+    above = above.select(
+        id_col, F.array_join(F.slice("parts", F.lit(1), F.col("k")), "").alias("path"), F.when(at_end, F.col("kind")).when(item, "list").otherwise("map").alias("kind"),
+        F.when(at_end, F.col("odd")).alias("odd"), F.when(at_end, F.col("h")).alias("h"), F.when(~item, F.substring(below, 2, 1 << 30)).alias("name"), F.when(item, F.regexp_extract(below, r"\d+", 0).cast("long")).alias("pos"),
+    ).select("*", flat("path")).join(F.broadcast(known.select("pattern", "needs")), "pattern", "left")  # as many rows as the shape has places
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % NAMES).cast("int"))
+    place = F.array_position("needs", F.col("name")) - 1
+    has = [F.bit_or(F.when(F.floor(place / NAMES) == w, bit(place))).alias(f"has{w}") for w in range(words)]
+    nodes = above.groupBy(id_col, "pattern", "path", "kind", "odd", "h").agg(*has, (F.max("pos") + 1).alias("n"))
     parent = F.regexp_replace("pattern", r"(\.[^.\[]*|\[\])$", "")
-    closed = known.where("closed").select(F.col("pattern").alias("parent"))
-    extra = placed.where("must IS NULL").withColumn("parent", parent).join(F.broadcast(closed), "parent", "left_semi")
-    text = F.try_parse_json("value").cast("string")
-    off = (F.col("kind") != F.col("must")) | ((F.size("choices") > 0) & ~F.array_contains("choices", F.col("value"))) | (F.col("regex").isNotNull() & ~F.coalesce(F.regexp_like(text, F.col("regex")), F.lit(False)))
-    bad = placed.where(F.col("must").isNotNull() & F.coalesce(off, F.lit(True)) & ~(F.col("optional") & (F.col("kind") == "null")))
-    needed = placed.where("kind = 'map'").select(id_col, "path", F.explode("needs").alias("name")).select(id_col, F.concat("path", F.lit("."), "name").alias("path"))
-    lacking = needed.join(nodes.select(id_col, "path"), [id_col, "path"], "left_anti")
-    items = nodes.where(F.endswith("pattern", F.lit("[]"))).select(id_col, F.regexp_replace("path", r"\[\d+\]$", "").alias("path")).groupBy(id_col, "path").agg(F.count("*").alias("n"))
-    lists = placed.where("must = 'list' AND kind = 'list' AND (least > 0 OR most IS NOT NULL)").join(items, [id_col, "path"], "left")
-    sized = lists.where("coalesce(n, 0) < least OR coalesce(n, 0) > most")
-    found = extra.select(id_col, F.lit("FORBIDDEN_FIELD").alias("code"), "path")
-    for more in (bad, lacking, sized):
-        found = found.union(more.select(id_col, F.lit("SCHEMA"), "path"))
-    return found
+    closed = known.where("closed").select(F.col("pattern").alias("parent"), "closed")
+    placed = nodes.withColumn("parent", parent).join(F.broadcast(known.drop("closed")), "pattern", "left").join(F.broadcast(closed), "parent", "left")
+    off = (F.col("kind") != F.col("must")) | F.coalesce("odd", (F.size("choices") > 0) | F.col("regex").isNotNull())
+    bad = F.col("must").isNotNull() & F.coalesce(off, F.lit(True)) & ~(F.col("optional") & (F.col("kind") == "null"))
+    sized = (F.col("must") == "list") & (F.col("kind") == "list") & ((F.coalesce("n", F.lit(0)) < F.col("least")) | (F.coalesce("n", F.lit(0)) > F.col("most")))
+    there = lambda i: F.coalesce(F.get(F.array(*[f"has{w}" for w in range(words)]), F.floor(i / NAMES).cast("int")).bitwiseAND(bit(i)), F.lit(0)) != 0
+    lacking = F.when(F.col("kind") == "map", F.transform(F.filter("needs", lambda _, i: ~there(i)), lambda name: F.struct(F.lit("SCHEMA").alias("code"), F.concat("path", F.lit("."), name).alias("path"))))
+    one = lambda code, when: F.when(F.coalesce(when, F.lit(False)), F.array(F.struct(F.lit(code).alias("code"), F.col("path").alias("path"))))
+    none = F.array().cast("array<struct<code:string,path:string>>")
+    found = [one("FORBIDDEN_FIELD", F.col("must").isNull() & F.col("closed")), one("SCHEMA", bad), lacking, one("SCHEMA", sized)]
+    return placed.select(id_col, F.explode(F.concat(*[F.coalesce(x, none) for x in found])).alias("i")).select(id_col, "i.code", "i.path")

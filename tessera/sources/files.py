@@ -25,13 +25,14 @@ def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, glob: str | None = None, few: bool = False) -> DataFrame:
     """(path, line, raw) of every line, numbered from 1 in its file, however many splits a file is read in.
 
     A first pass counts the lines of each split, running sums say how many stand before it, and a second pass adds
     the line's place in its split, from the row ids of the scan. Both passes have to cut and pack the files alike; where
     they don't (files that change meanwhile, another number of cores at the second planning), ids fall outside their
-    split's range, and the read fails instead of numbering wrongly."""
+    split's range, and the read fails instead of numbering wrongly. With `few`, for files that Spark has written, a row for
+    each split is broadcast, and no line is shuffled."""
     rows = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=glob).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("raw")
     )
@@ -41,7 +42,7 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     place = F.col("id") - F.col("first")
     wrong = F.raise_error(F.concat(F.lit("split read in two ways: "), F.col("path"), F.lit(" at "), F.col("start").cast("string"))).cast("long")
     number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(wrong)
-    return rows.join(splits, ["path", "start"], "left").select("path", number.alias("line"), "raw")
+    return rows.join(F.broadcast(splits) if few else splits, ["path", "start"], "left").select("path", number.alias("line"), "raw")
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
