@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.operators import similar_sets
@@ -58,3 +59,33 @@ def test_large_sets_by_blocks(spark, percent):
     df = spark.createDataFrame(list(enumerate(sets)), SCHEMA)
     want, got = (sorted(map(tuple, similar_sets.similar(df.where("set_id % 2 = 0"), df, percent, large=x).collect())) for x in (False, True))
     assert want == got and len(got) > 24
+
+
+def test_large_sets_are_no_rows_of_pairs(spark, monkeypatch):
+    """Parities of sets of a thousand items ruled nothing out, and each pair was two whole sets in a join."""
+    r = random.Random(5)
+    sets = [sorted({"all", *(f"often{k}" for k in range(40) if r.random() < 0.5), *(f"w{r.randrange(400)}" for _ in range(r.choice([1, 30, 200])))}) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(sets)), SCHEMA)
+    want = {(i, j): len(x & y) for i, x in enumerate(map(set, sets)) for j, y in enumerate(map(set, sets)) if 100 * len(x & y) >= 40 * len(x | y)}
+    for limits in ({}, {"LEFT": (20, 500), "RIGHT": (30, 700)}):
+        for name, value in limits.items():
+            monkeypatch.setattr(similar_sets, name, value)
+        found = similar_sets.similar(df, df, 40, large=True)
+        assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.collect()
+        assert {(x.left_id, x.right_id): x.common for x in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("many, meetings", [(1 << 15, 1 << 22), (100, 50), (0, 1), (1 << 40, 7)])
+def test_common_items_of_blocks(monkeypatch, many, meetings):
+    monkeypatch.setattr(similar_sets, "MANY", many)
+    monkeypatch.setattr(similar_sets, "MEETINGS", meetings)
+    r = random.Random(many)
+    sides = [[{r.choice([r.randrange(9), r.randrange(2000)]) for _ in range(r.choice([1, 5, 300]))} for _ in range(n)] for n in (40, 70)]
+
+    def block(sets):
+        pairs = sorted((i, k) for k, s in enumerate(sets) for i in s)
+        return np.array([len(s) for s in sets]), np.array([i for i, _ in pairs]), np.array([k for _, k in pairs], np.int32)
+
+    got = similar_sets._common(*map(block, sides))
+    assert got.tolist() == [[len(a & b) for b in sides[1]] for a in sides[0]]
